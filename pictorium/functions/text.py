@@ -31,15 +31,14 @@ def default_words() -> list[str]:
 
 
 def _token_pattern(words: Iterable[str], unknown: str) -> str:
-    """Longest dictionary word first, then single ideographs (or pairs), then
-    runs of other letters and digits.  Java alternation is ordered, so this is
-    a forward maximum match without a Python worker."""
+    """Runs of letters and digits other than ideographs; else the longest
+    dictionary word; else a single ideograph (or a pair).  Java alternation is
+    ordered, so this is a forward maximum match without a Python worker."""
     ordered = sorted(set(words), key=lambda w: (-len(w), w))
-    parts = [re.escape(w) for w in ordered]
+    parts = [rf"[\p{{L}}\p{{N}}&&[^{V.CJK}]]+", *[re.escape(w) for w in ordered]]
     if unknown == "pair":
         parts.append(f"[{V.CJK}]{{2}}")
     parts.append(f"[{V.CJK}]")
-    parts.append(rf"[\p{{L}}\p{{N}}&&[^{V.CJK}]]+")
     return "|".join(parts)
 
 

@@ -7,7 +7,7 @@ small per-chunk totals are carried across chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 1 << 20
@@ -28,11 +28,18 @@ def number_within(rows: DataFrame, keys: list[str], order: str, out: str, span:
     return joined.select(*kept, (F.col("_before") + F.col("_rank")).cast("long").alias(out))
 
 
-def latest_before(rows: DataFrame, keys: list[str], order: str, is_base: str, out: str, span: int = SPAN) -> DataFrame:
-    """Largest ``order`` among base rows of the same group below the own one."""
+def latest_before(
+    rows: DataFrame, keys: list[str], order: str, is_base: str, out: str, span: int = SPAN, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Largest ``order`` among base rows of the same group below the own one.
+
+    With ``carry`` the result is a struct of the order and those columns of
+    the row found.
+    """
     marked = rows.withColumn("_chunk", F.floor(F.col(order) / span))
     chunk_keys = [*keys, "_chunk"]
-    base = F.when(F.col(is_base), F.col(order))
+    value = F.struct(order, *carry) if carry else F.col(order)
+    base = F.when(F.col(is_base), value)
     tops = marked.groupBy(*chunk_keys).agg(F.max(base).alias("_top"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(*chunk_keys, F.max("_top").over(earlier).alias("_carried"))
@@ -42,6 +49,19 @@ def latest_before(rows: DataFrame, keys: list[str], order: str, is_base: str, ou
     return joined.withColumn(out, F.coalesce("_near", "_carried")).drop("_chunk", "_near", "_carried")
 
 
+def running_max(rows: DataFrame, keys: list[str], order: str, value: Column, out: str, span: int = SPAN) -> DataFrame:
+    """Largest ``value`` of the group up to and including the own row."""
+    marked = rows.withColumn("_chunk", F.floor(F.col(order) / span)).withColumn("_value", value)
+    chunk_keys = [*keys, "_chunk"]
+    tops = marked.groupBy(*chunk_keys).agg(F.max("_value").alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*chunk_keys, F.max("_top").over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*chunk_keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    near = marked.withColumn("_near", F.max("_value").over(inside))
+    joined = near.join(carried, chunk_keys).withColumn(out, F.greatest("_near", "_carried"))
+    return joined.drop("_chunk", "_near", "_carried", "_value")
+
+
 def number_all(rows: DataFrame, order: list[str], out: str, label: str = "numbered") -> DataFrame:
     """Dense 0-based numbers over the whole table in ``order``.
 
