@@ -73,8 +73,8 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
     clauses = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in ordered)
     head = "WITH RECURSIVE" if recursive else "WITH"
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        body = ", " + body[5:]
+    if body.upper().split()[0] == "WITH":
+        body = ", " + body[4:]
     return f"{head} {clauses}\n{body}"
 
 

@@ -50,35 +50,41 @@ def mean_threshold_hash(values: Column) -> Column:
 def token_fingerprint(text: Column) -> Column:
     """64-bit fingerprint of a text as a long.
 
-    Tokens fall into 64 buckets by their md5; bit ``i`` (first bucket = highest
-    bit) says whether the bucket holds at least the mean number of tokens.
-    Buckets become single characters of one string, so each of the 64 counts
-    is one generated scan instead of a lambda per element.
+    Tokens fall into 64 buckets by the low six bits of the first byte of their
+    md5; bit ``i`` (first bucket = highest bit) says whether the bucket holds
+    at least the mean number of tokens.  A token is spelled as two characters,
+    A-D and a hex digit, which cannot match across a border, so a bucket counts
+    half of what the string loses with them.  Each bucket is taken out of what
+    the ones before it left over.
     """
-    digits = "0123456789abcdef"
+    bytes_ = F.transform(plain_tokens(text), lambda t: F.substring(F.md5(t.cast("binary")), 1, 2))
+    spelling = F.concat(F.lit(","), F.array_join(bytes_, ","))
+    for letter, digits in zip("ABCD", ("048c", "159d", "26ae", "37bf")):
+        spelling = F.regexp_replace(spelling, f",[{digits}]", letter)
+    spelling = F.replace(spelling, F.lit(","), F.lit(""))
+    names = F.array(*[F.lit(h + low) for h in "ABCD" for low in "0123456789abcdef"])
 
-    def bucket_char(token):
-        digest = F.md5(token.cast("binary"))
-        high = F.instr(F.lit(digits), F.substring(digest, 1, 1)) - 1
-        low = F.instr(F.lit(digits), F.substring(digest, 2, 1)) - 1
-        return F.chr((48 + (high % 4) * 16 + low).cast("long"))
+    def word(whole):
+        total = F.length(whole)
 
-    return F.array_join(F.transform(plain_tokens(text), bucket_char), "")
+        def step(acc, name):
+            def taken(rest):
+                # both lengths are twice the counts: the factors cancel
+                enough = (F.length(acc["rest"]) - F.length(rest)) * 64 >= total
+                bit = F.when(enough, F.lit(1)).otherwise(F.lit(0)).cast("long")
+                return F.struct(F.shiftleft(acc["word"], 1).bitwiseOR(bit).alias("word"), rest.alias("rest"))
 
+            return _bind(F.replace(acc["rest"], name, F.lit("")), taken)
 
-def fingerprint_from_buckets(buckets: Column) -> Column:
-    """Second half of :func:`token_fingerprint`: bucket characters to a long.
+        start = F.struct(F.lit(0).cast("long").alias("word"), whole.alias("rest"))
+        return F.aggregate(names, start, step, lambda acc: acc["word"])
 
-    Split in two so that callers can project the bucket string once and refer
-    to it 64 times.
-    """
-    total = F.length(buckets)
-    word = F.lit(0).cast("long")
-    for i in range(64):
-        count = total - F.length(F.replace(buckets, F.lit(chr(48 + i)), F.lit("")))
-        bit = F.when(count * 64 >= total, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-        word = word.bitwiseOR(F.shiftleft(bit, 63 - i))
-    return word
+    return _bind(spelling, word)
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def long_to_hex(value: Column) -> Column:

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pictorium.functions.hashing import content_sha256, fingerprint_from_buckets, long_to_hex, token_fingerprint
+from pictorium.functions.hashing import content_sha256, long_to_hex, token_fingerprint
 from pictorium.functions.rules import grade_by_confidence
+from pictorium.sources.tables import spread
 
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _after(amount: str, unit: str) -> Column:
@@ -39,11 +40,12 @@ def _status() -> Column:
 def assets(spark: SparkSession, sf_dir: str, fingerprint: bool = False) -> DataFrame:
     """The picture catalog, from documents and their labels.  ``fingerprint``
     adds ``phash``."""
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    joined = docs.join(labels, "doc_id", "left")
-    if fingerprint:
-        joined = joined.withColumn("_buckets", token_fingerprint(F.col("text")))
+    return assets_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fingerprint)
+
+
+def assets_of(docs: DataFrame, labels: DataFrame, fingerprint: bool = False) -> DataFrame:
+    """:func:`assets` of any frame of documents, a stream as well."""
+    joined = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left")
     name = F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
     tags = F.array("lang", "source")
     status = _status()
@@ -56,7 +58,7 @@ def assets(spark: SparkSession, sf_dir: str, fingerprint: bool = False) -> DataF
         content_sha256(F.col("text")).alias("file_hash"),
         (F.lit(640) + F.lit(160) * (F.col("doc_id") % 7)).cast("int").alias("width"),
         (F.lit(480) + F.lit(120) * (F.col("doc_id") % 5)).cast("int").alias("height"),
-        *([long_to_hex(fingerprint_from_buckets(F.col("_buckets"))).alias("phash")] if fingerprint else []),
+        *([long_to_hex(token_fingerprint(F.col("text"))).alias("phash")] if fingerprint else []),
         status.alias("ai_status"),
         F.when(F.col("toxic") == 0, F.concat(tags, F.array(F.lit("clean")))).otherwise(tags).alias("ai_tags"),
         F.col("text").alias("ai_description"),
@@ -84,8 +86,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cal_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return cal_samples_of(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
+
+
+def cal_samples_of(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "lang")
     return labels.join(docs, "doc_id").select(
         F.col("doc_id").alias("id"),
         F.col("lang").alias("predicted_category"),
@@ -128,14 +133,21 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
-    return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("pattern_name"), "ts")
+    return error_events_of(table(spark, sf_dir, "events"))
+
+
+def error_events_of(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("event_type") == "error").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("pattern_name"), "ts")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work attempts: one item per user and day; purchases succeed."""
+    return attempts_of(table(spark, sf_dir, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
     item = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
-    return table(spark, sf_dir, "events").select(item.alias("item"), "ts", (F.col("event_type") == "purchase").alias("ok"))
+    return events.select(item.alias("item"), "ts", (F.col("event_type") == "purchase").alias("ok"))
 
 
 def ai_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +176,10 @@ _HEAD = {"en": "FFD8FFE0", "fr": "89504E470D0A1A0A", "de": "474946383961", "es":
 def incoming_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files waiting for import: ``(seq, path, length, content)``.  Source src7
     has wrong headers, src8 climbs out of its folder, src9 is empty."""
-    docs = table(spark, sf_dir, "documents")
+    return incoming_of(table(spark, sf_dir, "documents"))
+
 
+def incoming_of(docs: DataFrame) -> DataFrame:
     def pick(values, other):
         chain = None
         for lang, v in values.items():
@@ -198,7 +212,7 @@ NOTES = [
     "周三开会",
     "一张风景照",
     "星期五跟小红在北京吃饭，昨天到上海",
-    "今年从南京走，与老王和老李",
+    "今年从南京走，与老王和小李",
 ]
 
 # category, tags, description

@@ -20,10 +20,24 @@ def scan_assets(spark: SparkSession, paths: str | list[str], recursive: bool = T
         .option("ignoreMissingFiles", "true")
         .load(paths)
     )
-    kept = files.filter(extension(F.col("path")).isin(V.EXTENSIONS))
+    kept = keep_supported(files)
     return kept if content else kept.drop("content")
 
 
+def keep_supported(listing: DataFrame, path: str = "path") -> DataFrame:
+    """Rows whose file extension, in any case, is one we import."""
+    return listing.filter(extension(F.col(path)).isin(V.EXTENSIONS))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan of fewer splits than cores, as of one small file
+    with a single row group.  With as many splits as cores, so on any large
+    input, this returns the scan untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def read_catalog(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Full scan of a catalog table with its declared schema."""
     return spark.read.schema(schemas.TABLES[table]).parquet(f"{root.rstrip('/')}/{table}")
