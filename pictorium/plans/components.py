@@ -58,9 +58,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
     for _ in range(MAX_ROUNDS):
         if not seen["n"]:
             break
-        large, _ = scratch.write(_large_star(current, seen["n"], hot_rows, scratch).distinct(), **fingerprint)
+        large = _large_star(current, seen["n"], hot_rows, scratch).distinct()
+        staged = seen["n"] > hot_rows
+        if staged:  # one job per round while the graph is small
+            large, _ = scratch.write(large)
         table, after = scratch.write(_small_star(large, seen["n"], hot_rows, scratch), **fingerprint)
-        scratch.drop(large)
+        if staged:
+            scratch.drop(large)
         scratch.drop(current)
         current = table
         if (after["n"], after["x"]) == (seen["n"], seen["x"]):

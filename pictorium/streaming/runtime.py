@@ -35,7 +35,8 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def stream_assets(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Watch a folder for new files: ``path, modificationTime, length, content``."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     from pictorium.sources.tables import keep_supported
