@@ -64,6 +64,11 @@ def stream_retry_state(spark, d):
     return jobs.stream_retry_state(A.attempts_of(stream_table(spark, d, "events")))
 
 
+@check("n5_stream_retry_updates", with_views("attempts", _RETRY))
+def stream_retry_updates(spark, d):
+    return jobs.stream_retry_updates(A.attempts_of(stream_table(spark, d, "events")))
+
+
 @check("n6_stream_daily_accuracy", with_views("assets", """
     SELECT strftime(ai_processed_at, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (WHERE ai_tag_status = 'verified') AS correct,
       round(count(*) FILTER (WHERE ai_tag_status = 'verified') / count(*), 9) AS accuracy

@@ -15,7 +15,7 @@ from pictorium.functions.text import base_name, contains_ci
 from pictorium.plans.components import connected_components
 from pictorium.plans.ordering import number_all
 from pictorium.plans.paths import shortest_path as _shortest_path
-from pictorium.plans.scratch import Scratch
+from pictorium.plans.scratch import Scratch, materialize
 from pictorium.plans.skew import HOT_ROWS
 from pictorium.plans.vector_join import cosine_pairs
 
@@ -226,10 +226,17 @@ def search_nodes(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
 
 class Graph:
-    """The tables of one build: nodes, edges, parts (components)."""
+    """The tables of one build: nodes, edges and, once asked for, parts
+    (components)."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, parts: DataFrame):
-        self.nodes, self.edges, self.parts = nodes, edges, parts
+    def __init__(self, nodes: DataFrame, edges: DataFrame, parts: DataFrame | None = None):
+        self.nodes, self.edges, self._parts = nodes, edges, parts
+
+    @property
+    def parts(self) -> DataFrame:
+        if self._parts is None:
+            self._parts = materialize(components(self.nodes, self.edges), "parts")
+        return self._parts
 
     def node_table(self) -> DataFrame:
         """Stored form of the nodes (properties as JSON)."""
@@ -253,8 +260,8 @@ class Graph:
 
 
 def build_graph(assets: DataFrame, vectors: DataFrame | None = None, threshold: float = V.SEMANTIC_FROM) -> Graph:
-    """Image nodes, tag nodes, semantic and tag edges, components.  Nodes and
-    edges are written once, as everything downstream reads them repeatedly."""
+    """Image nodes, tag nodes, semantic and tag edges; components follow on
+    first use.  Nodes and edges are written once, as everything downstream reads them repeatedly."""
     scratch = Scratch(assets.sparkSession, "graph")
     images = image_nodes(assets)
     tags = tag_nodes(images)
@@ -267,5 +274,4 @@ def build_graph(assets: DataFrame, vectors: DataFrame | None = None, threshold:
             semantic = semantic.join(known.withColumnRenamed("id", end), end, "left_semi")
         edges = semantic.select(*edges.columns).unionByName(edges)
     edges, _ = scratch.write(dedup_edges(edges))
-    parts, _ = scratch.write(components(nodes, edges))
-    return Graph(nodes, edges, parts)
+    return Graph(nodes, edges)

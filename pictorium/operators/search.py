@@ -95,7 +95,8 @@ def search(
     best = page(hits.join(allowed.select("id", "created_at"), "id"), _ranked(), limit, offset)
     # at most `limit` rows
     wide = assets.select("id", *WIDE).join(F.broadcast(best), "id")
-    return wide.orderBy(*_ranked())
+    # a limit makes the final order a top-k: no range shuffle, no sampling job
+    return wide.orderBy(*_ranked()).limit(limit)
 
 
 def search_many(

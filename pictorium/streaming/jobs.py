@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,32 +115,57 @@ def _retry_columns(ok_us: Column, failures_us: Column, max_attempts: int) -> lis
     return [status.alias("status"), n.alias("retry_count"), F.when(status == "pending", wait).alias("next_retry_us")]
 
 
-def retry_state(attempts: DataFrame, max_attempts: int = V.MAX_ATTEMPTS) -> DataFrame:
-    """Batch form over ``(item, ts, ok)``: an item is completed by its first
-    success and failed by its third failure, whichever comes first; otherwise
-    it waits ``2^n`` seconds after the last failure."""
-    from pyspark.sql import Window
-
-    us = attempts.select("item", "ok", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+def _earliest(us: DataFrame, max_attempts: int) -> DataFrame:
+    """First success and earliest failures of every item: all that decides its
+    state.  At most that many rows per item and task reach the shuffle."""
     order = Window.partitionBy("item", "ok").orderBy("us")
-    # at most max_attempts rows per item and task reach the shuffle
-    few = us.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_attempts)
-    state = few.groupBy("item").agg(
+    ranked = us.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_attempts)
+    return ranked.filter(~F.col("ok") | (F.col("_rank") == 1)).drop("_rank")
+
+
+def _states(earliest: DataFrame, max_attempts: int) -> DataFrame:
+    # at most max_attempts + 1 rows per item
+    state = earliest.groupBy("item").agg(
         F.min(F.when(F.col("ok"), F.col("us"))).alias("ok_us"),
         F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("us")))).alias("failures"),
     )
     return state.select("item", *_retry_columns(F.col("ok_us"), F.col("failures"), max_attempts))
 
 
+def _micros(attempts: DataFrame) -> DataFrame:
+    return attempts.select("item", "ok", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+def retry_state(attempts: DataFrame, max_attempts: int = V.MAX_ATTEMPTS) -> DataFrame:
+    """Batch form over ``(item, ts, ok)``: an item is completed by its first
+    success and failed by its third failure, whichever comes first; otherwise
+    it waits ``2^n`` seconds after the last failure."""
+    return _states(_earliest(_micros(attempts), max_attempts), max_attempts)
+
+
 def stream_retry_state(attempts: DataFrame, max_attempts: int = V.MAX_ATTEMPTS, **where) -> DataFrame:
-    """Streaming form of :func:`retry_state`.
+    """Streaming form of :func:`retry_state`, without a Python worker.
+
+    What decides an item merges in any order, so a batch stores its first
+    success and earliest failures per item, and reading merges the batches;
+    late rows are handled exactly.
+    """
+    us = _micros(attempts)
+    out = drain(us, "append", lambda batch, _: _earliest(batch, max_attempts), **where)
+    stored = read_batches(attempts.sparkSession, out, us.schema).drop("batch_id")
+    return _states(_earliest(stored, max_attempts), max_attempts)
+
+
+def stream_retry_updates(attempts: DataFrame, max_attempts: int = V.MAX_ATTEMPTS, **where) -> DataFrame:
+    """The same states kept in the state store, for consumers that want every
+    change of an item as it happens; it costs a Python call per item and batch.
 
     The state of an item is its first success and its earliest failures, which
     merge in any order; late rows are therefore handled exactly.  Each task
     first reduces its rows to that many per item, so an item that makes up a
     third of the stream sends a handful of rows per task.
     """
-    us = attempts.select("item", "ok", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    us = _micros(attempts)
 
     def earliest(batches):
         for pdf in batches:
@@ -155,11 +180,11 @@ def stream_retry_state(attempts: DataFrame, max_attempts: int = V.MAX_ATTEMPTS,
         ok, failures = state.get if state.exists else (None, [])
         failures = list(failures)
         for pdf in chunks:
-            good = pdf.loc[pdf["ok"], "us"]
-            if len(good):
-                first = int(good.min())
+            us, good = pdf["us"].to_numpy(), pdf["ok"].to_numpy()
+            if good.any():
+                first = int(us[good].min())
                 ok = first if ok is None else min(ok, first)
-            failures = sorted([*failures, *(int(x) for x in pdf.loc[~pdf["ok"], "us"])])[:max_attempts]
+            failures = sorted([*failures, *us[~good].tolist()])[:max_attempts]
         state.update((ok, failures))
         before = [t for t in failures if ok is None or t < ok]
         n = len(before)

@@ -33,6 +33,7 @@ def test_retry_state_over_files(spark, tmp_path):
     stream = stream_files(spark, str(tmp_path / "in"), df.schema, max_files=1)
     want = {tuple(r) for r in jobs.retry_state(df).collect()}
     assert {tuple(r) for r in jobs.stream_retry_state(stream).collect()} == want
+    assert {tuple(r) for r in jobs.stream_retry_updates(stream).collect()} == want
 
 
 def test_error_patterns_continue_after_restart(spark, tmp_path):
