@@ -1,7 +1,7 @@
 """Inverted-index search.
 
 Postings are rows ``(image_id, term, field, weight)``, unique per (image,
-term); :func:`write_index` stores them sorted by term so that a query's terms
+term), which building and refreshing preserve; :func:`write_index` stores them sorted by term so that a query's terms
 skip row groups.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pictorium.functions.text import contains_ci, query_tokens, tokenize
 
 from .catalog import asset_predicate
-from .common import page, without_ids
+from .common import IN_LIST, page, without_ids
 
 WIDE = ["file_path", "file_name", "ai_description", "ai_category", "ai_confidence"]
 
@@ -68,10 +68,8 @@ def _ranked() -> list[Column]:
 
 
 def _scores(matches: DataFrame, keys: list[str]) -> DataFrame:
-    # the set holds at most the terms of one query
-    return matches.groupBy(*keys).agg(
-        F.size(F.collect_set("term")).cast("long").alias("match_count"), F.sum("weight").alias("relevance_score")
-    )
+    # postings are unique per (image, term), so rows are distinct terms
+    return matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("match_count"), F.sum("weight").alias("relevance_score"))
 
 
 def search(
@@ -85,18 +83,24 @@ def search(
 ) -> DataFrame:
     """Best assets for one query string.
 
-    Ranking runs on (id, created_at) only; the wide columns are fetched for the
-    ``limit`` winners, so descriptions never enter a shuffle.
+    Ranking runs on (id, created_at) only, so descriptions never enter a
+    shuffle.  The page found (at most ``limit`` rows) comes to the driver and
+    its ids are pushed to the scan of the wide columns, which then skips the
+    row groups without them.  A page too long for an IN list is joined instead.
     """
-    terms = query_tokens(assets.sparkSession, query, words)
+    spark = assets.sparkSession
+    terms = query_tokens(spark, query, words)
     filters.setdefault("tag_mode", "substring")
     allowed = assets.filter((F.col("ai_status") == "completed") & asset_predicate(**filters))
     hits = _scores(postings.filter(F.col("term").isin(terms)), ["image_id"]).withColumnRenamed("image_id", "id")
     best = page(hits.join(allowed.select("id", "created_at"), "id"), _ranked(), limit, offset)
-    # at most `limit` rows
-    wide = assets.select("id", *WIDE).join(F.broadcast(best), "id")
+    wide = assets.select("id", *WIDE)
+    if limit <= IN_LIST:
+        found = best.collect()
+        wide = wide.filter(F.col("id").isin([r["id"] for r in found]))
+        best = spark.createDataFrame(found, best.schema)
     # a limit makes the final order a top-k: no range shuffle, no sampling job
-    return wide.orderBy(*_ranked()).limit(limit)
+    return wide.join(F.broadcast(best), "id").orderBy(*_ranked()).limit(limit)
 
 
 def search_many(
