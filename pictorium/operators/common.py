@@ -14,7 +14,7 @@ IN_LIST = 500
 def only_ids(df: DataFrame, ids: DataFrame | Iterable[int], column: str = "id") -> DataFrame:
     """Rows whose key is in ``ids`` (a list, or a frame with column ``id``)."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col("id").alias(column)).distinct(), column, "left_semi")
+        return df.join(ids.select(F.col("id").alias(column)), column, "left_semi")
     wanted = list(dict.fromkeys(ids))
     if len(wanted) <= IN_LIST:
         return df.filter(F.col(column).isin(wanted))

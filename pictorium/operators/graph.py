@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import fixed_values as V
 from pictorium.functions.text import base_name, contains_ci
+from pictorium.functions.vectors import norm
 from pictorium.plans.components import connected_components
 from pictorium.plans.ordering import number_all
 from pictorium.plans.paths import shortest_path as _shortest_path
 from pictorium.plans.scratch import Scratch, materialize
-from pictorium.plans.skew import HOT_ROWS
+from pictorium.plans.skew import HOT_ROWS, lookup_join
 from pictorium.plans.vector_join import cosine_pairs
 
 EDGE_TYPES = V.EDGE_TYPES
@@ -73,16 +74,30 @@ def _edge(source: Column, target: Column, kind: str, weight: Column) -> list[Col
 
 
 def semantic_edges(vectors: DataFrame, threshold: float = V.SEMANTIC_FROM, **options) -> DataFrame:
-    """An edge for every pair ``(id, embedding)`` with cosine >= threshold;
-    ids become image nodes."""
-    pairs = cosine_pairs(vectors, threshold, **options)
+    """An edge for every pair of different vectors ``(id, embedding)`` with
+    cosine >= threshold; ids become image nodes.
+
+    Copies of one vector have the same edges.  They are not written out pair by
+    pair: each copy gets one edge of weight 1 to the first of them, whose edges
+    stand for all.
+    """
+    first = vectors.groupBy("embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    first, seen = Scratch(vectors.sparkSession, "distinct").write(first, total=F.sum("n"), hot=F.max("n"))
+    pairs = cosine_pairs(first.select("id", "embedding"), threshold, **options)
+    if (seen["hot"] or 0) > 1 and threshold <= 1:
+        usable = vectors.filter((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0))
+        several = first.filter("n > 1").select("embedding", F.col("id").alias("a"))
+        copies = lookup_join(usable, several, ["embedding"], seen["total"], HOT_ROWS, first.select("embedding", "n")).filter("id != a")
+        pairs = pairs.unionByName(copies.select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
     return pairs.select(*_edge(image_node_id(F.col("a")), image_node_id(F.col("b")), "semantic", F.col("similarity")))
 
 
-def tag_edges(images: DataFrame, tags: DataFrame) -> DataFrame:
-    """Image to each of its tag nodes, once."""
+def tag_edges(images: DataFrame, tags: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Image to each of its tag nodes, once.  A tag's count says beforehand
+    whether it is a hot key of the join."""
     held = images.select(F.col("id").alias("image"), F.explode(F.array_distinct("tags")).alias("label"))
-    joined = held.join(tags.select("label"), "label")
+    total = tags.agg(F.sum("tag_count")).head()[0] or 0
+    joined = lookup_join(held, tags.select("label"), ["label"], total, hot_rows, tags.select("label", F.col("tag_count").alias("n")))
     return joined.select(*_edge(F.col("image"), tag_node_id(F.col("label")), "tag_overlap", F.lit(1.0)))
 
 
@@ -155,9 +170,11 @@ def neighbours(nodes: DataFrame, edges: DataFrame, node_id: str, types: list[str
 
 
 def neighbours_many(asked: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """Batch form: ``asked(node)`` to the k heaviest neighbours of each."""
+    """Batch form: ``asked(node)``, each node once, to the k heaviest
+    neighbours of each.  Both sides of the join are plain shuffles, so AQE
+    splits a node with very many edges, and the rank ships k rows per task."""
     order = Window.partitionBy("node").orderBy(F.desc("weight"), "neighbour", "edge_type")
-    near = both_ways(edges).join(asked.select("node").distinct(), "node")
+    near = both_ways(edges).join(asked.select("node"), "node")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pictorium.functions.text import plain_tokens
@@ -54,8 +54,9 @@ def text_vectors(rows: DataFrame, id_col: str, text_col: str, dimension: int = 5
     sign = F.when(F.conv(F.substring(token, 5, 1), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
     tokens = rows.select(F.col(id_col).alias("id"), F.explode(plain_tokens(F.col(text_col))).alias("token"))
     sums = tokens.groupBy("id", index.alias("index")).agg(F.sum(sign).alias("total")).filter("total != 0")
-    lengths = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("total").cast("double") * F.col("total"))).alias("length"))
-    return sums.join(lengths, "id").select("id", "index", (F.col("total") / F.col("length")).alias("value"))
+    # a window over at most `dimension` rows per id
+    length = F.sqrt(F.sum(F.col("total").cast("double") * F.col("total")).over(Window.partitionBy("id")))
+    return sums.select("id", "index", (F.col("total") / length).alias("value"))
 
 
 def dense_text_vectors(sparse: DataFrame, dimension: int = 512) -> DataFrame:

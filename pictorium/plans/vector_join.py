@@ -24,7 +24,7 @@ from pictorium.functions.vectors import l2_normalize, norm
 from .scratch import Scratch
 
 BLOCK = 4096
-MAX_PIVOTS = 256
+MAX_PIVOTS = 4096
 # a broadcast query matrix holds at most this many numbers (64 MB of doubles)
 MAX_BROADCAST_NUMBERS = 8_000_000
 
@@ -39,11 +39,13 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def _place_in_cells(units: DataFrame, pivots, radius: float) -> DataFrame:
     """Rows ``(id, v, cell, resident)``."""
     id_type = units.schema["id"].dataType.simpleString()
+    shipped = units.sparkSession.sparkContext.broadcast(pivots)
 
     def place(batches):
         import numpy as np
         import pyarrow as pa
 
+        pivots = shipped.value
         gaps = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-300))
         for batch in batches:
             if batch.num_rows == 0:
@@ -88,7 +90,8 @@ def cosine_pairs(
     if wanted > 1:
         import numpy as np
 
-        # at most MAX_PIVOTS vectors reach the driver
+        # at most MAX_PIVOTS vectors reach the driver; being a sample, they
+        # lie densest where the vectors do
         sample = units.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
         centre = np.unique(np.array([r["v"] for r in sample]), axis=0)
         radius = math.sqrt(max(2 - 2 * threshold, 0.0))

@@ -75,3 +75,19 @@ def test_bad_properties_become_empty(spark, tmp_path):
     for name in ("kg_nodes", "kg_edges", "kg_communities"):
         spark.createDataFrame([("a", "b", "c", "t", 1.0, "{broken")], "id string, source_id string, target_id string, edge_type string, weight double, properties string").write.parquet(str(tmp_path / name))
     assert tables.load_graph(spark, str(tmp_path))["nodes"].head()["properties"] == {}
+
+
+@pytest.mark.parametrize("hot", [1, 10**6])
+def test_tag_edges_with_a_hot_tag(spark, hot):
+    rows = [(i, f"/x/{i}.jpg", "completed", ["all", f"t{i % 7}"], None, None) for i in range(60)]
+    assets = spark.createDataFrame(rows, "id long, file_path string, ai_status string, ai_tags array<string>, ai_description string, ai_category string")
+    images = graph.image_nodes(assets)
+    got = graph.tag_edges(images, graph.tag_nodes(images), hot_rows=hot)
+    want = {(f"img_{i}", f"tag_{t}") for i, _, _, tags, _, _ in rows for t in tags}
+    assert got.count() == len(want) and {(r["source_id"], r["target_id"]) for r in got.collect()} == want
+
+
+def test_copies_hang_on_the_first(spark):
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.8, 0.6]) for i in range(9)] + [(20, [0.0, 0.0]), (21, [0.0, 0.0])], "id long, embedding array<float>")
+    got = {(r["source_id"], r["target_id"], round(r["weight"], 6)) for r in graph.semantic_edges(vectors, 0.7).collect()}
+    assert got == {("img_0", "img_1", 0.8), ("img_0", "img_3", 1.0), ("img_0", "img_6", 1.0)} | {("img_1", f"img_{i}", 1.0) for i in (2, 4, 5, 7, 8)}
