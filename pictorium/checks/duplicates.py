@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pictorium.functions import files, hashing
-from pictorium.functions import fixed_values as V
 from pictorium.operators import dedup as D
 from pictorium.operators import ingest
 from pictorium.plans.scratch import Scratch

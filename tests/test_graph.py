@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from pictorium.operators import graph
 from pictorium.sources import sinks, tables
