@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, packing, secrets
+from . import decontaminate, exact, licenses, packing, secrets, urls
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -47,3 +47,14 @@ def op4(spark, d):
 @query("op5_packing")
 def op5(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
+
+
+@query("op6_license_scan", licenses.oracle())
+def op6(spark, d):
+    return licenses.scan_licenses(table(spark, d, "documents"))
+
+
+@query("op7_url_filter", urls.ORACLE_SQL)
+def op7(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return urls.judge_captures(urls.captures_of(pages), urls.changes_of(pages))
