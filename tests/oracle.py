@@ -66,7 +66,6 @@ _KIND = {"bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER", "double": "D
 
 
 def main():
-    from pictorium.checks import ENTRIES
     from pictorium.session import local_session
 
     args = sys.argv[1:]
@@ -77,12 +76,15 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0
-    for name, e in ENTRIES.items():
+    import __spark_entry__ as entry
+
+    sql = entry.oracle_sql()
+    for name, run in entry.queries().items():
         if args and not any(name == p or name.startswith(p) for p in args):
             continue
         t = time.time()
         try:
-            problem, n, kinds, theirs = compare(spark, con, sf, e.run, e.sql)
+            problem, n, kinds, theirs = compare(spark, con, sf, run, sql.get(name))
         except Exception as error:  # report and go on
             problem, n, kinds, theirs = f"{type(error).__name__}: {str(error)[:1500]}", -1, {}, {}
         odd = {c: (k, theirs[c]) for c, k in kinds.items() if c in theirs and _KIND.get(k, k) != theirs[c]}
