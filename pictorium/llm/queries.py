@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, licenses, packing, secrets, urls
+from . import decontaminate, exact, licenses, packing, quality, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -58,3 +58,15 @@ def op6(spark, d):
 def op7(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")
     return urls.judge_captures(urls.captures_of(pages), urls.changes_of(pages))
+
+
+@query("op8_toxicity")
+def op8(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, d, "labels")))
+
+
+@query("op9_quality")
+def op9(spark, d):
+    docs = table(spark, d, "documents")
+    return quality.score_quality(docs, quality.fit(docs, table(spark, d, "labels")))
