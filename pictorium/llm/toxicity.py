@@ -41,7 +41,7 @@ from .sampling import SAMPLE_ROWS, labelled_sample
 
 PRIOR = 10_000.0
 Z = 3.0
-DRIFT = 0.5
+DRIFT = 0.2
 MOST = 6.0
 MAX_WORDS = 20_000
 E_MAX = 0.01
