@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, licenses, packing, quality, secrets, toxicity, urls
+from . import decontaminate, exact, licenses, near, packing, quality, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -70,3 +70,8 @@ def op8(spark, d):
 def op9(spark, d):
     docs = table(spark, d, "documents")
     return quality.score_quality(docs, quality.fit(docs, table(spark, d, "labels")))
+
+
+@query("op10_near_duplicates")
+def op10(spark, d):
+    return near.near_duplicates(table(spark, d, "documents"))
