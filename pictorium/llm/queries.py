@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, licenses, near, packing, quality, secrets, toxicity, urls
+from . import decontaminate, exact, licenses, lm, near, packing, quality, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -32,6 +32,11 @@ def op2(spark, d):
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query("op3_lm_score")
+def op3(spark, d):
+    return lm.score_documents(table(spark, d, "documents"))
+
+
 @query(
     "op4_exact_dedup",
     """
