@@ -34,7 +34,9 @@ from pictorium.plans.scratch import Scratch
 from .common import OWN
 
 CAPACITY = 200_000
-MAX_DEPTH = 62
+#: Deepest directory; a bucket that is still overfull there stays so.  Even keys need about
+#: log2(entries / capacity) + 4 bits.
+MAX_DEPTH = 24
 
 KEY, SHA, TEXT = OWN + "key", OWN + "sha", OWN + "text"
 
@@ -43,6 +45,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def bits_of(key: Column) -> Column:
+    """The key with its bits spread, so that prefixes divide keys evenly even if ``key`` is a weak hash."""
+    return F.xxhash64(key)
+
+
 def slot_of(key: Column, depth: int) -> Column:
     """The first ``depth`` bits of the key."""
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
@@ -105,7 +112,7 @@ def directory_frame(entries: DataFrame, depth: int, buckets: list[tuple[int, int
 def build_index(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY, key=text_key) -> DataFrame:
     """The index, read back from its shared files: bucket, key, chain, sha, keep_id, n."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), key(text).alias(KEY), text.alias(TEXT))
+    rows = docs.select(F.col("doc_id"), bits_of(key(text)).alias(KEY), text.alias(TEXT))
     grouped = rows.groupBy(KEY, TEXT).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     entries, _ = scratch.write(grouped.select(KEY, F.sha2(TEXT, 256).alias(SHA), "keep_id", "n"))
     depth, buckets = build_directory(entries, capacity)
@@ -120,7 +127,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, key=text_key) ->
     scratch = Scratch(docs.sparkSession, "exact-index")
     index = build_index(docs, scratch, capacity, key)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", key(text).alias(KEY), F.sha2(text, 256).alias(SHA))
+    rows = docs.select("doc_id", bits_of(key(text)).alias(KEY), F.sha2(text, 256).alias(SHA))
     found = rows.join(index, [KEY, SHA])
     return found.select(
         "doc_id",
@@ -140,7 +147,7 @@ def drop_exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, key=text_ke
     text = F.coalesce(F.col("text"), F.lit(""))
     place = F.struct("keep_id", F.col(KEY).alias("k"), F.col(SHA).alias("s"))
     keep = index.select(place.alias(OWN + "place"))
-    own = F.struct(F.col("doc_id").alias("keep_id"), key(text).alias("k"), F.sha2(text, 256).alias("s"))
+    own = F.struct(F.col("doc_id").alias("keep_id"), bits_of(key(text)).alias("k"), F.sha2(text, 256).alias("s"))
     rows = docs.withColumn(OWN + "place", own)
     kept = rows.join(keep, rows[OWN + "place"].eqNullSafe(keep[OWN + "place"]), "left_semi")
     # the join has sorted by place already: rows that repeat id and text are numbered without a shuffle
