@@ -137,8 +137,8 @@ def path_issue(spark, d):
     even = F.col("page_id") % 2 == 0
     host = F.regexp_replace("url", "^https?:", "")
     rows = pages.select("page_id", files.path_issue(F.concat("url", tail)).alias("issue"))
-    bare = pages.select((-1 - F.col("page_id")).alias("page_id"), files.path_issue(F.when(even, host).otherwise(F.substring(host, 3, 1000000))).alias("issue"))
-    out = F.concat(F.when(even, F.lit("/ETC/")).otherwise(F.lit("/home/x/../")), F.substring(host, 3, 1000000))
+    bare = pages.select((-1 - F.col("page_id")).alias("page_id"), files.path_issue(F.when(even, host).otherwise(F.substr(host, F.lit(3)))).alias("issue"))
+    out = F.concat(F.when(even, F.lit("/ETC/")).otherwise(F.lit("/home/x/../")), F.substr(host, F.lit(3)))
     export = pages.select((-1000000 - F.col("page_id")).alias("page_id"), files.export_path_issue(out).alias("issue"))
     return rows.unionByName(bare).unionByName(export)
 

@@ -80,6 +80,37 @@ def semantic_edges_blocks(spark, d):
     return out.select("source_id", "target_id", F.round("weight", 6).alias("weight"))
 
 
+# every fourth vector again, every eighth scaled, every tenth empty or zero
+view("planted", """
+    SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    UNION ALL SELECT 1000000 + vec_id, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 4 = 0
+    UNION ALL SELECT 2000000 + vec_id, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 4 = 0
+    UNION ALL SELECT 3000000 + vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 2) FROM embeddings WHERE vec_id % 8 = 0""")
+view("planted_pairs", f"""
+    SELECT a.id, b.id AS neighbour, list_cosine_similarity(a.v, b.v) AS similarity FROM planted a JOIN planted b ON a.id <> b.id
+    WHERE list_cosine_similarity(a.v, b.v) >= {THRESHOLD}""", "planted")
+
+
+def _planted(spark, d):
+    base = A.vectors(spark, d).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    again = base.filter("id % 4 = 0")
+    scaled = base.filter("id % 8 = 0").select((F.col("id") + 3_000_000).alias("id"), F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    nothing = base.filter("id % 10 = 0").select((F.col("id") + 4_000_000).alias("id"), F.when(F.col("id") % 20 == 0, F.slice("embedding", 1, 0)).otherwise(F.transform("embedding", lambda x: x * 0)).alias("embedding"))
+    copies = [again.select((F.col("id") + n * 1_000_000).alias("id"), "embedding") for n in (1, 2)]
+    return base.unionByName(copies[0]).unionByName(copies[1]).unionByName(scaled).unionByName(nothing)
+
+
+@check("j3_semantic_pairs_of_copies", with_views("planted_pairs", "SELECT id, neighbour, round(similarity, 6) AS similarity FROM planted_pairs"))
+def semantic_pairs_of_copies(spark, d):
+    out = J.expand_pairs(J.semantic_pairs(_planted(spark, d), THRESHOLD))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@check("j3_degrees_of_copies", with_views("planted, planted_pairs", "SELECT p.id, count(n.neighbour) AS degree FROM planted p LEFT JOIN planted_pairs n ON n.id = p.id GROUP BY 1"))
+def degrees_of_copies(spark, d):
+    return J.pair_degrees(J.semantic_pairs(_planted(spark, d), THRESHOLD))
+
+
 @check("j4_tag_edges", with_views("tag_links", "SELECT * FROM tag_links"))
 def tag_edges(spark, d):
     images = J.image_nodes(A.assets(spark, d))

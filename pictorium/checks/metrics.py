@@ -93,7 +93,7 @@ def calibration_change(spark, d):
 _TREND = """
     SELECT strftime(ai_processed_at, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (WHERE ai_tag_status = 'verified') AS correct,
       round(count(*) FILTER (WHERE ai_tag_status = 'verified') / count(*), 9) AS accuracy
-    FROM assets WHERE ai_status = 'completed' AND ai_processed_at >= TIMESTAMP '2024-01-06' GROUP BY 1"""
+    FROM assets WHERE ai_status = 'completed' AND ai_processed_at >= TIMESTAMP '2024-01-06' AND ai_processed_at < TIMESTAMP '2024-01-27' GROUP BY 1"""
 
 
 @check("h9_accuracy_trend", with_views("assets", _TREND))
@@ -146,7 +146,7 @@ def progress(spark, d):
     SELECT tag, n, round(n / greatest(1, max(n) OVER ()), 9) AS bar FROM (SELECT unnest(ai_tags) AS tag, 1 AS one FROM assets) t
     JOIN (SELECT tag AS k, count(*) AS n FROM (SELECT unnest(ai_tags) AS tag FROM assets) GROUP BY 1) c ON c.k = t.tag GROUP BY tag, n"""))
 def relative_bar(spark, d):
-    return M.relative_bar(M.tag_cloud(A.assets(spark, d), 1000)).select("tag", "n", r("bar"))
+    return M.relative_bar(M.tag_cloud(A.assets(spark, d), None)).select("tag", "n", r("bar"))
 
 
 @check("h17_component_health", """

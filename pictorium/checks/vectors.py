@@ -56,6 +56,27 @@ def cosine_topk_blocks(spark, d):
     return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+# lengths of 64, 40 and 0, and zero vectors
+view("mixed", """
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN list_transform(e, lambda x: x * 0) WHEN vec_id % 5 = 0 THEN e[1:40] WHEN vec_id % 11 = 0 THEN [] ELSE e END AS v
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
+view("mixed_sims", """
+    SELECT q.id AS query_id, b.id, CASE WHEN len(q.v) = len(b.v) AND len(q.v) > 0 AND list_sum(list_transform(q.v, lambda x: x * x)) > 0
+      AND list_sum(list_transform(b.v, lambda x: x * x)) > 0 THEN list_cosine_similarity(q.v, b.v) ELSE 0 END AS s
+    FROM mixed q JOIN mixed b ON q.id % 10 < 4""", "mixed")
+
+
+@check("k2_cosine_topk_mixed_lengths", with_views("mixed_sims", """
+    SELECT query_id, id, round(s, 6) AS similarity, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM mixed_sims WHERE s >= 0) WHERE rank <= 300"""))
+def cosine_topk_mixed_lengths(spark, d):
+    e = F.col("embedding")
+    v = F.when(F.col("id") % 7 == 0, F.transform(e, lambda x: x * 0)).when(F.col("id") % 5 == 0, F.slice(e, 1, 40)).when(F.col("id") % 11 == 0, F.slice(e, 1, 0)).otherwise(e)
+    base = A.vectors(spark, d).select("id", v.alias("embedding"))
+    out = K.search_vectors(base.filter("id % 10 < 4").withColumnRenamed("id", "query_id"), base, 300, 0.0, tile=128)
+    return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @check("k3_cosine", with_views("vecs", """
     SELECT a.id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity, CAST(0 AS DOUBLE) AS mismatch FROM vecs a JOIN vecs b ON b.id = a.id + 1"""))
 def cosine(spark, d):

@@ -33,7 +33,7 @@ def batch_tag_correction(assets: DataFrame, ids, tags: list[str], operation: str
         raise ValueError(f"unknown operation {operation!r}")
     if not tags and operation != "remove":
         raise ValueError("tags may only be empty when removing")
-    wanted = ids.select("id").distinct() if isinstance(ids, DataFrame) else id_frame(assets, dict.fromkeys(ids))
+    wanted = ids.select("id").distinct() if isinstance(ids, DataFrame) else id_frame(assets, ids)
     given = F.array(*[F.lit(t) for t in tags]).cast(_EMPTY)
     current = F.coalesce("ai_tags", F.array().cast(_EMPTY))
     known = assets.select("id", current.alias("old_tags")).join(wanted, "id", "left_semi")

@@ -7,6 +7,8 @@ are undirected for every traversal.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,22 +75,62 @@ def _edge(source: Column, target: Column, kind: str, weight: Column) -> list[Col
     ]
 
 
+class SemanticPairs(NamedTuple):
+    """All similar pairs, factorised: ``pairs(a, b, similarity)`` between the first of each group of
+    equal vectors, and ``members(id, first, copies)`` of all groups."""
+
+    pairs: DataFrame
+    members: DataFrame
+
+
+def semantic_pairs(vectors: DataFrame, threshold: float = V.SEMANTIC_FROM, **options) -> SemanticPairs:
+    """Pairs of vectors ``(id, embedding)`` with cosine >= threshold.  Copies
+    of one vector are never written out pair by pair; see :func:`expand_pairs`
+    and :func:`pair_degrees` for what every copy is linked to.  Empty and all-zero vectors are similar to nothing."""
+    usable = vectors.filter((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0)).select("id", "embedding")
+    first = usable.groupBy("embedding").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    scratch = Scratch(vectors.sparkSession, "distinct")
+    first, seen = scratch.write(first, total=F.sum("copies"))
+    pairs = cosine_pairs(first.select(F.col("first").alias("id"), "embedding"), threshold, **options)
+    members = lookup_join(usable, first, ["embedding"], seen["total"] or 0, HOT_ROWS, first.select("embedding", F.col("copies").alias("n")))
+    return SemanticPairs(pairs, scratch.write(members.select("id", "first", "copies"))[0])
+
+
+def _similar_groups(found: SemanticPairs) -> DataFrame:
+    """``(first, other, similarity)`` in both directions, and a group with itself if it has copies."""
+    there = found.pairs.select(F.col("a").alias("first"), F.col("b").alias("other"), "similarity")
+    back = found.pairs.select(F.col("b").alias("first"), F.col("a").alias("other"), "similarity")
+    own = found.members.filter("id = first and copies > 1").select("first", F.col("first").alias("other"), F.lit(1.0).alias("similarity"))
+    return there.unionByName(back).unionByName(own)
+
+
+def expand_pairs(found: SemanticPairs, asked: DataFrame | None = None) -> DataFrame:
+    """``(id, neighbour, similarity)`` of the asked vectors (column ``id``), or of all: every
+    copy with every copy of every similar vector.  Its size is that of the answer, so ask for some when groups are large."""
+    mine = found.members if asked is None else found.members.join(asked.select("id").distinct(), "id", "left_semi")
+    others = found.members.select(F.col("id").alias("neighbour"), F.col("first").alias("other"))
+    near = mine.select("id", "first").join(_similar_groups(found), "first").join(others, "other")
+    return near.filter("id != neighbour").select("id", "neighbour", "similarity")
+
+
+def pair_degrees(found: SemanticPairs) -> DataFrame:
+    """``(id, degree)`` from the group sizes, without writing out pairs."""
+    sizes = found.members.filter("id = first").select(F.col("first").alias("other"), "copies")
+    total = _similar_groups(found).join(sizes, "other").groupBy("first").agg(F.sum("copies").alias("total"))
+    degree = F.coalesce("total", F.lit(0)) - F.when(F.col("copies") > 1, 1).otherwise(0)
+    return found.members.join(total, "first", "left").select("id", degree.cast("long").alias("degree"))
+
+
 def semantic_edges(vectors: DataFrame, threshold: float = V.SEMANTIC_FROM, **options) -> DataFrame:
-    """An edge for every pair of different vectors ``(id, embedding)`` with
-    cosine >= threshold; ids become image nodes.
-
-    Copies of one vector have the same edges.  They are not written out pair by
-    pair: each copy gets one edge of weight 1 to the first of them, whose edges
-    stand for all.
-    """
-    first = vectors.groupBy("embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    first, seen = Scratch(vectors.sparkSession, "distinct").write(first, total=F.sum("n"), hot=F.max("n"))
-    pairs = cosine_pairs(first.select("id", "embedding"), threshold, **options)
-    if (seen["hot"] or 0) > 1 and threshold <= 1:
-        usable = vectors.filter((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0))
-        several = first.filter("n > 1").select("embedding", F.col("id").alias("a"))
-        copies = lookup_join(usable, several, ["embedding"], seen["total"], HOT_ROWS, first.select("embedding", "n")).filter("id != a")
-        pairs = pairs.unionByName(copies.select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    """Stored edges of :func:`semantic_pairs`; ids become image nodes.
+
+    Each copy of a vector has one edge of weight 1 to the first of them, whose edges stand for all: the
+    same components, in linear size.  Exact neighbours and degrees of copies come from the pairs."""
+    found = semantic_pairs(vectors, threshold, **options)
+    pairs = found.pairs
+    if threshold <= 1:
+        copies = found.members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+        pairs = pairs.unionByName(copies)
     return pairs.select(*_edge(image_node_id(F.col("a")), image_node_id(F.col("b")), "semantic", F.col("similarity")))
 
 
@@ -178,11 +220,11 @@ def neighbours_many(asked: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
     return _shortest_path(edges, source, target, max_depth, "source_id", "target_id")
 
 
-def path_length(edges: DataFrame, source: str, target: str, max_depth: int = 64) -> DataFrame:
+def path_length(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
     """One row with the hop count; NULL when unreachable."""
     return shortest_path(edges, source, target, max_depth).agg(F.max("step").alias("length"))
 
@@ -192,7 +234,7 @@ def path_edges(edges: DataFrame, path: DataFrame) -> DataFrame:
     hops = path.select(F.col("step"), F.col("node").alias("to_id"), F.lag("node").over(Window.orderBy("step")).alias("from_id")).filter("step > 0")
     links = both_ways(edges).select(F.col("node").alias("from_id"), F.col("neighbour").alias("to_id"), "weight")
     best = links.join(F.broadcast(hops), ["from_id", "to_id"]).groupBy("step", "from_id", "to_id").agg(F.max("weight").alias("weight"))
-    # a path has at most max_depth rows
+    # a path has a row per step
     return best.withColumn("total_weight", F.sum("weight").over(Window.orderBy("step")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pictorium.functions.files import extension, mime_from_extension, path_issue, reject_reason
 from pictorium.functions.hashing import content_sha256
+from pictorium.plans.scratch import materialize
 
 
 def validate_assets(files: DataFrame) -> DataFrame:
@@ -29,8 +30,9 @@ def exact_dedup(new: DataFrame, existing: DataFrame, order: str = "seq", column:
 
 
 def import_outcomes(files: DataFrame, existing: DataFrame, order: str = "seq") -> DataFrame:
-    """``outcome`` per input row: error, duplicate or success."""
-    checked = hash_content(validate_assets(files)).drop("content")
+    """``outcome`` per input row: error, duplicate or success.  The files are
+    read and hashed once; what is kept of them is a small table."""
+    checked = materialize(hash_content(validate_assets(files)).drop("content"), "checked")
     good = checked.filter(F.col("reason").isNull())
     fresh = exact_dedup(good.select(order, "file_hash"), existing, order).select(order, F.lit(True).alias("_fresh"))
     joined = checked.join(fresh, order, "left")

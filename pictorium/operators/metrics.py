@@ -85,8 +85,9 @@ def calibration_change(reports: DataFrame) -> DataFrame:
 
 def accuracy_trend(assets: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Per day: completed, verified, ratio, for the days up to ``as_of``."""
-    since = F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz")
-    done = assets.filter((F.col("ai_status") == "completed") & (F.col("ai_processed_at") >= since))
+    last = F.lit(as_of).cast("date")
+    since, until = F.date_sub(last, days).cast("timestamp_ntz"), F.date_add(last, 1).cast("timestamp_ntz")
+    done = assets.filter((F.col("ai_status") == "completed") & (F.col("ai_processed_at") >= since) & (F.col("ai_processed_at") < until))
     good = F.count_if(F.col("ai_tag_status") == "verified")
     return (
         done.groupBy(F.to_date("ai_processed_at").alias("day"))
@@ -128,9 +129,11 @@ def status_counts(assets: DataFrame) -> DataFrame:
     return assets.agg(*states, *grades)
 
 
-def tag_cloud(assets: DataFrame, k: int = 50) -> DataFrame:
+def tag_cloud(assets: DataFrame, k: int | None = 50) -> DataFrame:
+    """Tags by falling count: the first ``k``, or all."""
     tags = assets.filter(F.col("ai_tags").isNotNull()).select(F.explode("ai_tags").alias("tag"))
-    return tags.groupBy("tag").agg(_n().alias("n")).orderBy(F.desc("n"), "tag").limit(k)
+    counted = tags.groupBy("tag").agg(_n().alias("n")).orderBy(F.desc("n"), "tag")
+    return counted if k is None else counted.limit(k)
 
 
 def progress(assets: DataFrame, paused: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pictorium.functions.text import contains_ci, query_tokens, tokenize
 
 from .catalog import asset_predicate
-from .common import IN_LIST, page, without_ids
+from .common import page, without_ids
 
 WIDE = ["file_path", "file_name", "ai_description", "ai_category", "ai_confidence"]
 
@@ -84,9 +84,8 @@ def search(
     """Best assets for one query string.
 
     Ranking runs on (id, created_at) only, so descriptions never enter a
-    shuffle.  The page found (at most ``limit`` rows) comes to the driver and
-    its ids are pushed to the scan of the wide columns, which then skips the
-    row groups without them.  A page too long for an IN list is joined instead.
+    shuffle.  The page found meets the wide columns in a join that AQE plans from
+    its true size: a short page is broadcast, a long one is not.
     """
     spark = assets.sparkSession
     terms = query_tokens(spark, query, words)
@@ -95,12 +94,8 @@ def search(
     hits = _scores(postings.filter(F.col("term").isin(terms)), ["image_id"]).withColumnRenamed("image_id", "id")
     best = page(hits.join(allowed.select("id", "created_at"), "id"), _ranked(), limit, offset)
     wide = assets.select("id", *WIDE)
-    if limit <= IN_LIST:
-        found = best.collect()
-        wide = wide.filter(F.col("id").isin([r["id"] for r in found]))
-        best = spark.createDataFrame(found, best.schema)
     # a limit makes the final order a top-k: no range shuffle, no sampling job
-    return wide.join(F.broadcast(best), "id").orderBy(*_ranked()).limit(limit)
+    return wide.join(best, "id").orderBy(*_ranked()).limit(limit)
 
 
 def search_many(
@@ -143,7 +138,7 @@ def search_with_fallback(
     hits = hits.select("id", "match_count", "relevance_score", "created_at", F.lit(0).alias("stage"))
     told = narrative_matches(narratives, query).groupBy(F.col("image_id").alias("id")).agg(F.max("created_at").alias("told_at"))
     extra = (
-        told.join(F.broadcast(hits.select("id")), "id", "left_anti")  # one page of ids
+        told.join(hits.select("id"), "id", "left_anti")
         .join(assets.select("id"), "id", "left_semi")
         .orderBy(F.desc("told_at"), F.desc("id"))
         .limit(page_size)

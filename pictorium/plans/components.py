@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .skew import HOT_ROWS, lookup_join
 
-MAX_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame, total: int, hot_rows: int, scratch: Scratch) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -55,9 +53,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         "x": F.bit_xor(F.xxhash64("u", "v")),
     }
     current, seen = scratch.write(start, **fingerprint)
-    for _ in range(MAX_ROUNDS):
-        if not seen["n"]:
-            break
+    while seen["n"]:
         large = _large_star(current, seen["n"], hot_rows, scratch).distinct()
         staged = seen["n"] > hot_rows
         if staged:  # one job per round while the graph is small
@@ -70,8 +66,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         if (after["n"], after["x"]) == (seen["n"], seen["x"]):
             break
         seen = after
-    else:
-        raise RuntimeError("components did not settle")
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     if nodes is not None:
         joined = nodes.select("node").distinct().join(members, "node", "left")

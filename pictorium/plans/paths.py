@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 64, src: str = "src", dst: str = "dst") -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(step, node)`` from source (step 0) to target over undirected edges;
-    no rows when unreachable within ``max_depth``.
+    no rows when unreachable (within ``max_depth`` steps, if one is given).
 
     Every level is one join of the frontier with the edges and one anti join
     with the nodes seen so far.  Of several parents the smallest is kept.  Only
@@ -27,7 +27,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 6
     frontier = spark.createDataFrame([(source, None)], "node string, parent string")
     levels = [frontier]
     visited = frontier
-    for _ in range(max_depth):
+    while max_depth is None or len(levels) <= max_depth:
         step = both.join(frontier.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node"))
         fresh = step.agg(F.min("a").alias("parent")).join(visited.select("node"), "node", "left_anti")
         frontier, seen = scratch.write(fresh, n=F.count(F.lit(1)), hit=F.max(F.col("node") == target))

@@ -77,9 +77,19 @@ def cosine_pairs(
     block: int = BLOCK,
     pivots: int | None = None,
 ) -> DataFrame:
-    """All pairs ``(a, b, similarity)``, ``a < b``, with cosine >= threshold."""
+    """All pairs ``(a, b, similarity)``, ``a < b``, with cosine >= threshold.
+    Vectors of different length have similarity 0, so every length is joined by itself."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
+    lengths = [r[0] for r in vectors.filter(F.size(vec_col) > 0).select(F.size(vec_col)).distinct().collect()]  # a few
+    parts = [_pairs_of_one_length(vectors.filter(F.size(vec_col) == n), threshold, id_col, vec_col, block, pivots) for n in sorted(lengths) or [1]]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _pairs_of_one_length(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, block: int, pivots: int | None) -> DataFrame:
     scratch = Scratch(vectors.sparkSession, "vectors")
     units, seen = scratch.write(unit_vectors(vectors, id_col, vec_col), n=F.count(F.lit(1)))
     id_type = units.schema["id"].dataType.simpleString()
@@ -168,6 +178,48 @@ def cosine_pairs(
     return tasks.groupBy("cell", "l", "r").applyInArrow(compare, schema)
 
 
+class _Vectors:
+    """Ids and vectors of an Arrow batch, by length."""
+
+    def __init__(self, batch):
+        import numpy as np
+
+        self.ids = batch.column("id")
+        if hasattr(self.ids, "combine_chunks"):
+            self.ids = self.ids.combine_chunks()
+        column = batch.column("v")
+        if hasattr(column, "combine_chunks"):
+            column = column.combine_chunks()
+        flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+        ends = np.cumsum(sizes)
+        self.n, self.parts = len(sizes), {}
+        for size in np.unique(sizes[sizes > 0]):
+            rows = np.flatnonzero(sizes == size)
+            self.parts[int(size)] = (rows, flat[(ends[rows] - size)[:, None] + np.arange(size)])
+
+
+def _similarities(left: _Vectors, right: _Vectors, a: int, b: int, tile: int):
+    """Cosines of a tile of rows: 0 where the lengths differ or a vector is empty or zero."""
+    import numpy as np
+
+    out = np.zeros((min(tile, left.n - a), min(tile, right.n - b)))
+    for size in left.parts.keys() & right.parts.keys():
+        (i, x), (j, y) = left.parts[size], right.parts[size]
+        p, q = np.searchsorted(i, (a, a + tile)), np.searchsorted(j, (b, b + tile))
+        out[np.ix_(i[p[0] : p[1]] - a, j[q[0] : q[1]] - b)] = x[p[0] : p[1]] @ y[q[0] : q[1]].T
+    return out
+
+
+#: Rows of a tile of similarities (32 MB of doubles).
+TILE = 2048
+
+
+def _all_unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, v)``: unit vectors; a null, empty or all-zero one is empty."""
+    some = (F.size(vec_col) > 0) & (norm(F.col(vec_col)) > 0)
+    return vectors.select(F.col(id_col).alias("id"), F.when(some, l2_normalize(F.col(vec_col))).otherwise(F.array().cast("array<double>")).alias("v"))
+
+
 def cosine_topk(
     queries: DataFrame,
     base: DataFrame,
@@ -178,64 +230,58 @@ def cosine_topk(
     vec_col: str = "embedding",
     max_numbers: int = MAX_BROADCAST_NUMBERS,
     block: int = BLOCK,
+    tile: int = TILE,
 ) -> DataFrame:
     """``(query_id, id, similarity, rank)``: the k most similar base vectors of
     every query with cosine >= ``min_similarity``; ties go to the smaller id.
+    Vectors of different length, and empty or all-zero ones, have similarity 0.
 
     A query set whose matrix stays under ``max_numbers`` travels to the tasks,
     which scan the base once and keep k rows per query.  A larger set is met in
-    block pairs instead.  The final top-k sees k rows per query and task.
+    block pairs instead.  Products are made in tiles of ``tile`` rows each way, whatever the size of a batch.  The
+    final top-k sees k rows per query and tile.
     """
     from pyspark.sql import Window
 
     spark = base.sparkSession
     scratch = Scratch(spark, "topk")
     asked, seen = scratch.write(
-        unit_vectors(queries, query_id, vec_col), n=F.count(F.lit(1)), numbers=F.sum(F.size("v").cast("long"))
+        _all_unit_vectors(queries, query_id, vec_col), n=F.count(F.lit(1)), numbers=F.sum(F.size("v").cast("long") + 1)
     )
-    units = unit_vectors(base, id_col, vec_col)
+    # a vector of similarity 0 can only be wanted when the minimum allows it
+    units = (_all_unit_vectors if min_similarity <= 0 else unit_vectors)(base, id_col, vec_col)
     q_type = asked.schema["id"].dataType.simpleString()
     id_type = units.schema["id"].dataType.simpleString()
     schema = f"query_id {q_type}, id {id_type}, similarity double"
 
-    def best(q_ids, q_mat, ids, mat):
-        """k best per query of one block as an Arrow batch."""
+    def best(left, right):
+        """k best per query of every tile, as Arrow batches."""
         import numpy as np
         import pyarrow as pa
 
-        sims = q_mat @ mat.T
-        out_q, out_i = [], []
-        for row in range(len(sims)):
-            good = np.nonzero(sims[row] >= min_similarity)[0]
-            if len(good) > k:
-                cut = np.partition(sims[row][good], len(good) - k)[len(good) - k]
-                # every row tied with the k-th stays; the final rank breaks ties
-                good = good[sims[row][good] >= cut - 1e-9]
-            out_q.append(np.full(len(good), row))
-            out_i.append(good)
-        rows, cols = np.concatenate(out_q), np.concatenate(out_i)
-        return pa.RecordBatch.from_arrays(
-            [q_ids.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(sims[rows, cols])],
-            names=["query_id", "id", "similarity"],
-        )
+        for a in range(0, left.n, tile):
+            for b in range(0, right.n, tile):
+                sims = _similarities(left, right, a, b, tile)
+                good = sims >= min_similarity
+                if sims.shape[1] > k:
+                    # every row tied with the k-th stays; the final rank breaks ties
+                    good &= sims >= np.partition(sims, sims.shape[1] - k, axis=1)[:, -k, None] - 1e-9
+                rows, cols = np.nonzero(good)
+                yield pa.RecordBatch.from_arrays(
+                    [left.ids.take(pa.array(rows + a)), right.ids.take(pa.array(cols + b)), pa.array(sims[rows, cols])],
+                    names=["query_id", "id", "similarity"],
+                )
 
     if not seen["n"]:
         found = spark.createDataFrame([], schema)
     elif (seen["numbers"] or 0) <= max_numbers:
-        import numpy as np
-        import pyarrow as pa
-
-        table = asked.toArrow()
-        q_ids = table.column("id").combine_chunks()
-        q_mat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        shipped = spark.sparkContext.broadcast((q_ids, np.ascontiguousarray(q_mat)))
+        shipped = spark.sparkContext.broadcast(asked.toArrow())
 
         def scan(batches):
-            ids_q, mat_q = shipped.value
+            left = _Vectors(shipped.value)
             for batch in batches:
                 if batch.num_rows:
-                    mat = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                    yield best(ids_q, mat_q, batch.column("id"), mat)
+                    yield from best(left, _Vectors(batch))
 
         found = units.mapInArrow(scan, schema)
     else:
@@ -258,16 +304,10 @@ def cosine_topk(
         def meet(left, right):
             import pyarrow as pa
 
-            def mat(t):
-                return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-
+            kinds = [("query_id", left.schema.field("id").type), ("id", right.schema.field("id").type), ("similarity", pa.float64())]
             if left.num_rows == 0 or right.num_rows == 0:
-                empty = pa.schema(
-                    [("query_id", left.schema.field("id").type), ("id", right.schema.field("id").type), ("similarity", pa.float64())]
-                )
-                return empty.empty_table()
-            batch = best(left.column("id").combine_chunks(), mat(left), right.column("id").combine_chunks(), mat(right))
-            return pa.Table.from_batches([batch])
+                return pa.schema(kinds).empty_table()
+            return pa.Table.from_batches(best(_Vectors(left), _Vectors(right)), pa.schema(kinds))
 
         found = q_side.cogroup(b_side).applyInArrow(meet, schema)
 

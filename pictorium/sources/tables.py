@@ -24,23 +24,11 @@ def scan_assets(spark: SparkSession, paths: str | list[str], recursive: bool = T
     return kept if content else kept.drop("content")
 
 
-SMALL_SPLITS = 32
-
-
 def keep_supported(listing: DataFrame, path: str = "path") -> DataFrame:
     """Rows whose file extension, in any case, is one we import."""
     return listing.filter(extension(F.col(path)).isin(V.EXTENSIONS))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a small scan of fewer splits than cores, as of one file
-    with a single row group.  Anything of more than ``SMALL_SPLITS`` splits (a
-    few GB) is returned untouched, so no large table is ever shuffled here."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < min(cores, SMALL_SPLITS) else df
-
-
 def read_catalog(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Full scan of a catalog table with its declared schema."""
     return spark.read.schema(schemas.TABLES[table]).parquet(f"{root.rstrip('/')}/{table}")

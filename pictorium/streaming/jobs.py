@@ -13,18 +13,13 @@ from pictorium.plans.scratch import new_path
 from .runtime import batch_folder, drain, latest_rows, read_batches, start
 
 
-def as_event_time(df: DataFrame, column: str) -> DataFrame:
-    """Watermarks need a zoned timestamp."""
-    return df.withColumn(column, F.col(column).cast("timestamp"))
-
-
 CATALOG = T.StructType([T.StructField("seq", T.LongType()), T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("file_hash", T.StringType()), T.StructField("mime_type", T.StringType())])
 
 
-def stream_ingest(files: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def stream_ingest(files: DataFrame, out: str | None = None, checkpoint: str | None = None, library: DataFrame | None = None) -> DataFrame:
     """Validate, hash and store new files ``(seq, path, length, content)``.
-    A file whose hash an earlier batch stored, or an earlier row of its own
-    batch, is left out; this holds over any time span, as the catalog itself
+    A file whose hash the ``library`` (column ``file_hash``), an earlier batch, or an earlier row of its own
+    batch holds is left out; this holds over any time span, as the catalog itself
     is the state."""
     spark = files.sparkSession
     out = out or new_path(spark, "ingest")
@@ -37,17 +32,23 @@ def stream_ingest(files: DataFrame, out: str | None = None, checkpoint: str | No
             stored = read_batches(batch.sparkSession, out, CATALOG).filter(F.col("batch_id") < batch_id)
         else:
             stored = good.limit(0)
-        fresh = ingest.exact_dedup(good, stored.select("file_hash"))
+        hashes = stored.select("file_hash")
+        if library is not None:
+            hashes = hashes.unionByName(library.select("file_hash"))
+        fresh = ingest.exact_dedup(good, hashes)
         fresh.write.mode("overwrite").parquet(batch_folder(out, batch_id))
 
     start(files, store, "append", checkpoint or new_path(spark, "ingest-state")).awaitTermination()
     return read_batches(spark, out, CATALOG).drop("batch_id")
 
 
-def stream_exact_dedup(rows: DataFrame, key: str, event_time: str, delay: str = "1 hour", **where) -> DataFrame:
-    """First row of every key; a key is forgotten once the watermark is
-    ``delay`` past it, which bounds the state."""
-    kept = as_event_time(rows, event_time).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+def stream_exact_dedup(rows: DataFrame, key: str, **where) -> DataFrame:
+    """One row of every key, the first that arrives; keys are remembered for
+    the stream's whole life, however late a copy comes.
+
+    The state store holds one key per distinct value, hash-partitioned like the shuffle.  On a
+    cluster use the RocksDB provider (``spark.sql.streaming.stateStore.providerClass``), which keeps it on disk."""
+    kept = rows.dropDuplicates([key])
     schema = kept.schema
     return read_batches(rows.sparkSession, drain(kept, "append", **where), schema).drop("batch_id")
 
@@ -70,14 +71,13 @@ def stream_error_patterns(events: DataFrame, **where) -> DataFrame:
     return _running(counted, ["pattern_name"], **where)
 
 
-def stream_daily_accuracy(assets: DataFrame, delay: str = "40 days", **where) -> DataFrame:
-    """Accuracy per day of processing; days older than the watermark close."""
+def stream_daily_accuracy(assets: DataFrame, **where) -> DataFrame:
+    """Accuracy per day of processing.  The state is one row per day, so days
+    never close and rows may come in any order."""
     done = assets.filter((F.col("ai_status") == "completed") & F.col("ai_processed_at").isNotNull())
-    timed = as_event_time(done, "ai_processed_at").withWatermark("ai_processed_at", delay)
-    daily = timed.groupBy(F.window("ai_processed_at", "1 day").alias("w")).agg(
+    rows = done.groupBy(F.date_format("ai_processed_at", "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("ai_tag_status") == "verified").alias("correct")
     )
-    rows = daily.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "total", "correct")
     return _running(rows, ["day"], **where).withColumn("accuracy", F.col("correct") / F.col("total"))
 
 

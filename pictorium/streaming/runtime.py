@@ -27,10 +27,13 @@ def stream_files(
     return reader.parquet(folder)
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One driver table as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return stream_files(spark, folder, schema, f"{name}.parquet")
+def stream_table(spark: SparkSession, folder: str, name: str, batches: int = 3) -> DataFrame:
+    """A whole table as a stream of several micro-batches with its rows in
+    mixed order: it is dealt to ``batches`` files by a hash of its first column, and a micro-batch takes one."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    dealt = new_path(spark, f"stream-{name}")
+    rows.repartition(batches, F.xxhash64(F.lit(7), rows.columns[0])).write.parquet(dealt)
+    return stream_files(spark, dealt, rows.schema, max_files=1)
 
 
 def stream_assets(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:

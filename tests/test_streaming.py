@@ -56,11 +56,11 @@ def test_ingest_remembers_earlier_batches(spark, tmp_path):
     assert len(out) == 7 and len({r["file_hash"] for r in out}) == 7
 
 
-def test_exact_dedup_within_watermark(spark, tmp_path):
+def test_exact_dedup_over_batches(spark, tmp_path):
     df = attempts(spark).select("n", F.col("item").alias("hash"), "ts")
     write_files(df, str(tmp_path / "in"), 3)
     stream = stream_files(spark, str(tmp_path / "in"), df.schema, max_files=1)
-    got = [r["hash"] for r in jobs.stream_exact_dedup(stream, "hash", "ts", "60 days").select("hash").collect()]
+    got = [r["hash"] for r in jobs.stream_exact_dedup(stream, "hash").select("hash").collect()]
     assert len(got) == len(set(got)) == df.select("hash").distinct().count()
 
 
