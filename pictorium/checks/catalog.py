@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pictorium.functions import text
 from pictorium.operators import catalog as C
 from pictorium.operators import common, curation
+from pictorium.plans.scratch import new_path
 from pictorium.sources import adapters as A
+from pictorium.sources import tables
 
 from .registry import check, stamp, with_views
 
@@ -24,7 +26,9 @@ _ORDER = "ORDER BY created_at DESC, id DESC"
     SELECT id, file_path, file_name, file_size, file_hash, width, height, ai_status, ai_category,
       array_to_string(ai_tags, '|') AS tags, ai_confidence, {stamp("created_at")} AS created_at FROM assets"""))
 def read_catalog(spark, d):
-    return A.assets(spark, d).select(
+    root = new_path(spark, "catalog")
+    A.assets(spark, d).write.parquet(f"{root}/images")
+    return tables.read_catalog(spark, root, "images").select(
         "id", "file_path", "file_name", "file_size", "file_hash", "width", "height", "ai_status", "ai_category",
         F.array_join("ai_tags", "|").alias("tags"), "ai_confidence", shown(),
     )

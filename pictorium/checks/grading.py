@@ -12,12 +12,6 @@ from pictorium.sources import adapters as A
 from .catalog import shown
 from .registry import check, grade_sql, stamp, strings, view, with_views
 
-view("ai_body", r"""
-    SELECT doc_id, '{"tags":["' || lang || '",7,"' || source || '"],"category":"' || lang || '","description":"' ||
-      coalesce(regexp_extract(lower(text), '[\p{L}\p{N}]+'), '') || '"' AS head,
-      lang, source, coalesce(regexp_extract(lower(text), '[\p{L}\p{N}]+'), '') AS first FROM documents""")
-
-
 def _list(words):
     return f"[{strings(words)}]" if words else "CAST([] AS VARCHAR[])"
 
@@ -32,8 +26,8 @@ _CASES = ", ".join(
 _CANON = " ".join(f"WHEN category IN ({strings(a)}) THEN '{n}'" for n, (a, _) in V.CATEGORIES.items() if a)
 _SHOW = " ".join(f"WHEN '{n}' THEN '{d}'" for n, (_, d) in V.CATEGORIES.items())
 view("judged", f"""
-    SELECT *, CASE {_CANON} ELSE 'other' END AS canon FROM (
-      SELECT doc_id AS id, ((doc_id * 37) % 100) / CAST(100 AS DOUBLE) AS confidence, unnest(
+    SELECT * REPLACE (concat_ws(' ', description, text) AS description), CASE {_CANON} ELSE 'other' END AS canon FROM (
+      SELECT doc_id AS id, text, ((doc_id * 37) % 100) / CAST(100 AS DOUBLE) AS confidence, unnest(
         list_extract([{_CASES}], CAST(n_chars % {len(A.JUDGED)} AS INTEGER) + 1)) FROM documents)""")
 view("odd_tags", f"""
     SELECT *, CASE canon {_SHOW} END AS display, list_filter(tags, lambda t: NOT list_contains([{strings(V.GENERIC_TAGS)}], t)
@@ -57,14 +51,14 @@ view("graded", f"""
     FROM conflicts""", "conflicts")
 
 
-@check("g1_parse_ai_response", with_views("ai_body", """
-    SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN lang || '|' || source END AS tags, CASE WHEN doc_id % 11 <> 0 THEN first END AS description,
+@check("g1_parse_ai_response", """
+    SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN lang || '|' || source END AS tags, CASE WHEN doc_id % 11 <> 0 THEN md5(text) END AS digest,
       CASE WHEN doc_id % 11 <> 0 THEN lang END AS category,
       CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN CAST(0.5 AS DOUBLE) ELSE (doc_id * 37 % 100) / CAST(100 AS DOUBLE) END END AS confidence,
-      CASE WHEN doc_id % 11 = 0 THEN 'not valid JSON' END AS error FROM ai_body"""))
+      CASE WHEN doc_id % 11 = 0 THEN 'not valid JSON' END AS error FROM documents""")
 def parse_ai_response(spark, d):
     out = G.parse_ai_response(A.ai_raw(spark, d))
-    return out.select("id", F.array_join("tags", "|").alias("tags"), "description", "category", "confidence", "error")
+    return out.select("id", F.array_join("tags", "|").alias("tags"), F.md5(F.col("description").cast("binary")).alias("digest"), "category", "confidence", "error")
 
 
 @check("g2_normalize_category", with_views("judged", f"SELECT id, category, canon, CASE canon {_SHOW} END AS display FROM judged"))

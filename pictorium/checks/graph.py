@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pictorium.operators import graph as J
+from pictorium.plans.scratch import materialize
 from pictorium.sources import adapters as A
 
 from .registry import check, view, with_views
@@ -182,6 +184,30 @@ def _path_sql(name, source, target):
     return f"""SELECT '{name}' AS route, (SELECT min(depth) FROM walk WHERE start = '{source}' AND node = '{target}') AS length"""
 
 
+# a chain of 90 hops over the orders' keys, with a branch at every tenth
+view("chain", """
+    SELECT 'n' || i AS source_id, 'n' || (i + 1) AS target_id, CAST(1 + i % 3 AS DOUBLE) AS weight FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i < 90""")
+
+
+@check("j10_path_edges", with_views("chain", """
+    SELECT CAST(row_number() OVER (ORDER BY CAST(substr(source_id, 2) AS INTEGER)) AS BIGINT) AS step, source_id AS from_id, target_id AS to_id, weight,
+      sum(weight) OVER (ORDER BY CAST(substr(source_id, 2) AS INTEGER)) AS total_weight FROM chain"""))
+def path_edges(spark, d):
+    i = F.row_number().over(Window.orderBy("o_orderkey")) - 1
+    n = A.table(spark, d, "orders").select(i.alias("i")).filter("i <= 90")
+
+    def node(c):
+        return F.concat(F.lit("n"), c.cast("string"))
+
+    def edge(a, b, w):
+        return n.select(node(a).alias("source_id"), node(b).alias("target_id"), F.lit("semantic").alias("edge_type"), w.cast("double").alias("weight"))
+
+    chain = edge(F.col("i"), F.col("i") + 1, 1 + F.col("i") % 3)
+    branches = edge(F.col("i"), F.col("i") + 1000, F.lit(9)).filter(F.col("source_id").rlike("0$"))
+    edges = materialize(chain.unionByName(branches), "chain")
+    return J.path_edges(edges, J.shortest_path(edges, "n0", "n90"))
+
+
 @check("j10_shortest_path", with_views("links", f"""WITH
     walk(start, node, depth) AS (SELECT s, s, CAST(0 AS BIGINT) FROM (SELECT unnest(['img_0', 'tag_src8', 'img_1']) AS s) UNION
       SELECT w.start, l.neighbour, w.depth + 1 FROM walk w JOIN links l ON l.node = w.node WHERE w.depth < 6)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pictorium import schemas
 from pictorium.functions.text import csv_escape
 from pictorium.plans.scratch import new_path
 from pictorium.sources import adapters as A
 from pictorium.sources import sinks, tables
 
+from .catalog import shown
 from .graph import _graph
 from .metrics import reports
-from .registry import check, with_views
+from .registry import check, stamp, with_views
 
 
 @check("a1_keep_supported", with_views("incoming", "SELECT seq, path FROM incoming WHERE ext IN ('jpg', 'png', 'gif')"))
@@ -43,9 +43,18 @@ def load_graph(spark, d):
     return out
 
 
-_EXPORT = """SELECT id, file_path, file_name, file_size, array_to_string(ai_tags, '|') AS tags, md5(ai_description) AS digest, ai_category, ai_confidence
-    FROM assets WHERE id IN (SELECT doc_id FROM labels)
-    UNION ALL SELECT -1 - id, file_path, file_name, file_size, NULL, NULL, NULL, NULL FROM assets"""
+_FULL = f"""file_name, file_path, file_size, width, height, file_hash, {{}} category, {{}} tags, {{}} digest, {{}} ai_confidence,
+    CAST(NULL AS VARCHAR) AS ai_model, {stamp("created_at")} AS imported_at, {{}} ai_processed_at, CAST(NULL AS VARCHAR) AS exif_data, CAST(NULL AS VARCHAR) AS thumbnail_path"""
+_WITH_AI = _FULL.format("ai_category AS", "array_to_string(ai_tags, '|') AS", "md5(ai_description) AS", "ai_confidence AS", stamp("ai_processed_at") + " AS")
+_EXPORT = f"""SELECT id, {_WITH_AI}, (SELECT count(*) FROM assets WHERE id IN (SELECT doc_id FROM labels)) AS exported FROM assets WHERE id IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT -1 - id, {_FULL.format(*["NULL AS"] * 5)}, (SELECT count(*) FROM assets) FROM assets"""
+
+
+def _shown_export(df, tags):
+    return df.select(
+        "id", "file_name", "file_path", "file_size", "width", "height", "file_hash", "category", tags.alias("tags"), F.md5(F.col("ai_description").cast("binary")).alias("digest"),
+        "ai_confidence", "ai_model", shown("imported_at"), shown("ai_processed_at"), "exif_data", "thumbnail_path",
+    )
 
 
 @check("b1_export_json", with_views("assets", _EXPORT))
@@ -53,25 +62,31 @@ def export_json(spark, d):
     assets = A.assets(spark, d)
     ids = A.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
     full, slim = new_path(spark, "json"), new_path(spark, "json")
-    sinks.export_json(assets, full, ids)
-    sinks.export_json(assets, slim, include_metadata=False)
-    schema = schemas.IMAGES
-    columns = ["id", "file_path", "file_name", "file_size"]
-    rest = [F.array_join("ai_tags", "|").alias("tags"), F.md5(F.col("ai_description").cast("binary")).alias("digest"), "ai_category", "ai_confidence"]
-    one = spark.read.schema(schema).json(full).select(*columns, *rest)
-    two = spark.read.schema(schema).json(slim).select((-1 - F.col("id")).alias("id"), *columns[1:], *rest)
+    schema = sinks.export_frame(assets).schema
+    tags = F.array_join("ai_tags", "|")
+    one, two = sinks.export_json(assets, full, ids), sinks.export_json(assets, slim, include_metadata=False)
+    n = [x.filter("file_bytes > 0").select("exported_count").scalar() for x in (one, two)]
+    one = _shown_export(spark.read.schema(schema).json(full), tags).withColumn("exported", n[0])
+    two = _shown_export(spark.read.schema(schema).json(slim), tags).withColumn("id", -1 - F.col("id")).withColumn("exported", n[1])
     return one.unionByName(two)
 
 
-@check("b2_export_csv", with_views("assets", """
-    SELECT id, file_path, file_size, array_to_string(ai_tags, '|') AS tags, md5(ai_description) AS digest, ai_category FROM assets"""))
+@check("b2_export_csv", with_views("assets", f"SELECT id, {_WITH_AI} FROM assets"))
 def export_csv(spark, d):
     path = new_path(spark, "csv")
     sinks.export_csv(A.assets(spark, d), path)
-    schema = "id long, file_path string, file_name string, file_size long, ai_tags string, ai_description string, ai_category string, ai_confidence double"
+    schema = ", ".join(f"{f.name} {'string' if f.name == 'ai_tags' else f.dataType.simpleString()}" for f in sinks.export_frame(A.assets(spark, d)).schema)
     back = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     tags = F.array_join(F.from_json("ai_tags", "array<string>"), "|")
-    return back.select("id", "file_path", "file_size", tags.alias("tags"), F.md5(F.col("ai_description").cast("binary")).alias("digest"), "ai_category")
+    return _shown_export(back, tags)
+
+
+@check("b2_export_csv_short", with_views("assets", "SELECT id, file_path, file_name, file_size, (SELECT count(*) FROM assets) AS exported FROM assets"))
+def export_csv_short(spark, d):
+    path = new_path(spark, "csv")
+    n = sinks.export_csv_short(A.assets(spark, d), path).filter("file_bytes > 0").select("exported_count").scalar()
+    back = spark.read.option("header", True).schema("id long, file_path string, file_name string, file_size long").csv(path)
+    return back.withColumn("exported", n)
 
 
 @check("b2_csv_escape", with_views("assets", """

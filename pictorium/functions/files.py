@@ -19,6 +19,11 @@ def supported(path: Column) -> Column:
     return extension(path).isin(V.EXTENSIONS)
 
 
+def mime_for_model(ext: Column) -> Column:
+    """MIME type sent along with a picture; whatever is not known counts as JPEG."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in V.MODEL_MIME.items() for x in kv]), F.lower(ext)), F.lit("image/jpeg"))
+
+
 def mime_from_extension(ext: Column) -> Column:
     pairs = [F.lit(x) for kv in V.MIME_BY_EXTENSION.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(ext)), F.lit("application/octet-stream"))

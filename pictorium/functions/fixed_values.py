@@ -151,3 +151,6 @@ SEMANTIC_FROM = 0.7
 # --- fixed values: near duplicates ----------------------------------------
 FINGERPRINT_BITS = 64
 DEFAULT_DISTANCE = 10
+
+# fixed values: MIME types of pictures sent to a model, by extension
+MODEL_MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}

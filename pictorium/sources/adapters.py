@@ -150,17 +150,17 @@ def attempts_of(events: DataFrame) -> DataFrame:
 
 
 def ai_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model answer per document: fenced, broken or incomplete for some."""
-    from pictorium.functions.text import plain_tokens
-
+    """A model answer per document, the whole text being its description: fenced, broken or
+    incomplete for some."""
     docs = table(spark, sf_dir, "documents")
-    first = F.coalesce(F.get(plain_tokens(F.col("text")), F.lit(0)), F.lit(""))
+    array = F.to_json(F.array(F.coalesce("text", F.lit(""))))  # ["…"] with the escapes of JSON
+    told = F.substr(array, F.lit(2), F.length(array) - 2)
     conf = F.when(F.col("doc_id") % 7 == 0, F.lit("")).when(
         F.col("doc_id") % 5 == 0, F.lit(',"confidence":"0.5"')
     ).otherwise(F.concat(F.lit(',"confidence":0.'), F.lpad((F.col("doc_id") * 37 % 100).cast("string"), 2, "0")))
     body = F.concat(
         F.lit('{"tags":["'), F.col("lang"), F.lit('",7,"'), F.col("source"), F.lit('"],"category":"'),
-        F.col("lang"), F.lit('","description":"'), first, F.lit('"'), conf,
+        F.col("lang"), F.lit('","description":'), told, conf,
         F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.lit("}")),
     )
     fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
@@ -228,8 +228,8 @@ JUDGED = [
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model judgements: a literal case per document by its text length, with
-    the document's confidence."""
+    """Model judgements: a literal case per document by its text length, its
+    description followed by the whole text, with the document's confidence."""
     docs = table(spark, sf_dir, "documents")
     cases = F.array(
         *[
@@ -242,9 +242,9 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     case = F.get(cases, (F.col("n_chars") % len(JUDGED)).cast("int"))
-    return docs.select(F.col("doc_id").alias("id"), confidence().alias("confidence"), case.alias("case")).select(
-        "id", "confidence", "case.*"
-    )
+    rows = docs.select(F.col("doc_id").alias("id"), confidence().alias("confidence"), case.alias("case"), "text")
+    told = F.concat_ws(" ", "case.description", "text")
+    return rows.select("id", "confidence", "case.category", "case.tags", told.alias("description"))
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:

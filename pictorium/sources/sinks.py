@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from pictorium import schemas
 from pictorium.functions.text import base_name, csv_escape
 from pictorium.operators.common import only_ids, upsert_latest
 from pictorium.operators.dedup import DuplicateScan
@@ -14,29 +15,54 @@ from pictorium.plans.ordering import SPAN, number_within, running_max
 from pictorium.plans.scratch import Scratch
 from pictorium.sources.tables import read_log
 
-EXPORT_COLUMNS = ["id", "file_path", "file_name", "file_size", "ai_tags", "ai_description", "ai_category", "ai_confidence"]
-AI_COLUMNS = ["ai_tags", "ai_description", "ai_category", "ai_confidence"]
+# fixed values: columns of the full export and of the short CSV, in order
+EXPORT_COLUMNS = [
+    "id", "file_name", "file_path", "file_size", "width", "height", "file_hash", "category", "ai_description", "ai_tags",
+    "ai_confidence", "ai_model", "imported_at", "ai_processed_at", "exif_data", "thumbnail_path",
+]
+SHORT_COLUMNS = ["id", "file_path", "file_name", "file_size"]
+AI_COLUMNS = ["category", "ai_description", "ai_tags", "ai_confidence", "ai_model", "ai_processed_at"]
+#: Exported under another name than they are stored.
+STORED_AS = {"category": "ai_category", "imported_at": "created_at"}
 
 
 def export_frame(assets: DataFrame, ids=None, include_metadata: bool = True) -> DataFrame:
     """Rows to export, ordered by id; without metadata the AI fields are NULL.
-    Rows with missing AI fields stay."""
+    Rows with missing AI fields stay; columns the table does not have are NULL."""
     chosen = assets if ids is None else only_ids(assets, ids)
-    columns = [
-        F.col(c) if include_metadata or c not in AI_COLUMNS else F.lit(None).cast(assets.schema[c].dataType).alias(c)
-        for c in EXPORT_COLUMNS
-    ]
-    return chosen.select(*columns).orderBy("id")
 
+    def column(name: str) -> Column:
+        stored = STORED_AS.get(name, name)
+        if stored in assets.columns and (include_metadata or name not in AI_COLUMNS):
+            return F.col(stored).alias(name)
+        return F.lit(None).cast(schemas.IMAGES[stored].dataType).alias(name)
 
-def export_json(assets: DataFrame, path: str, ids=None, include_metadata: bool = True) -> None:
-    export_frame(assets, ids, include_metadata).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return chosen.select(*[column(c) for c in EXPORT_COLUMNS]).orderBy("id")
 
 
-def export_csv(assets: DataFrame, path: str, ids=None) -> None:
-    """Header plus the full columns, tags as JSON text."""
+def _written(frame: DataFrame, path: str, kind: str, **options) -> DataFrame:
+    """Writes a frame; one row with the number of records and the bytes of the files."""
+    seen = Observation()
+    frame.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").options(**options).format(kind).save(path)
+    files = frame.sparkSession.read.format("binaryFile").load(path)
+    return files.agg(F.lit(seen.get["n"]).cast("long").alias("exported_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("file_bytes"))
+
+
+def export_json(assets: DataFrame, path: str, ids=None, include_metadata: bool = True) -> DataFrame:
+    """Full columns; returns the number of records and bytes written."""
+    return _written(export_frame(assets, ids, include_metadata), path, "json", ignoreNullFields="false")
+
+
+def export_csv(assets: DataFrame, path: str, ids=None) -> DataFrame:
+    """Header plus the full columns, tags as JSON text; returns the number of records and bytes written."""
     frame = export_frame(assets, ids).withColumn("ai_tags", F.to_json("ai_tags"))
-    frame.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return _written(frame, path, "csv", header="true", quote='"', escape='"')
+
+
+def export_csv_short(assets: DataFrame, path: str, ids=None) -> DataFrame:
+    """Header plus the four columns of the short form."""
+    chosen = assets if ids is None else only_ids(assets, ids)
+    return _written(chosen.select(*SHORT_COLUMNS).orderBy("id"), path, "csv", header="true", quote='"', escape='"')
 
 
 def csv_lines(assets: DataFrame, ids=None) -> DataFrame:
@@ -48,10 +74,9 @@ def csv_lines(assets: DataFrame, ids=None) -> DataFrame:
     return chosen.select("id", line.alias("line")).orderBy("id")
 
 
-def export_xml(assets: DataFrame, path: str, ids=None) -> None:
+def export_xml(assets: DataFrame, path: str, ids=None) -> DataFrame:
     chosen = assets if ids is None else only_ids(assets, ids)
-    frame = chosen.select("id", "file_path", "file_name", "file_size").orderBy("id")
-    frame.write.mode("overwrite").format("xml").option("rootTag", "records").option("rowTag", "record").save(path)
+    return _written(chosen.select(*SHORT_COLUMNS).orderBy("id"), path, "xml", rootTag="records", rowTag="record")
 
 
 def save_graph(graph: Graph, root: str) -> DataFrame:
