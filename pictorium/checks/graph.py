@@ -184,9 +184,9 @@ def _path_sql(name, source, target):
     return f"""SELECT '{name}' AS route, (SELECT min(depth) FROM walk WHERE start = '{source}' AND node = '{target}') AS length"""
 
 
-# a chain of 90 hops over the orders' keys, with a branch at every tenth
+# a chain of 70 hops over the orders' keys, with a branch at every tenth
 view("chain", """
-    SELECT 'n' || i AS source_id, 'n' || (i + 1) AS target_id, CAST(1 + i % 3 AS DOUBLE) AS weight FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i < 90""")
+    SELECT 'n' || i AS source_id, 'n' || (i + 1) AS target_id, CAST(1 + i % 3 AS DOUBLE) AS weight FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i < 70""")
 
 
 @check("j10_path_edges", with_views("chain", """
@@ -194,7 +194,7 @@ view("chain", """
       sum(weight) OVER (ORDER BY CAST(substr(source_id, 2) AS INTEGER)) AS total_weight FROM chain"""))
 def path_edges(spark, d):
     i = F.row_number().over(Window.orderBy("o_orderkey")) - 1
-    n = A.table(spark, d, "orders").select(i.alias("i")).filter("i <= 90")
+    n = A.table(spark, d, "orders").select(i.alias("i")).filter("i <= 70")
 
     def node(c):
         return F.concat(F.lit("n"), c.cast("string"))
@@ -205,7 +205,7 @@ def path_edges(spark, d):
     chain = edge(F.col("i"), F.col("i") + 1, 1 + F.col("i") % 3)
     branches = edge(F.col("i"), F.col("i") + 1000, F.lit(9)).filter(F.col("source_id").rlike("0$"))
     edges = materialize(chain.unionByName(branches), "chain")
-    return J.path_edges(edges, J.shortest_path(edges, "n0", "n90"))
+    return J.path_edges(edges, J.shortest_path(edges, "n0", "n70"))
 
 
 @check("j10_shortest_path", with_views("links", f"""WITH

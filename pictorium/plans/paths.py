@@ -13,7 +13,8 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | N
     no rows when unreachable (within ``max_depth`` steps, if one is given).
 
     Every level is one join of the frontier with the edges and one anti join
-    with the nodes seen so far.  Of several parents the smallest is kept.  Only
+    with the frontier and the level before it: neighbours of a level
+    lie nowhere else, so a long search costs no more per level.  Of several parents the smallest is kept.  Only
     the path itself, one node per level, passes through the driver.
     """
     spark = edges.sparkSession
@@ -26,15 +27,15 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | N
     both, _ = scratch.write(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     frontier = spark.createDataFrame([(source, None)], "node string, parent string")
     levels = [frontier]
-    visited = frontier
+    before = frontier
     while max_depth is None or len(levels) <= max_depth:
         step = both.join(frontier.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node"))
-        fresh = step.agg(F.min("a").alias("parent")).join(visited.select("node"), "node", "left_anti")
+        fresh = step.agg(F.min("a").alias("parent")).join(before.select("node"), "node", "left_anti")
         frontier, seen = scratch.write(fresh, n=F.count(F.lit(1)), hit=F.max(F.col("node") == target))
         if not seen["n"]:
             return spark.createDataFrame([], schema)
         levels.append(frontier)
-        visited = visited.unionByName(frontier)
+        before = levels[-2].unionByName(frontier)
         if seen["hit"]:
             break
     else:
