@@ -23,15 +23,15 @@ id and its text are one document twice and stay in one class.  An empty table gi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pictorium.plans.components import connected_components
 from pictorium.plans.scratch import Scratch
 
 from .common import OWN, row_batches, schema_plus, texts, words_of
@@ -102,9 +102,9 @@ def text_mark() -> Column:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, ``mark`` (a hash of the text, which tells rows with one id apart), node (null
+    """row number, doc_id, ``mark`` (a hash of the text, which tells rows with one id apart), node (null
     without words), signature and the shingle set as sorted 32-bit values."""
-    docs = docs.select("doc_id", text_mark().alias("mark"), "text")
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_mark().alias("mark"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -126,10 +126,10 @@ def sketch(docs: DataFrame) -> DataFrame:
             for i, row, s in zip(where, signed, sets):
                 sig[i] = row
                 small[i] = np.unique((s >> _U(32)).astype(np.uint32).view(np.int32))
-            arrays = [batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(small, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "node", "sig", "set"])
+            arrays = [batch.column("row"), batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(small, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "mark", "node", "sig", "set"])
 
-    return docs.mapInArrow(run, schema_plus(docs, ["doc_id", "mark"], node="long", sig="array<int>", set="array<int>"))
+    return docs.mapInArrow(run, schema_plus(docs, ["row", "doc_id", "mark"], node="long", sig="array<int>", set="array<int>"))
 
 
 def bands(level: int, levels=LEVELS) -> list[list[int]]:
@@ -142,84 +142,119 @@ def bands(level: int, levels=LEVELS) -> list[list[int]]:
 
 
 def _bucket_keys(level: int, levels) -> Column:
-    keys = [F.xxhash64(F.lit(k), *[F.col("sig")[i] for i in band]) for k, band in enumerate(bands(level, levels))]
-    return F.array(*keys)
+    numbers = F.from_json(F.lit(json.dumps(bands(level, levels))), "array<array<int>>")
+    return F.transform(numbers, lambda band, k: F.xxhash64(k, F.transform(band, lambda i: F.get("sig", i))))
+
+
+def contract(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, label) of all nodes with an edge (a, b); label is the smallest node of the component.
+
+    Every node hooks onto its smallest neighbour, edges are drawn anew between what
+    the ends hooked onto, and copies and loops go; so the graph shrinks until no edge is left.  The hooks are
+    then followed from the first round to the last.  Edges and hooks are written tables; the
+    edges of one node may be any number."""
+    edges, seen = scratch.write(edges.select("a", "b").filter("a != b"), n=F.count(F.lit(1)))
+    hooks = []
+    while seen["n"]:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook, _ = scratch.write(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+        hooks.append(hook)
+        ends = edges.join(hook.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(hook.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        drawn = ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges, seen = scratch.write(drawn, n=F.count(F.lit(1)))
+    return _follow(hooks)
+
+
+def _follow(hooks: list[DataFrame]) -> DataFrame | None:
+    if not hooks:
+        return None
+    labels = hooks[0]
+    for hook in hooks[1:]:
+        to = hook.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return labels
 
 
 class _Finder:
-    """The steps of one run; tables of finished steps are dropped."""
+    """The steps of one run over a table of :func:`sketch`."""
 
     def __init__(self, prints: DataFrame, scratch: Scratch, similarity: float, levels, bucket_pairs: int):
         self.scratch, self.similarity, self.levels, self.bucket_pairs = scratch, similarity, levels, bucket_pairs
-        known = prints.filter(F.col("node").isNotNull())
-        firsts, _ = scratch.write(known.groupBy("node").agg(F.min("doc_id").alias("first")))
-        same = (known["node"] == firsts["node"]) & known["doc_id"].eqNullSafe(firsts["first"])
-        one = known.join(firsts, same, "left_semi").select("node", "sig", "set")
-        # rows repeated with id and text: any one of them
-        nth = F.row_number().over(Window.partitionBy("node").orderBy("node"))
-        self.nodes, _ = scratch.write(one.withColumn("nth", nth).filter("nth = 1").drop("nth"))
+        self.prints = prints.filter(F.col("node").isNotNull())
+        firsts, _ = scratch.write(self.prints.groupBy("node").agg(F.min("row").alias("row")).select("row"))
+        self.sigs, _ = scratch.write(self.prints.select("row", "node", "sig").join(firsts, "row", "left_semi"))
+        self.sets = None
+        #: classes so far, as (node, label); nodes that are missing are alone
+        self.labels: DataFrame | None = None
 
     def members(self, nodes: DataFrame, level: int) -> DataFrame:
         """(bucket, node, low) of buckets with several nodes; low is the smallest of them."""
         rows = nodes.select("node", F.explode(_bucket_keys(level, self.levels)).alias("bucket"))
-        if level:
-            rows, _ = self.scratch.write(rows)
         shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared, _ = self.scratch.write(shared.select("bucket", "low"))
         return self.scratch.write(rows.join(shared, "bucket"))[0]
 
+    def keep_sets(self, nodes: DataFrame) -> None:
+        """Shingle sets of the nodes that share a bucket: all that later steps can ask for."""
+        rows = self.sigs.join(nodes, "node", "left_semi").select("row", "node")
+        self.sets, _ = self.scratch.write(self.prints.select("row", "set").join(rows, "row").select("node", "set"))
+
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar, as a table."""
-        pairs, seen = self.scratch.write(pairs.distinct(), n=F.count(F.lit(1)))
-        if not seen["n"]:
-            return pairs
-        sigs = self.nodes.select("node", "sig")
+        """Those of the pairs (a, b) that are similar."""
+        pairs, _ = self.scratch.write(pairs.distinct())
+        sigs = self.sigs.select("node", "sig")
         near = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        near, _ = self.scratch.write(near.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").filter(_equal_registers("sig_a", "sig_b") >= LEAST_EQUAL).select("a", "b"))
-        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets, _ = self.scratch.write(self.nodes.select("node", "set").join(wanted, "node", "left_semi"))
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        near = near.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+        near, _ = self.scratch.write(near.filter(_equal_registers("sig_a", "sig_b") >= LEAST_EQUAL).select("a", "b"))
+        both = near.join(self.sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+        both = both.join(self.sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - common
-        table, _ = self.scratch.write(both.filter(common >= self.similarity * union).select("a", "b"))
-        for t in (near, sets):
-            self.scratch.drop(t)
-        return table
-
-    def classes(self, edges: DataFrame) -> DataFrame:
-        """(node, component) of linked nodes, as a table."""
-        return self.scratch.write(connected_components(edges, src="a", dst="b"))[0]
-
-    def run(self) -> DataFrame:
-        members = self.members(self.nodes, 0)
-        stars = members.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-        edges = self.linked(stars)
+        return both.filter(common >= self.similarity * union).select("a", "b")
+
+    def named(self, rows: DataFrame, node: str = "node") -> DataFrame:
+        """Rows with the class of their node (``cls``)."""
+        if self.labels is None:
+            return rows.withColumn("cls", F.col(node))
+        to = self.labels.select(F.col("node").alias(node), F.col("label").alias("cls"))
+        rest = [c for c in rows.columns if c != node]
+        return rows.join(to, node, "left").select(*rest, node, F.coalesce("cls", node).alias("cls"))
+
+    def link(self, edges: DataFrame) -> None:
+        """Joins the classes at the ends of new links."""
+        a = self.named(edges, "a").select("b", F.col("cls").alias("x"))
+        new = contract(self.named(a, "b").select(F.col("x").alias("a"), F.col("cls").alias("b")), self.scratch)
+        if new is None:
+            return
+        if self.labels is not None:  # old nodes follow their label, labels that were alone are new nodes
+            to = new.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            old = self.labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            new = old.unionByName(new.join(self.labels.select("node"), "node", "left_anti"))
+        self.labels, _ = self.scratch.write(new)
+
+    def run(self) -> DataFrame | None:
+        nodes = self.sigs
         for level in range(len(self.levels)):
-            classes = self.classes(edges)
             last = level == len(self.levels) - 1
-            if level:
-                members = self.members(hot, level)  # noqa: F821
-            named = members.select("bucket", "node").join(classes, "node", "left")
-            named, _ = self.scratch.write(named.select("bucket", "node", F.coalesce("component", "node").alias("cls")))
+            members = self.members(nodes, level)
+            if not level:
+                self.keep_sets(members.select("node").distinct())
+                self.link(self.linked(members.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))))
+            named, _ = self.scratch.write(self.named(members.select("bucket", "node")))
             sizes = named.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"))
             cross = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("k"))
-            cross = cross.filter("k > 1").select("bucket", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"))
-            cross, seen = self.scratch.write(cross, few=F.count_if(F.col("pairs") <= self.bucket_pairs), many=F.count_if(F.col("pairs") > self.bucket_pairs))
-            if seen["few"] or (last and seen["many"]):
-                small = cross if last else cross.filter(F.col("pairs") <= self.bucket_pairs)
-                open_rows, _ = self.scratch.write(named.join(small.select("bucket"), "bucket", "left_semi"))
-                left = open_rows.select("bucket", F.col("node").alias("a"), F.col("cls").alias("cls_a"))
-                right = open_rows.select("bucket", F.col("node").alias("b"), F.col("cls").alias("cls_b"))
-                pairs = left.join(right, "bucket").filter(F.col("cls_a") < F.col("cls_b")).select("a", "b")
-                more = self.linked(pairs)
-                edges, _ = self.scratch.write(edges.unionByName(more))
-            if last or not seen["many"]:
+            cross = cross.filter("k > 1").select("bucket", (((F.col("all") * F.col("all") - F.col("own")) / 2 > self.bucket_pairs) & F.lit(not last)).alias("wide"))
+            cross, seen = self.scratch.write(cross, few=F.count_if(~F.col("wide")), many=F.count_if("wide"))
+            if seen["few"]:
+                rows, _ = self.scratch.write(named.join(cross.filter("not wide"), "bucket").select("bucket", "node", "cls"))
+                left = rows.select("bucket", F.col("node").alias("a"), F.col("cls").alias("cls_a"))
+                right = rows.select("bucket", F.col("node").alias("b"), F.col("cls").alias("cls_b"))
+                self.link(self.linked(left.join(right, "bucket").filter("cls_a < cls_b").select("a", "b")))
+            if not seen["many"]:
                 break
-            wide = cross.filter(F.col("pairs") > self.bucket_pairs).select("bucket")
-            hot_nodes = named.join(wide, "bucket", "left_semi").select("node").distinct()
-            hot, _ = self.scratch.write(self.nodes.select("node", "sig").join(hot_nodes, "node", "left_semi"))
-        return self.classes(edges)
+            hot = named.join(cross.filter("wide"), "bucket").select("node").distinct()
+            nodes, _ = self.scratch.write(self.sigs.join(hot, "node", "left_semi"))
+        return self.labels
 
 
 def _equal_registers(a: str, b: str) -> Column:
@@ -231,9 +266,11 @@ def _grouped(docs: DataFrame, similarity: float, levels, bucket_pairs: int) -> D
     """doc_id, mark, class_id, class_size and kept per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near")
     prints, _ = scratch.write(sketch(docs))
-    classes = _Finder(prints, scratch, similarity, levels, bucket_pairs).run()
-    rows = prints.select("doc_id", "mark", "node").join(classes, "node", "left")
-    rows, _ = scratch.write(rows.select("doc_id", "mark", F.coalesce("component", "node").alias("cls")))
+    finder = _Finder(prints, scratch, similarity, levels, bucket_pairs)
+    finder.run()
+    words = F.col("node").isNotNull()
+    rows = finder.named(prints.select("doc_id", "mark", "node"))
+    rows, _ = scratch.write(rows.select("doc_id", "mark", F.when(words, F.col("cls")).alias("cls")))
     scratch.drop(prints)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     heads, _ = scratch.write(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")))
