@@ -1,21 +1,36 @@
 """Ranking and predecessor search for groups too large for one task.
 
-A plain window sorts a whole group in one task.  Here the order column (a
-unique long per group) is cut into chunks, windows run per (group, chunk), and
-small per-chunk totals are carried across chunks.
+A plain window sorts a whole group in one task.  Here the rows are dealt to
+chunks by ranges of the order column, windows run per (group, chunk), and
+small per-chunk totals are carried across chunks.  The ranges are quantiles that Spark samples, so
+chunks have about ``span`` rows however the values lie, dense or sparse.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch, materialize
+
 SPAN = 1 << 20
 
 
+def _chunked(rows: DataFrame, order: str, span: int) -> DataFrame:
+    """The rows with ``_chunk``, which grows with ``order``; equal values share a chunk."""
+    scratch = Scratch(rows.sparkSession, "chunks")
+    stored, seen = scratch.write(rows, n=F.count(F.lit(1)))
+    dealt = stored.repartitionByRange(max(1, math.ceil(seen["n"] / span)), order)
+    table, _ = scratch.write(dealt.withColumn("_chunk", F.spark_partition_id()))
+    scratch.drop(stored)
+    return table
+
+
 def number_within(rows: DataFrame, keys: list[str], order: str, out: str, span: int = SPAN) -> DataFrame:
     """``row_number() over (partition by keys order by order)``, starting at 1."""
-    marked = rows.withColumn("_chunk", F.floor(F.col(order) / span))
+    marked = _chunked(rows, order, span)
     chunk_keys = [*keys, "_chunk"]
     sizes = marked.groupBy(*chunk_keys).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,7 +51,7 @@ def latest_before(
     With ``carry`` the result is a struct of the order and those columns of
     the row found.
     """
-    marked = rows.withColumn("_chunk", F.floor(F.col(order) / span))
+    marked = _chunked(rows, order, span)
     chunk_keys = [*keys, "_chunk"]
     value = F.struct(order, *carry) if carry else F.col(order)
     base = F.when(F.col(is_base), value)
@@ -51,7 +66,7 @@ def latest_before(
 
 def running_max(rows: DataFrame, keys: list[str], order: str, value: Column, out: str, span: int = SPAN) -> DataFrame:
     """Largest ``value`` of the group up to and including the own row."""
-    marked = rows.withColumn("_chunk", F.floor(F.col(order) / span)).withColumn("_value", value)
+    marked = _chunked(rows.withColumn("_value", value), order, span)
     chunk_keys = [*keys, "_chunk"]
     tops = marked.groupBy(*chunk_keys).agg(F.max("_value").alias("_top"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,8 +83,6 @@ def number_all(rows: DataFrame, order: list[str], out: str, label: str = "number
     Range partitioning sorts by partition; the counts of the partitions (one
     row each) give the offsets.
     """
-    from .scratch import materialize
-
     placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     placed = materialize(placed, label)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

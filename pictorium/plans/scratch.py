@@ -42,6 +42,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label = spark, label
         self._paths: dict[int, str] = {}
+        self._written: set[str] = set()
 
     def write(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
         """Write ``df`` and read it back; ``metrics`` are aggregates observed
@@ -53,13 +54,24 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = path
+        self._written.add(path)
         return table, (observed.get if metrics else {})
 
+    def close(self) -> None:
+        """Delete everything this owner has written and not yet dropped."""
+        for path in self._written:
+            self._delete(path)
+        self._written.clear()
+        self._paths.clear()
+
     def drop(self, table: DataFrame | None) -> None:
         """Delete a table that nothing reads any more."""
         path = self._paths.pop(id(table), None)
-        if path is None:
-            return
+        if path is not None:
+            self._written.discard(path)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

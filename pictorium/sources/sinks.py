@@ -110,7 +110,8 @@ def export_log(lines: DataFrame, path: str, level: str | None = None) -> DataFra
 def dedup_report(scan: DuplicateScan) -> DataFrame:
     """One row per member with its group's size and similarity.  Flat, so a
     group of any size is written by many tasks."""
-    return scan.member_distances().select("group_id", "id", "distance").join(scan.groups(), "group_id")
+    groups, _ = scan.scratch.write(scan.groups())
+    return scan.member_distances().select("group_id", "id", "distance").join(groups, "group_id")
 
 
 def dedup_report_json(scan: DuplicateScan, path: str) -> None:
@@ -147,7 +148,7 @@ def export_manifest(assets: DataFrame, requested: DataFrame, span: int = SPAN) -
         lost, seen = scratch.write(state.join(claims, "target").filter(F.col("seq") > F.col("winner")).select("seq", "name"), n=F.count(F.lit(1)))
         if not seen["n"]:
             break
-        names = lost.select("name").distinct()
+        names, _ = scratch.write(lost.select("name").distinct())
         moving = state.join(names, "name", "left_semi").join(lost.select("seq", F.lit(1).alias("lost")), "seq", "left")
         slack = F.col("number") + F.coalesce("lost", F.lit(0)) - F.col("nth")
         moved = running_max(moving, ["name"], "seq", slack, "slack", span).withColumn("number", F.col("slack") + F.col("nth"))
