@@ -46,7 +46,11 @@ def restore(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Gru:
@@ -54,6 +58,9 @@ class Gru:
         self.p = parameters
         self.state = parameters["w_state"].shape[0]
         self.classes, self.members, _ = parameters["w_member"].shape
+        # states lie in [-1, 1], so logits have a bound; below it exp needs no shift
+        bound = [np.abs(parameters[f"w_{k}"]).sum(-1) + np.abs(parameters[f"b_{k}"]) for k in ("class", "member")]
+        self.tame = max(b.max() for b in bound) < 60
 
     def _inputs(self, ids: np.ndarray) -> np.ndarray:
         return self.p["embed"][ids] @ self.p["w_in"] + self.p["b_in"]
@@ -83,21 +90,22 @@ class Gru:
 
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray, chunk: int = 8192) -> np.ndarray:
         """Natural logarithm of P(id | h) for rows of states and ids."""
+        p, cls, member = self.p, ids // self.members, ids % self.members
         out = np.empty(len(ids))
         for at in range(0, len(ids), chunk):
-            out[at : at + chunk] = self._chunk(h[at : at + chunk], ids[at : at + chunk])
-        return out
-
-    def _chunk(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        p, cls, member = self.p, ids // self.members, ids % self.members
-        logits = h @ p["w_class"].T + p["b_class"]
-        out = (logits[np.arange(len(ids)), cls] - _log_sum(logits)).astype(float)
+            here = slice(at, at + chunk)
+            logits = h[here] @ p["w_class"].T
+            logits += p["b_class"]
+            picked = logits[np.arange(len(logits)), cls[here]]
+            out[here] = picked - _log_sum(logits, self.tame)
         for c, rows in _by_class(cls):
-            inner = h[rows] @ p["w_member"][c].T + p["b_member"][c]
-            out[rows] += inner[np.arange(len(rows)), member[rows]] - _log_sum(inner)
+            inner = h[rows] @ p["w_member"][c].T
+            inner += p["b_member"][c]
+            picked = inner[np.arange(len(rows)), member[rows]]
+            out[rows] += picked - _log_sum(inner, self.tame)
         return out
 
-    def score(self, documents: list[np.ndarray], window: int = 64) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], window: int = 128) -> np.ndarray:
         """Log-likelihood of whole documents: the state is carried from window to
         window; longer documents go on alone when shorter ones have ended."""
         total = np.zeros(len(documents))
@@ -135,7 +143,7 @@ class Trainer:
         acc[at] += g * g
         self.net.p[name][at] -= self.rate * g / np.sqrt(acc[at])
 
-    def train(self, documents: list[np.ndarray], stride: int, phase: int, lanes: int = 64, window: int = WINDOW) -> None:
+    def train(self, documents: list[np.ndarray], stride: int, phase: int, lanes: int = 128, window: int = WINDOW) -> None:
         """Carries the state through whole documents, and learns from every
         ``stride``-th window (gradients end at its borders)."""
         documents = sorted(documents, key=len, reverse=True)
@@ -206,14 +214,20 @@ class Trainer:
         return dh
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+def _log_sum(x: np.ndarray, tame: bool) -> np.ndarray:
+    """Logarithm of the sum of exp over the rows; overwrites ``x``."""
+    top = None if tame else x.max(1)
+    if top is not None:
+        x -= top[:, None]
+    total = np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+    return total if top is None else total + top
 
 
 def _soft_error(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(1, keepdims=True))
-    e /= e.sum(1, keepdims=True)
+    """Softmax minus the one-hot target, in place."""
+    logits -= logits.max(1, keepdims=True)
+    e = np.exp(logits, out=logits)
+    e /= (e @ np.ones(e.shape[1], e.dtype))[:, None]
     e[np.arange(len(target)), target] -= 1
     return e
 

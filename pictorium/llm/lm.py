@@ -77,11 +77,18 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Positions(dict):
+    """Position of a word, -1 when it has none."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Vocabulary:
     """The broadcast words: position, symbol, and what scoring adds for them."""
 
     def __init__(self, hot: list[tuple[bytes, int]], z: np.ndarray):
-        self.at = {w: i for i, (w, _) in enumerate(hot)}
+        self.at = _Positions((w, i) for i, (w, _) in enumerate(hot))
         n = min(len(hot), CLASSES * MEMBERS)
         self.symbol = np.array([i if i < n else CLASSES * MEMBERS + rest_group(w) for i, (w, _) in enumerate(hot)] or [0], np.int32)
         self.log_c = np.array([math.log10(c + 1) for _, c in hot] or [0.0])
@@ -91,11 +98,10 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Positions among the broadcast words (-1 for others) and symbols."""
-        get = self.at.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
         symbols = self.symbol[at]
-        for i in np.flatnonzero(at < 0):
-            symbols[i] = CLASSES * MEMBERS + rest_group(words[i])
+        other = np.flatnonzero(at < 0)
+        symbols[other] = [CLASSES * MEMBERS + rest_group(words[i]) for i in other.tolist()]
         return at, symbols
 
 
@@ -194,7 +200,7 @@ def score_documents(docs: DataFrame, fold: int = FOLD, held_out: int = HELD_OUT,
                 w = tokens(text)
                 at, ids = vocabulary.encode(w)
                 inside = at[at >= 0]
-                missing = Counter(w[i] for i in np.flatnonzero(at < 0))
+                missing = Counter([w[i] for i in np.flatnonzero(at < 0).tolist()])
                 n.append(len(w))
                 known.append(len(inside))
                 log_c.append(float(vocabulary.log_c[inside].sum()))
