@@ -64,7 +64,7 @@ def test_ingest_knows_the_library(spark, tmp_path):
 
 
 def test_a_finished_scan_leaves_nothing(spark, tmp_path, monkeypatch):
-    monkeypatch.setitem(scratch._local_dirs, spark.sparkContext.applicationId, str(tmp_path))
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
     assets = spark.createDataFrame([(i, "completed", f"{i % 5:016x}") for i in range(20)], "id long, ai_status string, phash string")
 
     def left(label):
