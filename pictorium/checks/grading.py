@@ -16,6 +16,11 @@ def _list(words):
     return f"[{strings(words)}]" if words else "CAST([] AS VARCHAR[])"
 
 
+def _text(template, **expressions):
+    """SQL of a message: the template with SQL expressions in its places."""
+    return "'" + template.format(**{k: f"' || {e} || '" for k, e in expressions.items()}) + "'"
+
+
 def _case(table, column="canon"):
     return "CASE " + column + " " + " ".join(f"WHEN '{c}' THEN {_list(w)}" for c, w in table.items()) + " ELSE CAST([] AS VARCHAR[]) END"
 
@@ -39,11 +44,11 @@ _FAMILY = "CASE " + " ".join(f"WHEN contains(t, '{m}') THEN {_list(f)}" for m, f
 _KNOWN = " OR ".join(f"contains(t, '{m}')" for m, _ in V.TAG_FAMILIES)
 view("conflicts", f"""
     SELECT *,
-      CASE WHEN len(odd) > 0 THEN ['分类(' || display || ') 与标签不一致: ' || array_to_string(odd, ', ')] ELSE CAST([] AS VARCHAR[]) END AS by_tags,
+      CASE WHEN len(odd) > 0 THEN [{_text(V.CONFLICT_TAGS_TEXT, category='display', tags="array_to_string(odd, ', ')")}] ELSE CAST([] AS VARCHAR[]) END AS by_tags,
       CASE WHEN NOT own AND len(list_filter(opposite, lambda w: contains(lower(description), w))) > 0
-        THEN ['分类(' || display || ') 与描述内容矛盾。描述中包含 ' || array_to_string(opposite, ' / ') || ' 相关关键词'] ELSE CAST([] AS VARCHAR[]) END AS by_text,
+        THEN [{_text(V.CONFLICT_DESCRIPTION_TEXT, category='display', words="array_to_string(opposite, ' / ')")}] ELSE CAST([] AS VARCHAR[]) END AS by_text,
       list_transform(list_filter(tags, lambda t: ({_KNOWN}) AND len(list_filter({_FAMILY}, lambda w: contains(lower(description), w))) = 0),
-        lambda t: '标签(' || t || ') 在描述中未找到支持内容') AS by_support
+        lambda t: {_text(V.CONFLICT_SUPPORT_TEXT, tag='t')}) AS by_support
     FROM odd_tags""", "odd_tags")
 view("graded", f"""
     SELECT id, confidence, canon, list_concat(list_concat(by_tags, by_text), by_support) AS conflicts,
