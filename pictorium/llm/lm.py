@@ -148,7 +148,7 @@ def train(docs: DataFrame, start: dict[str, np.ndarray], hot: list[tuple[bytes,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, words, sums = shared.value
         vocabulary, trainer = Vocabulary(words, sums), Trainer(first, rate)
-        for k, batch in enumerate(row_batches(batches, 4 << 20)):
+        for k, batch in enumerate(row_batches(batches, 16 << 20)):
             trainer.train([vocabulary.encode(tokens(t))[1] for t in texts(batch)], stride, k)
         if trainer.tokens:
             parts = np.array_split(flatten(trainer.net.p).astype(np.float64) * trainer.tokens, CHUNKS)

@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 REGISTERS = 64
 LEAST_EQUAL = 35
 #: Registers in a band and number of bands.
-LEVELS = ((4, 16), (8, 42), (16, 250))
+LEVELS = ((4, 16), (6, 25), (9, 52), (16, 250))
 BUCKET_PAIRS = 2_000
 
 _U = np.uint64
@@ -73,13 +73,13 @@ def shingles(words: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], counts: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
-    """ProbMinHash registers of every non-empty weighted set, as 32-bit marks."""
+    """ProbMinHash registers of every non-empty weighted set, as 16-bit marks."""
     n = len(sets)
     h = np.concatenate(sets) if n else np.zeros(0, _U)
     rate = 1 + np.log(np.concatenate(counts)) if n else np.zeros(0)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     when = np.full(n * m, np.inf)
-    mark = np.zeros(n * m, np.int32)
+    mark = np.zeros(n * m, np.int16)
     time = np.zeros(len(h))
     r = 0
     while len(h):
@@ -89,7 +89,7 @@ def signatures(sets: list[np.ndarray], counts: list[np.ndarray], m: int = REGIST
         slot = owner * m + register
         np.minimum.at(when, slot, time)
         won = when[slot] == time
-        mark[slot[won]] = (h[won] & _U(0x7FFFFFFF)).astype(np.int32)
+        mark[slot[won]] = (h[won] & _U(0xFFFF)).astype(np.uint16).view(np.int16)
         latest = when.reshape(n, m).max(axis=1)
         going = time < latest[owner]
         h, rate, owner, time = h[going], rate[going], owner[going], time[going]
@@ -126,10 +126,10 @@ def sketch(docs: DataFrame) -> DataFrame:
             for i, row, s in zip(where, signed, sets):
                 sig[i] = row
                 small[i] = np.unique((s >> _U(32)).astype(np.uint32).view(np.int32))
-            arrays = [batch.column("row"), batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(small, pa.list_(pa.int32()))]
+            arrays = [batch.column("row"), batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.int64()), pa.array(sig, pa.list_(pa.int16())), pa.array(small, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "mark", "node", "sig", "set"])
 
-    return docs.mapInArrow(run, schema_plus(docs, ["row", "doc_id", "mark"], node="long", sig="array<int>", set="array<int>"))
+    return docs.mapInArrow(run, schema_plus(docs, ["row", "doc_id", "mark"], node="long", sig="array<short>", set="array<int>"))
 
 
 def bands(level: int, levels=LEVELS) -> list[list[int]]:

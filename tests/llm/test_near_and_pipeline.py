@@ -1,7 +1,6 @@
 """Near duplicates against all pairs, and the pipeline stage by stage."""
 
 import random
-
 from collections import Counter
 
 import numpy as np
@@ -141,3 +140,18 @@ def test_stages(spark, data, documents):
     pieces = corpus_pipeline.run(spark, data)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(kept)
 
+
+def test_stages_on_odd_rows(spark, data, odd, none):
+    """Nulls, empty and long texts, repeated rows and clashing column names pass every stage; so does an empty table."""
+    docs, empty = odd, none
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, data), "odd")
+        empty = corpus_pipeline.materialize(stage(spark, empty, data), "odd")
+        assert empty.count() == 0
+        if name != "packing":
+            assert docs.columns == empty.columns == odd.columns
+        ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        # one of the empty texts stays (the one with the largest id); the other texts are all different
+        assert {4, 5, 6, 7, 9, 10, 11, None} <= ids
+        assert (ids - {1, 2, 3, 8}) == {4, 5, 6, 7, 9, 10, 11, None}
+    assert {8} == ids & {2, 3, 8}
