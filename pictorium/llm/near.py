@@ -199,13 +199,28 @@ class _Finder:
         rows = self.sigs.join(nodes, "node", "left_semi").select("row", "node")
         self.sets, _ = self.scratch.write(self.prints.select("row", "set").join(rows, "row").select("node", "set"))
 
+    def with_signature(self, rows: DataFrame, node: str, sig: str) -> DataFrame:
+        return rows.join(self.sigs.select(F.col("node").alias(node), F.col("sig").alias(sig)), node)
+
+    def stars(self, members: DataFrame) -> DataFrame:
+        """Nodes with the smallest node of their bucket, where the signatures allow a link."""
+        pairs = members.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = self.with_signature(pairs, "b", "sig_b")
+        sigs = self.sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+        return pairs.join(sigs, (pairs["a"] == sigs["a"]) & (_equal_registers("sig_a", "sig_b") >= LEAST_EQUAL)).select(pairs["a"], "b")
+
+    def across(self, named: DataFrame, buckets: DataFrame) -> DataFrame:
+        """Pairs of nodes of different classes within the buckets, where the signatures allow a
+        link.  Signatures are compared inside the join, so no other pair becomes a row."""
+        rows = named.join(buckets.select("bucket"), "bucket")
+        rows, _ = self.scratch.write(self.with_signature(rows, "node", "sig").select("bucket", "node", "cls", "sig"))
+        a, b = rows.toDF("bucket", "a", "cls_a", "sig_a"), rows.toDF("other", "b", "cls_b", "sig_b")
+        meet = (a["bucket"] == b["other"]) & (F.col("cls_a") < F.col("cls_b")) & (_equal_registers("sig_a", "sig_b") >= LEAST_EQUAL)
+        return a.join(b, meet).select("a", "b")
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
-        pairs, _ = self.scratch.write(pairs.distinct())
-        sigs = self.sigs.select("node", "sig")
-        near = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        near = near.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        near, _ = self.scratch.write(near.filter(_equal_registers("sig_a", "sig_b") >= LEAST_EQUAL).select("a", "b"))
+        near, _ = self.scratch.write(pairs.distinct())
         both = near.join(self.sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         both = both.join(self.sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
@@ -239,17 +254,14 @@ class _Finder:
             members = self.members(nodes, level)
             if not level:
                 self.keep_sets(members.select("node").distinct())
-                self.link(self.linked(members.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))))
+                self.link(self.linked(self.stars(members)))
             named, _ = self.scratch.write(self.named(members.select("bucket", "node")))
             sizes = named.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"))
             cross = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("k"))
             cross = cross.filter("k > 1").select("bucket", (((F.col("all") * F.col("all") - F.col("own")) / 2 > self.bucket_pairs) & F.lit(not last)).alias("wide"))
             cross, seen = self.scratch.write(cross, few=F.count_if(~F.col("wide")), many=F.count_if("wide"))
             if seen["few"]:
-                rows, _ = self.scratch.write(named.join(cross.filter("not wide"), "bucket").select("bucket", "node", "cls"))
-                left = rows.select("bucket", F.col("node").alias("a"), F.col("cls").alias("cls_a"))
-                right = rows.select("bucket", F.col("node").alias("b"), F.col("cls").alias("cls_b"))
-                self.link(self.linked(left.join(right, "bucket").filter("cls_a < cls_b").select("a", "b")))
+                self.link(self.linked(self.across(named, cross.filter("not wide"))))
             if not seen["many"]:
                 break
             hot = named.join(cross.filter("wide"), "bucket").select("node").distinct()
