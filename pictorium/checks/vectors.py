@@ -130,11 +130,11 @@ def text_vectors(spark, d):
     WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents),
     s AS (SELECT id, CAST('0x' || substr(md5(token), 1, 4) AS INTEGER) % 512 AS i, sum(CASE WHEN CAST('0x' || substr(md5(token), 5, 1) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS n FROM t GROUP BY ALL),
     l AS (SELECT *, sqrt(sum(CAST(n AS DOUBLE) * n) OVER (PARTITION BY id)) AS length FROM s WHERE n <> 0)
-    SELECT id, CAST(512 AS BIGINT) AS dimension, count(*) AS n_filled, round(sum(n / length * (i + 1)), 2) AS weighted, round(sum(n / length * n / length), 5) AS square FROM l GROUP BY id""")
+    SELECT id, CAST(512 AS BIGINT) AS dimension, count(*) AS n_filled, round(sum(CAST(CAST(n / length AS FLOAT) AS DOUBLE) * (i + 1)), 5) AS weighted, round(sum(CAST(CAST(n / length AS FLOAT) AS DOUBLE) ** 2), 7) AS square FROM l GROUP BY id""")
 def text_vectors_dense(spark, d):
     dense = K.dense_text_vectors(K.text_vectors(A.table(spark, d, "documents"), "doc_id", "text"))
     # sums that change with any value or place
     weighted = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
     square = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x), F.lit(0.0), lambda acc, x: acc + x)
     n = F.size(F.filter("embedding", lambda x: x != 0)).cast("long")
-    return dense.select("id", F.size("embedding").cast("long").alias("dimension"), n.alias("n_filled"), F.round(weighted, 2).alias("weighted"), F.round(square, 5).alias("square"))
+    return dense.select("id", F.size("embedding").cast("long").alias("dimension"), n.alias("n_filled"), F.round(weighted, 5).alias("weighted"), F.round(square, 7).alias("square"))
