@@ -11,8 +11,9 @@ never meet in a bucket.  *Banding.*  Nodes that agree in all registers of a band
 bucket.  First every node is compared with the bucket's smallest node only; verified links give
 classes.  Then buckets that still hold several classes compare nodes of different classes: members
 of one class need no link.  Buckets with more than ``BUCKET_PAIRS`` such pairs are banded again with more
-registers and more bands per node (``LEVELS``, each missing a pair of similarity 0.8 with less
-than 1 in 1,000); at the last level every pair is compared.
+registers and more bands per node (``LEVELS``); at the last level every pair is compared.  The nodes of such buckets
+are signed anew from their sets at every level, so that no two bands share a register and bands are independent:
+each level misses a pair of similarity 0.8 with less than 1 in 1,000.
 *Verification.*  A pair is looked at exactly if its signatures agree in ``LEAST_EQUAL`` registers (3.6
 standard deviations below 0.8, a miss of 2 in 10,000 as for the bands): Jaccard similarity of the two shingle sets, at least ``SIMILARITY``.
 *Classes* are the connected components of the verified links, so no link between different texts is lost by the shortcuts.
@@ -43,6 +44,9 @@ LEAST_EQUAL = 40
 #: Registers in a band and number of bands.
 LEVELS = ((4, 16), (6, 25), (9, 52), (16, 250))
 BUCKET_PAIRS = 2_000
+#: Registers signed in one step above the first level, and the set size from which early termination pays there.
+SIGNED_AT_ONCE = 1_000_000
+DENSE = 64
 
 _U = np.uint64
 
@@ -132,18 +136,45 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema_plus(docs, ["row", "doc_id", "mark"], node="long", sig="array<short>", set="array<int>"))
 
 
-def bands(level: int, levels=LEVELS) -> list[list[int]]:
-    """Register numbers of every band: consecutive at the first level, drawn with a fixed seed above."""
-    size, n = levels[level]
-    if size * n <= REGISTERS:
-        return [list(range(k * size, (k + 1) * size)) for k in range(n)]
-    rng = np.random.default_rng(level)
-    return [sorted(rng.choice(REGISTERS, size, replace=False).tolist()) for _ in range(n)]
+def _bucket_keys(size: int, n: int) -> Column:
+    """Buckets by ``n`` bands of ``size`` registers of the stored signature."""
+    if size * n > REGISTERS:
+        raise ValueError(f"{n} bands of {size} registers need more than {REGISTERS}")
+    numbers = F.from_json(F.lit(json.dumps([list(range(k * size, (k + 1) * size)) for k in range(n)])), "array<array<int>>")
+    return F.transform(numbers, lambda band, k: F.xxhash64(k, F.transform(band, lambda i: F.get("sig", i))))
 
 
-def _bucket_keys(level: int, levels) -> Column:
-    numbers = F.from_json(F.lit(json.dumps(bands(level, levels))), "array<array<int>>")
-    return F.transform(numbers, lambda band, k: F.xxhash64(k, F.transform(band, lambda i: F.get("sig", i))))
+def band_keys(sets: list[np.ndarray], level: int, size: int, n: int) -> np.ndarray:
+    """Buckets of sorted 32-bit sets by ``n`` bands of ``size`` registers, every band with registers of its own."""
+    out = np.empty((len(sets), n), np.int64)
+    salt = _U((level + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
+    hashed = [_mix(s.view(np.uint32).astype(_U) + salt) for s in sets]
+    step = max(1, SIGNED_AT_ONCE // (size * n))
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))  # sets of like size end their rounds together
+    for at in range(0, len(order), step):
+        part = order[at : at + step]
+        few = [i for i in part if len(sets[i]) < DENSE]
+        for i in few:
+            out[i] = _fold(_dense(hashed[i], size * n)[None], size, n)[0]
+        rest = part[len(few) :]
+        if rest:
+            out[rest] = _fold(signatures([hashed[i] for i in rest], [np.ones(len(hashed[i])) for i in rest], size * n), size, n)
+    return out
+
+
+def _dense(h: np.ndarray, m: int) -> np.ndarray:
+    """Registers of one small set: the element with the smallest hash in each."""
+    own = _mix(np.arange(1, m + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+    return (h[_mix(h[:, None] ^ own).argmin(0)] & _U(0xFFFF)).astype(np.uint16).view(np.int16)
+
+
+def _fold(marks: np.ndarray, size: int, n: int) -> np.ndarray:
+    """One 64-bit hash per band of ``size`` registers; the band's number is part of it."""
+    parts = marks.view(np.uint16).astype(_U).reshape(len(marks), n, size)
+    h = np.broadcast_to(np.arange(1, n + 1, dtype=_U), parts.shape[:2])
+    for k in range(size):
+        h = _mix(h * _U(0x9E3779B97F4A7C15) + parts[:, :, k])
+    return h.view(np.int64)
 
 
 def contract(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -189,11 +220,25 @@ class _Finder:
 
     def members(self, nodes: DataFrame, level: int) -> DataFrame:
         """(bucket, node, low) of buckets with several nodes; low is the smallest of them."""
-        rows = nodes.select("node", F.explode(_bucket_keys(level, self.levels)).alias("bucket"))
+        rows = nodes.select("node", F.explode(_bucket_keys(*self.levels[level])).alias("bucket")) if not level else self.signed(nodes, level)
         shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared, _ = self.scratch.write(shared.select("bucket", "low"))
         return self.scratch.write(rows.join(shared, "bucket"))[0]
 
+    def signed(self, nodes: DataFrame, level: int) -> DataFrame:
+        """(node, bucket) by a signature for this level alone, made from the sets."""
+        size, n = self.levels[level]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in row_batches(batches, 1 << 20):
+                sets = batch.column("set")
+                flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))
+                keys = band_keys(np.split(flat, ends[:-1]), level, size, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), n)), pa.array(keys.ravel())], names=["node", "bucket"])
+
+        rows = self.sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, bucket long")
+        return self.scratch.write(rows)[0]
+
     def keep_sets(self, nodes: DataFrame) -> None:
         """Shingle sets of the nodes that share a bucket: all that later steps can ask for."""
         rows = self.sigs.join(nodes, "node", "left_semi").select("row", "node")

@@ -155,3 +155,28 @@ def test_stages_on_odd_rows(spark, data, odd, none):
         assert {4, 5, 6, 7, 9, 10, 11, None} <= ids
         assert (ids - {1, 2, 3, 8}) == {4, 5, 6, 7, 9, 10, 11, None}
     assert {8} == ids & {2, 3, 8}
+
+
+def finder_labels(spark, sets, bucket_pairs):
+    """Classes by the production levels of 64-bit sets that all weigh the same."""
+    from pictorium.plans.scratch import Scratch
+
+    signed = near.signatures(sets, [np.ones(len(s)) for s in sets])
+    small = [np.sort((s >> np.uint64(32)).astype(np.uint32).view(np.int32)) for s in sets]
+    rows = [(i, i, i, i, sig.tolist(), s.tolist()) for i, (sig, s) in enumerate(zip(signed, small))]
+    prints = spark.createDataFrame(rows, "row long, doc_id long, mark long, node long, sig array<short>, set array<int>")
+    labels = near._Finder(prints, Scratch(spark, "near-test"), 0.8, near.LEVELS, bucket_pairs).run()
+    return {r["node"]: r["label"] for r in labels.collect()}
+
+
+def test_production_levels_above_the_first(spark):
+    """150 pairs of similarity 0.82 among texts of one large group that are alike but below 0.8: their buckets are
+    wide down to the last level, and no pair is lost on the way."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    sets = []
+    for _ in range(150):
+        a = rng.choice(words, 850, replace=False)
+        sets += [a, a[:700]]
+    got = finder_labels(spark, sets, 3)
+    assert got == {i: i - i % 2 for i in range(300)}
