@@ -1,11 +1,11 @@
 """Near duplicates with ProbMinHash signatures, banding and exact verification.
 
-*Shingles.*  Five consecutive words (all words of a shorter text), hashed; a shingle that comes c times
-weighs ``1 + ln c``.  *ProbMinHash.*  Every shingle is a Poisson process of
-its weight; an arrival goes to a random one of ``REGISTERS`` registers, which keep the
+*Shingles.*  Five consecutive words (all words of a shorter text), hashed; how often a shingle comes does
+not count, as links are by the sets.  *ProbMinHash.*  Every shingle is a Poisson process of
+its weight, here 1; an arrival goes to a random one of ``REGISTERS`` registers, which keep the
 shingle of their earliest arrival.  A shingle stops as soon as its next arrival is later than all registers
 of the text (early termination), so the work is about one arrival per shingle.  Two texts agree in a register
-with their probability Jaccard similarity.
+with their probability Jaccard similarity, which for equal weights is the Jaccard similarity of the sets.
 *Nodes.*  Texts with one shingle set are one node (named by a 64-bit hash of the set), so copies
 never meet in a bucket.  *Banding.*  Nodes that agree in all registers of a band share a
 bucket.  First every node is compared with the bucket's smallest node only; verified links give
@@ -14,8 +14,8 @@ of one class need no link.  Buckets with more than ``BUCKET_PAIRS`` such pairs a
 registers and more bands per node (``LEVELS``); at the last level every pair is compared.  The nodes of such buckets
 are signed anew from their sets at every level, so that no two bands share a register and bands are independent:
 each level misses a pair of similarity 0.8 with less than 1 in 1,000.
-*Verification.*  A pair is looked at exactly if its signatures agree in ``LEAST_EQUAL`` registers (3.6
-standard deviations below 0.8, a miss of 2 in 10,000 as for the bands): Jaccard similarity of the two shingle sets, at least ``SIMILARITY``.
+*Verification.*  A pair is looked at exactly if the sizes of its sets allow a link and its signatures agree in
+``LEAST_EQUAL`` registers (5 standard deviations below 0.8, a miss of 2 in 1,000,000): Jaccard similarity of the two shingle sets, at least ``SIMILARITY``.
 *Classes* are the connected components of the verified links, so no link between different texts is lost by the shortcuts.
 
 Null texts and texts without words are alone in their class.  Rows that repeat an
@@ -40,7 +40,7 @@ from .common import OWN, row_batches, schema_plus, texts, words_of
 SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 64
-LEAST_EQUAL = 40
+LEAST_EQUAL = 35
 #: Registers in a band and number of bands.
 LEVELS = ((4, 16), (6, 25), (9, 52), (16, 250))
 BUCKET_PAIRS = 2_000
@@ -113,18 +113,17 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in row_batches(batches, 4 << 20):
-            nodes, sets, counts, where = [], [], [], []
+            nodes, sets, where = [], [], []
             for i, text in enumerate(texts(batch)):
                 words = words_of(text)
                 if not words:
                     nodes.append(None)
                     continue
-                s, c = np.unique(shingles(words, seen), return_counts=True)
+                s = np.unique(shingles(words, seen))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 sets.append(s)
-                counts.append(c)
                 where.append(i)
-            signed = signatures(sets, counts)
+            signed = signatures(sets, [np.ones(len(s)) for s in sets])
             sig: list = [None] * batch.num_rows
             small: list = [None] * batch.num_rows
             for i, row, s in zip(where, signed, sets):
@@ -213,7 +212,7 @@ class _Finder:
         self.scratch, self.similarity, self.levels, self.bucket_pairs = scratch, similarity, levels, bucket_pairs
         self.prints = prints.filter(F.col("node").isNotNull())
         firsts, _ = scratch.write(self.prints.groupBy("node").agg(F.min("row").alias("row")).select("row"))
-        self.sigs, _ = scratch.write(self.prints.select("row", "node", "sig").join(firsts, "row", "left_semi"))
+        self.sigs, _ = scratch.write(self.prints.select("row", "node", "sig", F.size("set").alias("n")).join(firsts, "row", "left_semi"))
         self.sets = None
         #: classes so far, as (node, label); nodes that are missing are alone
         self.labels: DataFrame | None = None
@@ -244,23 +243,29 @@ class _Finder:
         rows = self.sigs.join(nodes, "node", "left_semi").select("row", "node")
         self.sets, _ = self.scratch.write(self.prints.select("row", "set").join(rows, "row").select("node", "set"))
 
-    def with_signature(self, rows: DataFrame, node: str, sig: str) -> DataFrame:
-        return rows.join(self.sigs.select(F.col("node").alias(node), F.col("sig").alias(sig)), node)
+    def signature(self, x: str) -> DataFrame:
+        """Node, signature and set size under the names of side ``x`` of a pair."""
+        return self.sigs.select(F.col("node").alias(x), F.col("sig").alias("sig_" + x), F.col("n").alias("n_" + x))
+
+    def may_link(self) -> Column:
+        """False only where the set sizes of a and b exclude a link, or too few registers agree."""
+        sizes = F.least("n_a", "n_b") >= self.similarity * F.greatest("n_a", "n_b")
+        return sizes & (_equal_registers("sig_a", "sig_b") >= LEAST_EQUAL)
 
     def stars(self, members: DataFrame) -> DataFrame:
         """Nodes with the smallest node of their bucket, where the signatures allow a link."""
         pairs = members.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = self.with_signature(pairs, "b", "sig_b")
-        sigs = self.sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-        return pairs.join(sigs, (pairs["a"] == sigs["a"]) & (_equal_registers("sig_a", "sig_b") >= LEAST_EQUAL)).select(pairs["a"], "b")
+        pairs = pairs.join(self.signature("b"), "b")
+        sigs = self.signature("a")
+        return pairs.join(sigs, (pairs["a"] == sigs["a"]) & self.may_link()).select(pairs["a"], "b")
 
     def across(self, named: DataFrame, buckets: DataFrame) -> DataFrame:
         """Pairs of nodes of different classes within the buckets, where the signatures allow a
         link.  Signatures are compared inside the join, so no other pair becomes a row."""
         rows = named.join(buckets.select("bucket"), "bucket")
-        rows, _ = self.scratch.write(self.with_signature(rows, "node", "sig").select("bucket", "node", "cls", "sig"))
-        a, b = rows.toDF("bucket", "a", "cls_a", "sig_a"), rows.toDF("other", "b", "cls_b", "sig_b")
-        meet = (a["bucket"] == b["other"]) & (F.col("cls_a") < F.col("cls_b")) & (_equal_registers("sig_a", "sig_b") >= LEAST_EQUAL)
+        rows, _ = self.scratch.write(rows.join(self.sigs, "node").select("bucket", "node", "cls", "sig", "n"))
+        a, b = rows.toDF("bucket", "a", "cls_a", "sig_a", "n_a"), rows.toDF("other", "b", "cls_b", "sig_b", "n_b")
+        meet = (a["bucket"] == b["other"]) & (F.col("cls_a") < F.col("cls_b")) & self.may_link()
         return a.join(b, meet).select("a", "b")
 
     def linked(self, pairs: DataFrame) -> DataFrame:

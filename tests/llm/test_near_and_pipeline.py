@@ -180,3 +180,15 @@ def test_production_levels_above_the_first(spark):
         sets += [a, a[:700]]
     got = finder_labels(spark, sets, 3)
     assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_repeated_passages_link_by_their_sets(spark):
+    """40 pairs of set similarity 0.87 in which one text repeats a passage of its own 20 times."""
+    rng = random.Random(7)
+    rows = []
+    for p in range(40):
+        body = " ".join(f"a{p}x{rng.randrange(10**6)}" for _ in range(1004))
+        rows.append((2 * p, body))
+        rows.append((2 * p + 1, body + " " + " ".join(f"b{p}x{k % 146}" for k in range(146 * 20))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(near.near_duplicates(docs)) == classes(rows)
