@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pictorium.plans.scratch import Scratch
+
 from .common import OWN, WORD_BYTES, row_batches, schema_plus, texts, with_columns, words_of
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
+TOTAL, CUT = OWN + "total", OWN + "cut"
 HITS, ITEMS, WORDS, LONGEST = OWN + "hits", OWN + "items", OWN + "n_words", OWN + "longest"
 
 
@@ -250,35 +253,74 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     """The documents without hit spans; those with more than ``max_coverage`` of
     their words hit are left out.  Clean documents pass unchanged.
 
-    Taking a span out may join words to a new window, so a block is applied to a
-    text until nothing is hit; with several blocks each sees the text
-    that the earlier ones left.  Coverage is measured on the original words."""
+    Taking a span out may join words to a new window, so a text is looked at again until nothing is hit.  The hits
+    of all blocks are found on the same text, and their union is cut; so the result does not depend on the blocks.
+    Coverage is measured on the original words.  One block does all in one map step; with several, every pass
+    writes a table, and only documents with a hit go on to the next pass."""
+    blocks = item_blocks(items, block_words)
+    first = next(blocks)
+    if next(blocks, None) is None:
+        out = _cut_by_block(docs, first, window)
+    else:
+        out = _cut_by_passes(docs, items, window, block_words)
+    return out.filter((F.col(CUT) == 0) | (F.col(CUT) <= max_coverage * F.col(TOTAL))).select(*docs.columns)
+
+
+def _cut_by_block(docs: DataFrame, block: list, window: int) -> DataFrame:
+    """``docs`` without hit spans, with the number of original words and of cut words."""
     keep = docs.columns
-    total = OWN + "total"
-    cut = OWN + "cut"
-    schema = schema_plus(docs, keep, **{total: "long", cut: "long"})
-    out = docs.withColumn(total, F.lit(-1).cast("long")).withColumn(cut, F.lit(0).cast("long"))
-    for block in item_blocks(items, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, shared, window)
+        for batch in row_batches(batches):
+            new, totals, cuts = [], [], []
+            for text in batch.column("text").to_pylist():
+                words, gone = words_of(text or ""), 0
+                spans, _, _ = automaton.match(words)
+                while spans:
+                    gone += sum(b - a for a, b in spans)
+                    text = _without(text, spans)
+                    spans, _, _ = automaton.match(words_of(text))
+                new.append(text)
+                totals.append(len(words))
+                cuts.append(gone)
+            yield _with_text(batch, keep, new, **{TOTAL: totals, CUT: cuts})
+
+    return docs.mapInArrow(run, schema_plus(docs, keep, **{TOTAL: "long", CUT: "long"}))
+
+
+def _cut_by_passes(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """The same over all blocks of the items."""
+    keep = docs.columns
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    schema = schema_plus(docs, keep, **{TOTAL: "long", CUT: "long"})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new, totals, cuts = [], [], []
+            state = (batch.column(c).to_pylist() for c in ("text", HITS, WORDS, TOTAL, CUT))
+            for text, hits, words, total, gone in zip(*state):
+                spans = list(zip(hits[::2], hits[1::2]))
+                new.append(_without(text, spans))
+                totals.append(words if total < 0 else total)
+                cuts.append(gone + sum(b - a for a, b in spans))
+            yield _with_text(batch, keep, new, **{TOTAL: totals, CUT: cuts})
+
+    hit = F.size(HITS) > 0
+    rows, clean = docs.withColumn(TOTAL, F.lit(-1).cast("long")).withColumn(CUT, F.lit(0).cast("long")), []
+    while True:
+        found, seen = scratch.write(scan(rows, items, window, block_words), hit=F.count_if(hit))
+        clean.append(found.filter(~hit).select(*keep, TOTAL, CUT))
+        if not seen["hit"]:
+            break
+        rows = found.filter(hit).mapInArrow(cut, schema)
+    out = clean[0]
+    for more in clean[1:]:
+        out = out.unionByName(more)
+    return out
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(name, shared, window)
-            for batch in row_batches(batches):
-                new, totals, cuts = [], [], []
-                for text, n, gone in zip(batch.column("text").to_pylist(), batch.column(total).to_pylist(), batch.column(cut).to_pylist()):
-                    words = words_of(text or "")
-                    n = len(words) if n < 0 else n
-                    spans, _, _ = automaton.match(words)
-                    while spans:
-                        gone += sum(b - a for a, b in spans)
-                        text = _without(text, spans)
-                        spans, _, _ = automaton.match(words_of(text))
-                    new.append(text)
-                    totals.append(n)
-                    cuts.append(gone)
-                arrays = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(totals, pa.int64()), pa.array(cuts, pa.int64())], names=[*keep, total, cut])
 
-        out = out.mapInArrow(run, schema)
-    kept = out.filter((F.col(cut) == 0) | (F.col(cut) <= max_coverage * F.col(total))).select(*keep)
-    return kept
+def _with_text(batch: pa.RecordBatch, keep: list[str], texts: list, **new: list) -> pa.RecordBatch:
+    arrays = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in keep]
+    return pa.RecordBatch.from_arrays([*arrays, *(pa.array(v, pa.int64()) for v in new.values())], names=[*keep, *new])

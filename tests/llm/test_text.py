@@ -192,3 +192,21 @@ def test_packing_special_text_and_balance(spark):
     mean = sum(full) / len(full)
     assert max(abs(c - mean) for c in full) < 0.15 * mean
     assert packing.capacities(2049) == [1024, 1024, 1]
+
+
+def test_decontaminate_in_several_blocks(spark):
+    """Overlapping hits of two blocks are one cut, and words joined by a later block's cut are looked at again."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(1, " ".join(letters[:6])), (2, " ".join(letters[3:9])), (3, "p q r s t u")]
+    # in text 2, cutting item 3 joins a window of item 1
+    texts = [" ".join(letters[:9]) + " x x x x x x x x", " ".join(letters[:9]) + " x x x x x x x x x", "a b c p q r s t u d e f" + " y" * 13, None, "clean"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    got = {}
+    for block in (100_000, 6):
+        rows = D.decontaminate(docs, frame, 6, 0.5, block)
+        assert rows.columns == docs.columns
+        got[block] = {r["doc_id"]: (r["text"] or "").split() for r in rows.collect()}
+        assert D.contamination(rows, frame, 6).filter("contaminated").count() == 0
+    # of text 0 nine words of 17 are hit, of text 1 nine of 18, of text 2 twelve of 25
+    assert got[6] == got[100_000] == {1: ["x"] * 9, 2: ["y"] * 13, 3: [], 4: ["clean"]}
