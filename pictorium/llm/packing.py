@@ -53,6 +53,7 @@ def default_vocabulary() -> str:
 
 
 _encoders: dict[str, object] = {}
+_exact: list = []
 
 
 def encoder(path: str):
@@ -67,6 +68,22 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def encode(bpe, text: str, path: str) -> list[int]:
+    """Ids of a text.  On a run of about a million white-space characters the reader of the rank file
+    gives up; such a text is encoded from the JSON form of ``byte_bpe_50k``, which has no such limit."""
+    try:
+        return bpe.encode(text, allowed_special="all")
+    except ValueError:
+        if path != default_vocabulary():
+            raise
+        if not _exact:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            _exact.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+        return _exact[0].encode(text, add_special_tokens=False).ids
+
+
 def capacities(tokens: int, full: int = SEQUENCE_TOKENS) -> list[int]:
     """Capacities that add up to ``tokens``: full ones, then powers of two."""
     rest = tokens % full
@@ -141,7 +158,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, full: int = S
         for batch in row_batches(batches, 4 << 20):
             kind = batch.schema.field("doc_id").type
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                ids = bpe.encode(text, allowed_special="all")
+                ids = encode(bpe, text, path)
                 ids.append(END_ID)
                 ids_of.append(np.array(ids, "<u4"))
                 owners.append(doc)

@@ -194,6 +194,13 @@ def test_packing_special_text_and_balance(spark):
     assert packing.capacities(2049) == [1024, 1024, 1]
 
 
+def test_packing_very_long_white_space(spark):
+    """Runs of white space on which the reader of the rank file gives up."""
+    rows = [(1, " " * 2_000_000), (2, "a" + "\n" * 1_200_000 + "b<|endoftext|>"), (3, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_packing(packing.pack_documents(docs, with_ids=True).collect(), rows)
+
+
 def test_decontaminate_in_several_blocks(spark):
     """Overlapping hits of two blocks are one cut, and words joined by a later block's cut are looked at again."""
     letters = "abcdefghijklmnopqrstuvwxyz"
