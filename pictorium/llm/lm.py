@@ -8,7 +8,7 @@ form of the word, and has there the probability ``(c + 1) / Z``, Z being the sum
 plus one for unseen ones.  So all probabilities add up to one.
 *Training.*  Every task runs truncated backpropagation through its own training documents from common
 start values (biases that give the token frequencies); the state runs through whole documents, gradients
-are taken in every ``STRIDE``-th window.  The parameters of all tasks are averaged by tokens,
+are taken in every window of every training document (``STRIDE`` 1).  The parameters of all tasks are averaged by tokens,
 in groups of bounded size (parameter mixing).  All training documents take part, so what is gathered
 grows with the input.
 *Scoring.*  The state is carried across windows through the whole document.  Words outside the broadcast
@@ -40,7 +40,7 @@ FOLD, HELD_OUT = 7, 2
 HOT_WORDS = 65_536
 CLASSES, MEMBERS = 64, 64
 STATE, INPUTS = 16, 16
-STRIDE = 4
+STRIDE = 1
 RATE = 0.15
 CHUNKS = 16
 END = b""

@@ -188,3 +188,13 @@ def test_isotonic_equals_brute_force():
 def test_statistics_of_odd_texts():
     for t in ("", " ", "\n\n", "é", "a" * 10, "x. y! z?"):
         assert len(quality.statistics(t)) == quality.N_STATISTICS and all(map(math.isfinite, quality.statistics(t)))
+
+
+def test_training_learns_from_every_token():
+    """Short and long documents in several groups all give gradients, in every batch."""
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 12, n) for n in [1, 5, 31, 32, 33, 96, 200] * 60]
+    for batch in range(4):
+        trainer = gru.Trainer(gru.start_parameters(np.ones(12), 3, 4, 5, 4), lm.RATE)
+        trainer.train(docs, lm.STRIDE, batch)
+        assert trainer.tokens == sum(map(len, docs))
