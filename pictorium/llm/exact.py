@@ -15,7 +15,8 @@ DataFrame operations only.
    The directory has about ``2 * entries / capacity`` slots.
 3. *Shared files.*  Entries look their slot up in the directory and move to the owner
    task of their bucket, which writes them sorted by key to the
-   shared folder.  Different texts with one key form a chain (``chain`` numbers it).
+   shared folder.  Owners are dealt by a hash of the bucket.  Different texts with one key are entries of
+   their own.  The index serves lookup only: which texts are equal is settled in step 1.
 4. *Lookup.*  Documents meet the index by (key, sha-256).  Both sides are plain scans, so AQE can
    split the join of a key that holds a third of all documents.
 
@@ -110,7 +111,7 @@ def directory_frame(entries: DataFrame, depth: int, buckets: list[tuple[int, int
 
 
 def build_index(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY, key=text_key) -> DataFrame:
-    """The index, read back from its shared files: bucket, key, chain, sha, keep_id, n."""
+    """The index, read back from its shared files: bucket, key, sha, keep_id, n."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), bits_of(key(text)).alias(KEY), text.alias(TEXT))
     grouped = rows.groupBy(KEY, TEXT).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
