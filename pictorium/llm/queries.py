@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, licenses, lm, near, packing, quality, secrets, toxicity, urls
+from . import decontaminate, exact, hosts, licenses, lm, near, packing, quality, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -80,3 +80,8 @@ def op9(spark, d):
 @query("op10_near_duplicates")
 def op10(spark, d):
     return near.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op11_host_rules", hosts.oracle())
+def op11(spark, d):
+    return hosts.judge_hosts(table(spark, d, "documents")).drop("host", "n_lines")
