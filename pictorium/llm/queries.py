@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, hosts, licenses, lm, near, packing, quality, secrets, toxicity, urls
+from . import align, decontaminate, exact, hosts, licenses, lm, near, packing, quality, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -85,3 +85,8 @@ def op10(spark, d):
 @query("op11_host_rules", hosts.oracle())
 def op11(spark, d):
     return hosts.judge_hosts(table(spark, d, "documents")).drop("host", "n_lines")
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark, d):
+    return align.align_tokenizers(table(spark, d, "documents"))[0]
