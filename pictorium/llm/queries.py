@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, decontaminate, exact, hosts, licenses, lm, near, packing, quality, secrets, toxicity, urls
+from . import align, decontaminate, exact, hosts, licenses, lm, near, packing, quality, ranked, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -90,3 +90,8 @@ def op11(spark, d):
 @query("op13_tokenizer_alignment")
 def op13(spark, d):
     return align.align_tokenizers(table(spark, d, "documents"))[0]
+
+
+@query("op12_ranked_search", ranked.ORACLE_SQL)
+def op12(spark, d):
+    return ranked.rank_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
