@@ -1,20 +1,21 @@
 """Toxic passages by maximum-scoring segments.
 
 *Token scores.*  Log-odds of a word in toxic against clean documents, with an
-informative Dirichlet prior (the words' shares in both together, ``PRIOR`` counts strong; a word counts
+informative Dirichlet prior (the words' shares in both together, counted ``prior`` strong; a word counts
 once per document and once per group of near copies).  A word
-counts with the near end of its interval of ``Z`` standard deviations, so rare words stay neutral; every token
-also costs ``DRIFT``, which makes the mean score of clean text negative.
+counts with the near end of its interval of ``z`` standard deviations, so rare words stay neutral; every token
+also costs ``drift``, which makes the mean score of clean text negative.
 *Segments.*  A linear-time scan finds all maximal scoring segments of a text:
 passages that can be neither extended nor shortened without losing score.
 *Extreme values.*  In clean text the best segment of n tokens follows
 ``P(S >= x) = 1 - exp(-K n exp(-lambda x))``: lambda solves ``sum p(w) exp(lambda s(w)) = 1`` over clean words,
-K is its maximum-likelihood value on clean documents.  A segment is significant when
-``E = K n exp(-lambda s)`` is at most ``E_MAX``.  A document's evidence is the sum of ``-ln E`` of its
-significant segments; logistic calibration turns evidence into a probability.
+K is its maximum-likelihood value on clean documents.  A document's evidence is the sum statistic of its ``BEST``
+best segments: each adds ``ln(1 + 1 / E)`` with ``E = K n exp(-lambda s)``, so weak segments add a little and none is cut off.
+Logistic calibration turns the best segment's share and the sum into a probability.  Passages with E of at most ``E_MAX`` are reported.
 
-The fit uses a bounded, documented sample of labelled rows: three quarters for the word scores, one quarter for
-K and the calibration.  At most ``MAX_WORDS`` word scores are broadcast (the largest).  Scoring is
+The fit uses a bounded, documented sample of labelled rows outside the held-out fold: three quarters for the word scores, one quarter for
+K and the calibration.  ``CHOICES`` of (z, prior, drift) are compared on that quarter by the log-loss of calibrations fitted on its one half and
+judged on the other, both ways; the least wins (of equal ones the first).  At most ``MAX_WORDS`` word scores are broadcast (the largest).  Scoring is
 map-only over all documents.
 
 Null counts as empty; a text without words has no passage and gets the score of no evidence.  Rows repeat as
@@ -39,11 +40,11 @@ from .calibration import logistic
 from .common import OWN, crc_mod, row_batches, schema_plus, single, texts, with_columns, words_of
 from .sampling import SAMPLE_ROWS, labelled_sample
 
-PRIOR = 10_000.0
-Z = 3.0
-DRIFT = 0.2
+#: (z, prior, drift) to choose from.
+CHOICES = tuple((z, prior, drift) for prior in (10_000.0, 30_000.0, 100_000.0) for z in (0.7, 1.0, 1.3) for drift in (0.5, 0.9))
 MOST = 6.0
 MAX_WORDS = 20_000
+BEST = 5
 E_MAX = 0.01
 FOLD, HELD_OUT, THRESHOLD = 3, 1, 0.7
 
@@ -79,33 +80,37 @@ def maximal_segments(scores: list[float]) -> list[Segment]:
 
 class Model(NamedTuple):
     words: dict
+    drift: float
     lam: float
     log_k: float
     weights: np.ndarray
     constant: float | None = None
 
     def token_scores(self, words: list[bytes]) -> list[float]:
-        get = self.words.get
-        return [get(w, -DRIFT) for w in words]
+        get, rest = self.words.get, -self.drift
+        return [get(w, rest) for w in words]
 
-    def passages(self, words: list[bytes]) -> list[tuple[Segment, float]]:
-        """Significant segments with the natural logarithm of their E-value."""
+    def segments(self, words: list[bytes]) -> list[tuple[Segment, float]]:
+        """All maximal segments with the natural logarithm of their E-value."""
         if not words:
             return []
         at = self.log_k + math.log(len(words))
-        found = [(s, at - self.lam * s.score) for s in maximal_segments(self.token_scores(words))]
-        return [(s, e) for s, e in found if e <= math.log(E_MAX)]
+        return [(s, at - self.lam * s.score) for s in maximal_segments(self.token_scores(words))]
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
+        """Of rows of :func:`evidence`."""
         if self.constant is not None:
             return np.full(len(evidence), self.constant)
-        x = np.column_stack([_bent(evidence), np.ones(len(evidence))])
+        x = np.column_stack([evidence, np.ones(len(evidence))])
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def _bent(evidence: np.ndarray) -> np.ndarray:
-    """Evidence and its logarithm; the first saturates, as a long toxic text is no more toxic."""
-    return np.column_stack([np.log1p(evidence), np.minimum(evidence, 50.0) / 10])
+def evidence(ln_e: list[float]) -> tuple[float, float, float]:
+    """Of a document's logarithms of E-values: the best segment's share, the sum over the ``BEST`` best, and the sum up
+    to a limit, as a long toxic text is no more toxic."""
+    shares = np.logaddexp(0, -np.sort(np.asarray(ln_e, float))[:BEST])
+    total = float(shares.sum())
+    return (math.log1p(shares[0]) if len(shares) else 0.0, math.log1p(total), min(total, 50.0) / 10)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -154,21 +159,21 @@ def without_copies(rows: DataFrame) -> DataFrame:
     return keyed.drop("k0", "k1")
 
 
-def word_scores(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+def word_scores(counts: DataFrame, n1: int, n0: int, z: float, prior: float, drift: float) -> DataFrame:
     """(word, score, y0) of words that are not neutral."""
-    alpha = PRIOR * (F.col("y1") + F.col("y0")) / (n1 + n0)
+    alpha = prior * (F.col("y1") + F.col("y0")) / (n1 + n0)
     a1, a0 = F.col("y1") + alpha, F.col("y0") + alpha
-    odds = F.log(a1 / (n1 + PRIOR - a1)) - F.log(a0 / (n0 + PRIOR - a0))
-    spread = Z * F.sqrt(1 / a1 + 1 / a0)
+    odds = F.log(a1 / (n1 + prior - a1)) - F.log(a0 / (n0 + prior - a0))
+    spread = z * F.sqrt(1 / a1 + 1 / a0)
     near = F.when(odds > spread, F.least(odds - spread, F.lit(MOST))).when(odds < -spread, F.greatest(odds + spread, F.lit(-MOST)))
-    return counts.select("word", (near - DRIFT).alias("score"), "y0").filter(F.col("score").isNotNull())
+    return counts.select("word", (near - drift).alias("score"), "y0").filter(F.col("score").isNotNull())
 
 
-def solve_lambda(scores: np.ndarray, shares: np.ndarray) -> float:
+def solve_lambda(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
     """Positive root of ``sum shares * exp(lambda * scores) = 1`` (the rest of the
-    shares has score -DRIFT)."""
+    shares has score -drift)."""
     rest = max(1 - shares.sum(), 0.0)
-    total = lambda x: float((shares * np.exp(x * scores)).sum() + rest * math.exp(-x * DRIFT))
+    total = lambda x: float((shares * np.exp(x * scores)).sum() + rest * math.exp(-x * drift))
     lo, hi = 1e-3, 1.0
     while total(hi) < 1 and hi < 64:
         hi *= 2
@@ -186,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", fold: int = F
     part = F.abs(F.xxhash64("doc_id", F.lit("part"))) % 4
     sample = materialize(without_copies(sample).withColumn("part", part), "toxic-sample")
     share = sample.agg(F.avg("y")).head()[0]
-    neutral = Model({}, 1.0, 0.0, np.zeros(3), 0.0 if share is None else share)
+    neutral = Model({}, 1.0, 1.0, 0.0, np.zeros(4), 0.0 if share is None else share)
     if share in (None, 0.0, 1.0):
         return neutral
     counts = materialize(word_counts(sample.filter("part > 0")), "toxic-words")
@@ -194,35 +199,54 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", fold: int = F
     n1, n0 = total[0], total[1]
     if not n1 or not n0:
         return neutral
-    top = word_scores(counts, n1, n0).orderBy(F.abs("score").desc(), "word").limit(MAX_WORDS).collect()
-    words = {bytes(r["word"]): r["score"] for r in top}
-    lam = solve_lambda(np.array([r["score"] for r in top]), np.array([r["y0"] for r in top]) / n0)
-    model = Model(words, lam, 0.0, np.zeros(3))
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    models = []
+    for z, prior, drift in CHOICES:
+        top = word_scores(counts, n1, n0, z, prior, drift).orderBy(F.abs("score").desc(), "word").limit(MAX_WORDS).collect()
+        words = {bytes(r["word"]): r["score"] for r in top}
+        lam = solve_lambda(np.array([r["score"] for r in top]), np.array([r["y0"] for r in top]) / n0, drift)
+        models.append(Model(words, drift, lam, 0.0, np.zeros(4)))
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(m) for m in models])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        """Per row and choice the scores of the best segments."""
+        candidates = [Model(*m) for m in shared.value]
+        kind = pa.list_(pa.list_(pa.float64()))
         for batch in row_batches(batches):
-            out = []
-            for text in texts(batch):
-                w = words_of(text)
-                out.append((len(w), [s.score for s in maximal_segments(m.token_scores(w))]))
-            yield with_columns(batch, ["y"], n=pa.array([x[0] for x in out], pa.int64()), scores=pa.array([x[1] for x in out], pa.list_(pa.float64())))
-
-    rest = sample.filter("part = 0").select("text", "y")
-    held = rest.mapInArrow(best, schema_plus(rest, ["y"], n="long", scores="array<double>")).toPandas()  # a part of the bounded sample
-    held = held[held["n"] > 0]
-    if not len(held) or held["y"].nunique() < 2:
+            found = [words_of(t) for t in texts(batch)]
+            scores = [[sorted((s.score for s in maximal_segments(m.token_scores(w))), reverse=True)[:BEST] for m in candidates] for w in found]
+            yield with_columns(batch, ["doc_id", "y"], n=pa.array([len(w) for w in found], pa.int64()), scores=pa.array(scores, kind))
+
+    rest = sample.filter("part = 0").select("doc_id", "text", "y")
+    held = rest.mapInArrow(best, schema_plus(rest, ["doc_id", "y"], n="long", scores="array<array<double>>")).toPandas()  # a part of the bounded sample
+    held = held[held["n"] > 0].sort_values("doc_id")
+    y, half = held["y"].to_numpy(float), np.arange(len(held)) % 2
+    if not len(held) or len(set(y)) < 2:
         return neutral
-    clean = held[held["y"] == 0]
-    peak = np.array([max(s, default=0.0) if len(s) else 0.0 for s in clean["scores"]])
-    log_k = math.log(len(clean)) - math.log(float((clean["n"].to_numpy() * np.exp(-lam * peak)).sum()))
-    evidence = []
-    for n, scores in zip(held["n"], held["scores"]):
-        e = log_k + math.log(n) - lam * np.asarray(scores, float)
-        evidence.append(-e[e <= math.log(E_MAX)].sum())
-    weights = logistic(_bent(np.array(evidence)), held["y"].to_numpy(float))
-    return model._replace(log_k=log_k, weights=weights)
+    fitted = [_calibrated(m, held["n"].to_numpy(), [s[k] for s in held["scores"]], y) for k, m in enumerate(models)]
+    losses = [_loss(x, y, half) for _, x in fitted]
+    model, x = fitted[int(np.argmin(losses))]
+    return model._replace(weights=logistic(x, y))
+
+
+def _calibrated(model: Model, n: np.ndarray, scores: list, y: np.ndarray) -> tuple[Model, np.ndarray]:
+    """The model with K from the clean rows, and the evidence of all rows."""
+    peak = np.array([s[0] if len(s) else 0.0 for s in scores])
+    clean = y == 0
+    log_k = math.log(clean.sum()) - math.log(float((n[clean] * np.exp(-model.lam * peak[clean])).sum()))
+    x = np.array([evidence([log_k + math.log(k) - model.lam * v for v in s]) for k, s in zip(n, scores)])
+    return model._replace(log_k=log_k), x
+
+
+def _loss(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> float:
+    """Log-loss of every half under the calibration of the other; infinite where a half has one kind only."""
+    total = 0.0
+    for k in (0, 1):
+        fit_on, judged = half == k, half != k
+        if len(set(y[fit_on])) < 2:
+            return math.inf
+        z = np.clip(np.column_stack([x, np.ones(len(x))])[judged] @ logistic(x[fit_on], y[fit_on]), -30, 30)
+        total += float(np.logaddexp(0, np.where(y[judged] > 0, -z, z)).sum())
+    return total
 
 
 def scan_toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -236,10 +260,10 @@ def scan_toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None)
         m = Model(*shared.value)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("ln_e", pa.float64())]))
         for batch in row_batches(batches):
-            found = [m.passages(words_of(t)) for t in texts(batch)]
-            evidence = np.array([-sum(e for _, e in f) for f in found], float)
-            rows = [[{"start": s.start, "end": s.end, "score": s.score, "ln_e": e} for s, e in f] for f in found]
-            yield with_columns(batch, keep, **{score: pa.array(m.probability(evidence), pa.float64()), passages: pa.array(rows, kind)})
+            found = [m.segments(words_of(t)) for t in texts(batch)]
+            seen = np.array([evidence([e for _, e in f]) for f in found]).reshape(-1, 3)
+            rows = [[{"start": s.start, "end": s.end, "score": s.score, "ln_e": e} for s, e in f if e <= math.log(E_MAX)] for f in found]
+            yield with_columns(batch, keep, **{score: pa.array(m.probability(seen), pa.float64()), passages: pa.array(rows, kind)})
 
     schema = schema_plus(docs, keep, **{score: "double", passages: "array<struct<start:int,end:int,score:double,ln_e:double>>"})
     return docs.mapInArrow(run, schema)

@@ -111,14 +111,14 @@ def test_segments_equal_brute_force():
     for _ in range(300):
         s = [random.choice((-3, -2, -1, 1, 2, 5)) + random.random() / 100 for _ in range(random.randint(0, 14))]
         assert [(a, b, round(x, 6)) for a, b, x in toxicity.maximal_segments(s)] == brute_segments(s)
-    assert toxicity.solve_lambda(np.array([1.0]), np.array([0.05])) == pytest.approx(_root(0.05), rel=1e-6)
+    assert toxicity.solve_lambda(np.array([1.0]), np.array([0.05]), 0.2) == pytest.approx(_root(0.05), rel=1e-6)
 
 
 def _root(p):
     lo, hi = 1e-3, 50.0
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if p * math.exp(mid) + (1 - p) * math.exp(-mid * toxicity.DRIFT) < 1 else (lo, mid)
+        lo, hi = (mid, hi) if p * math.exp(mid) + (1 - p) * math.exp(-mid * 0.2) < 1 else (lo, mid)
     return lo
 
 
@@ -139,6 +139,49 @@ def test_toxicity_held_out(spark, larger):
     assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.9
     flagged = [r["toxic"] for r in held if r["predicted"]]
     assert flagged and sum(flagged) / len(flagged) > 0.8
+    toxic = [r["predicted"] for r in held if r["toxic"]]
+    assert sum(toxic) / len(toxic) >= 0.5  # learnt from some 30 toxic rows of four languages
+
+
+def test_toxicity_held_out_by_language(spark):
+    import os
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no large test data")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    known = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    rows = toxicity.score_toxicity(known, toxicity.fit(docs, labels)).filter("held_out").join(known.select("doc_id", "lang", "toxic"), "doc_id").collect()
+    caught = {}
+    for r in rows:
+        caught.setdefault((r["toxic"], r["lang"]), []).append(r["predicted"])
+    share = {k: sum(v) / len(v) for k, v in caught.items()}
+    print("held-out toxic", {k: round(v, 3) for k, v in sorted(share.items())})
+    every = [r["predicted"] for r in rows if r["toxic"]]
+    assert sum(every) / len(every) >= 0.85
+    assert all(v >= (0.5 if y else 0) and (y or v <= 0.03) for (y, _), v in share.items())
+
+
+def test_evidence_statistic():
+    assert toxicity.evidence([]) == (0.0, 0.0, 0.0)
+    weak, strong = toxicity.evidence([3.0]), toxicity.evidence([-20.0, -3.0])
+    assert 0 < weak[0] < strong[0] and strong[1] > strong[0] and all(map(math.isfinite, toxicity.evidence([-1e4, 1e4])))
+    assert toxicity.evidence([-2.0] * 5) == toxicity.evidence([-2.0] * 50)
+
+
+def test_word_scores_equal_brute_force(spark):
+    counts = [(b"bad", 30, 2), (b"rare", 1, 0), (b"good", 1, 60), (b"both", 20, 25)]
+    z, prior, drift, n1, n0 = 1.0, 50.0, 0.5, 52, 87
+    rows = toxicity.word_scores(spark.createDataFrame(counts, "word binary, y1 long, y0 long"), n1, n0, z, prior, drift).collect()
+    want = {}
+    for w, y1, y0 in counts:
+        share = (y1 + y0) / (n1 + n0)
+        a1, a0 = y1 + prior * share, y0 + prior * share
+        odds = math.log(a1 / (n1 + prior - a1)) - math.log(a0 / (n0 + prior - a0))
+        room = abs(odds) - z * math.sqrt(1 / a1 + 1 / a0)
+        if room > 0:
+            want[w] = math.copysign(min(room, toxicity.MOST), odds) - drift
+    assert {bytes(r["word"]): r["score"] for r in rows} == pytest.approx(want)
 
 
 def test_toxicity_drops_planted_passages(spark, larger):
