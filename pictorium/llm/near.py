@@ -9,13 +9,15 @@ with their probability Jaccard similarity, which for equal weights is the Jaccar
 *Nodes.*  Texts with one shingle set are one node (named by a 64-bit hash of the set), so copies
 never meet in a bucket.  *Banding.*  Nodes that agree in all registers of a band share a
 bucket.  First every node is compared with the bucket's smallest node only; verified links give
-classes.  Then buckets that still hold several classes compare nodes of different classes: members
+classes.  While it pays, buckets that still hold several classes compare all nodes with a few leaders of other classes, drawn
+anew every round, so large groups grow together in linear steps.  Then nodes of different classes are compared in pairs: members
 of one class need no link.  Buckets with more than ``BUCKET_PAIRS`` such pairs are banded again with more
 registers and more bands per node (``LEVELS``); at the last level every pair is compared.  The nodes of such buckets
-are signed anew from their sets at every level, so that no two bands share a register and bands are independent:
-each level misses a pair of similarity 0.8 with less than 1 in 1,000.
+are signed anew from their sets at every level by the same process for every size of set, so that no two bands share a register and bands
+are independent: each level misses a pair of similarity ``SIMILARITY`` with less than ``MISS``.
 *Verification.*  A pair is looked at exactly if the sizes of its sets allow a link and its signatures agree in
-``LEAST_EQUAL`` registers (5 standard deviations below 0.8, a miss of 2 in 1,000,000): Jaccard similarity of the two shingle sets, at least ``SIMILARITY``.
+``least_equal`` registers (a miss of at most ``FILTER_MISS``): Jaccard similarity of the two shingle sets, at least ``SIMILARITY``.
+Bands, levels and this number follow from the similarity asked for.
 *Classes* are the connected components of the verified links, so no link between different texts is lost by the shortcuts.
 
 Null texts and texts without words are alone in their class.  Rows that repeat an
@@ -25,6 +27,7 @@ id and its text are one document twice and stay in one class.  An empty table gi
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +43,39 @@ from .common import OWN, row_batches, schema_plus, texts, words_of
 SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 64
-LEAST_EQUAL = 35
-#: Registers in a band and number of bands.
-LEVELS = ((4, 16), (6, 25), (9, 52), (16, 250))
+#: Chance that the registers' filter, and that one level of bands, misses a pair just as similar as asked for.
+FILTER_MISS = 2e-6
+MISS = 5e-4
 BUCKET_PAIRS = 2_000
-#: Registers signed in one step above the first level, and the set size from which early termination pays there.
-SIGNED_AT_ONCE = 1_000_000
-DENSE = 64
+#: Leaders of a bucket in one round, and the share of pairs between classes that a round must take away to be followed by another.
+LEADERS = 4
+WORTH = 0.2
+#: Arrivals drawn in one step above the first level.
+DRAWN_AT_ONCE = 1_000_000
+
+
+def least_equal(similarity: float, registers: int = REGISTERS, miss: float = FILTER_MISS) -> int:
+    """The most equal registers to ask for: fewer have at most the chance ``miss`` at this similarity."""
+    below = 0.0
+    for k in range(registers + 1):
+        below += math.comb(registers, k) * similarity**k * (1 - similarity) ** (registers - k)
+        if below > miss:
+            return k
+    return registers
+
+
+def levels_for(similarity: float) -> tuple[tuple[int, int], ...]:
+    """(registers of a band, bands) of every level.  The first level takes the longest bands whose number fits the stored
+    registers; the others are 1.5, 2.25 and 4 times as long."""
+
+    def bands(size: int) -> int:
+        return max(1, math.ceil(math.log(MISS) / math.log1p(-(similarity**size)))) if similarity < 1 else 1
+
+    fitting = [size for size in range(1, REGISTERS + 1) if size * bands(size) <= REGISTERS]
+    first = max(fitting, default=1)
+    longer = [max(first + k, round(first * x)) for k, x in ((1, 1.5), (2, 2.25), (3, 4.0))]
+    return ((first, REGISTERS // first), *((size, bands(size)) for size in longer))
+
 
 _U = np.uint64
 
@@ -76,8 +105,9 @@ def shingles(words: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
     return _mix(out)
 
 
-def signatures(sets: list[np.ndarray], counts: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
-    """ProbMinHash registers of every non-empty weighted set, as 16-bit marks."""
+def signatures(sets: list[np.ndarray], counts: list[np.ndarray], m: int = REGISTERS, at_once: int = 1) -> np.ndarray:
+    """ProbMinHash registers of every non-empty weighted set, as 16-bit marks.  ``at_once`` arrivals of an
+    element are drawn in one step; it changes the speed only."""
     n = len(sets)
     h = np.concatenate(sets) if n else np.zeros(0, _U)
     rate = 1 + np.log(np.concatenate(counts)) if n else np.zeros(0)
@@ -87,17 +117,19 @@ def signatures(sets: list[np.ndarray], counts: list[np.ndarray], m: int = REGIST
     time = np.zeros(len(h))
     r = 0
     while len(h):
-        bits = _mix(h + _U((2 * r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log1p(-(bits >> _U(11)).astype(float) / 9007199254740992.0) / rate
-        register = (_mix(bits ^ _U(0xD6E8FEB86659FD93)) % _U(m)).astype(np.int64)
-        slot = owner * m + register
-        np.minimum.at(when, slot, time)
-        won = when[slot] == time
-        mark[slot[won]] = (h[won] & _U(0xFFFF)).astype(np.uint16).view(np.int16)
-        latest = when.reshape(n, m).max(axis=1)
-        going = time < latest[owner]
+        number = (2 * np.arange(r, r + at_once, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15)
+        bits = _mix(h[:, None] + number)
+        gaps = -np.log1p(-(bits >> _U(11)).astype(float) / 9007199254740992.0) / rate[:, None]
+        gaps[:, 0] += time
+        times = np.cumsum(gaps, axis=1)
+        slot = (owner[:, None] * m + (_mix(bits ^ _U(0xD6E8FEB86659FD93)) % _U(m)).astype(np.int64)).ravel()
+        np.minimum.at(when, slot, times.ravel())
+        won = when[slot] == times.ravel()
+        mark[slot[won]] = np.repeat((h & _U(0xFFFF)).astype(np.uint16).view(np.int16), at_once)[won]
+        time = times[:, -1]
+        going = time < when.reshape(n, m).max(axis=1)[owner]
         h, rate, owner, time = h[going], rate[going], owner[going], time[going]
-        r += 1
+        r += at_once
     return mark.reshape(n, m)
 
 
@@ -148,25 +180,20 @@ def band_keys(sets: list[np.ndarray], level: int, size: int, n: int) -> np.ndarr
     out = np.empty((len(sets), n), np.int64)
     salt = _U((level + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
     hashed = [_mix(s.view(np.uint32).astype(_U) + salt) for s in sets]
-    step = max(1, SIGNED_AT_ONCE // (size * n))
+    arrivals = size * n * (math.log(size * n) + 2)  # about what fills all registers of a set
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))  # sets of like size end their rounds together
-    for at in range(0, len(order), step):
-        part = order[at : at + step]
-        few = [i for i in part if len(sets[i]) < DENSE]
-        for i in few:
-            out[i] = _fold(_dense(hashed[i], size * n)[None], size, n)[0]
-        rest = part[len(few) :]
-        if rest:
-            out[rest] = _fold(signatures([hashed[i] for i in rest], [np.ones(len(hashed[i])) for i in rest], size * n), size, n)
+    at = 0
+    while at < len(order):
+        least = len(sets[order[at]])
+        part = order[at : at + max(1, int(DRAWN_AT_ONCE / max(arrivals, least)))]
+        part = [i for i in part if len(sets[i]) <= 2 * least]
+        at += len(part)
+        each = max(1, math.ceil(arrivals / least / 2))
+        signed = signatures([hashed[i] for i in part], [np.ones(len(hashed[i])) for i in part], size * n, each)
+        out[part] = _fold(signed, size, n)
     return out
 
 
-def _dense(h: np.ndarray, m: int) -> np.ndarray:
-    """Registers of one small set: the element with the smallest hash in each."""
-    own = _mix(np.arange(1, m + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    return (h[_mix(h[:, None] ^ own).argmin(0)] & _U(0xFFFF)).astype(np.uint16).view(np.int16)
-
-
 def _fold(marks: np.ndarray, size: int, n: int) -> np.ndarray:
     """One 64-bit hash per band of ``size`` registers; the band's number is part of it."""
     parts = marks.view(np.uint16).astype(_U).reshape(len(marks), n, size)
@@ -209,7 +236,8 @@ class _Finder:
     """The steps of one run over a table of :func:`sketch`."""
 
     def __init__(self, prints: DataFrame, scratch: Scratch, similarity: float, levels, bucket_pairs: int):
-        self.scratch, self.similarity, self.levels, self.bucket_pairs = scratch, similarity, levels, bucket_pairs
+        self.scratch, self.similarity, self.bucket_pairs = scratch, similarity, bucket_pairs
+        self.levels, self.least_equal = levels or levels_for(similarity), least_equal(similarity)
         self.prints = prints.filter(F.col("node").isNotNull())
         firsts, _ = scratch.write(self.prints.groupBy("node").agg(F.min("row").alias("row")).select("row"))
         self.sigs, _ = scratch.write(self.prints.select("row", "node", "sig", F.size("set").alias("n")).join(firsts, "row", "left_semi"))
@@ -250,7 +278,7 @@ class _Finder:
     def may_link(self) -> Column:
         """False only where the set sizes of a and b exclude a link, or too few registers agree."""
         sizes = F.least("n_a", "n_b") >= self.similarity * F.greatest("n_a", "n_b")
-        return sizes & (_equal_registers("sig_a", "sig_b") >= LEAST_EQUAL)
+        return sizes & (_equal_registers("sig_a", "sig_b") >= self.least_equal)
 
     def stars(self, members: DataFrame) -> DataFrame:
         """Nodes with the smallest node of their bucket, where the signatures allow a link."""
@@ -268,6 +296,25 @@ class _Finder:
         meet = (a["bucket"] == b["other"]) & (F.col("cls_a") < F.col("cls_b")) & self.may_link()
         return a.join(b, meet).select("a", "b")
 
+    def led(self, named: DataFrame, number: int) -> DataFrame:
+        """Pairs of a bucket's leaders with its nodes of other classes, where the signatures allow a link.  Leaders
+        have the smallest hashes in a round, so they cost one map-side reduced aggregate and a node meets few of them."""
+        firsts = [F.min(F.struct(F.xxhash64(F.col("node"), F.lit(number * LEADERS + k)).alias("h"), "node", "cls")).alias(f"l{k}") for k in range(LEADERS)]
+        leaders = named.groupBy("bucket").agg(*firsts).select("bucket", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.node", f"l{k}.cls") for k in range(LEADERS)]))).alias("l"))
+        pairs = named.join(leaders, "bucket").filter(F.col("l.cls") != F.col("cls"))
+        pairs, _ = self.scratch.write(pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct())
+        pairs = pairs.join(self.signature("b"), "b")
+        sigs = self.signature("a")
+        return pairs.join(sigs, (pairs["a"] == sigs["a"]) & self.may_link()).select(pairs["a"], "b")
+
+    def crossing(self, named: DataFrame, last: bool) -> tuple[DataFrame, dict]:
+        """(bucket, wide, pairs) of buckets with several classes; ``pairs`` lie between classes."""
+        sizes = named.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"))
+        cross = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        cross = cross.select("bucket", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), "all")
+        cross = cross.select("bucket", "pairs", "all", ((F.col("pairs") > self.bucket_pairs) & F.lit(not last)).alias("wide"))
+        return self.scratch.write(cross, few=F.count_if(~F.col("wide")), many=F.count_if("wide"), pairs=F.coalesce(F.sum("pairs"), F.lit(0.0)), rows=F.coalesce(F.sum("all"), F.lit(0)))
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
         near, _ = self.scratch.write(pairs.distinct())
@@ -306,10 +353,15 @@ class _Finder:
                 self.keep_sets(members.select("node").distinct())
                 self.link(self.linked(self.stars(members)))
             named, _ = self.scratch.write(self.named(members.select("bucket", "node")))
-            sizes = named.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"))
-            cross = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("k"))
-            cross = cross.filter("k > 1").select("bucket", (((F.col("all") * F.col("all") - F.col("own")) / 2 > self.bucket_pairs) & F.lit(not last)).alias("wide"))
-            cross, seen = self.scratch.write(cross, few=F.count_if(~F.col("wide")), many=F.count_if("wide"))
+            cross, seen = self.crossing(named, last)
+            number, before = 0, math.inf
+            # leaders cost LEADERS pairs a row; rounds go on while there are many more pairs and each takes its share away
+            while seen["pairs"] > 2 * LEADERS * seen["rows"] and seen["pairs"] <= (1 - WORTH) * before:
+                several = named.join(cross.select("bucket"), "bucket", "left_semi")
+                self.link(self.linked(self.led(several, number)))
+                before, number = seen["pairs"], number + 1
+                named, _ = self.scratch.write(self.named(several.select("bucket", "node")))
+                cross, seen = self.crossing(named, last)
             if seen["few"]:
                 self.link(self.linked(self.across(named, cross.filter("not wide"))))
             if not seen["many"]:
@@ -347,12 +399,12 @@ def _grouped(docs: DataFrame, similarity: float, levels, bucket_pairs: int) -> D
     )
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, levels=LEVELS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, levels=None, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of the class), class_size, kept."""
     return _grouped(docs, similarity, levels, bucket_pairs).drop("mark")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, levels=LEVELS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, levels=None, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """The documents without those that are not kept; rows that repeat id and text of a kept one stay."""
     gone = _grouped(docs, similarity, levels, bucket_pairs).filter(~F.col("kept"))
     gone = gone.select(F.struct("doc_id", "mark").alias(OWN + "gone")).distinct()

@@ -61,7 +61,7 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("levels,pairs", [(near.LEVELS, near.BUCKET_PAIRS), (((2, 32), (4, 60), (8, 90)), 3)])
+@pytest.mark.parametrize("levels,pairs", [(None, near.BUCKET_PAIRS), (((2, 32), (4, 60), (8, 90)), 3)])
 def test_large_groups_and_common_passages(spark, levels, pairs):
     """Chains of edits, a large group, and many texts that share a passage but are different."""
     rng = random.Random(9)
@@ -165,7 +165,7 @@ def finder_labels(spark, sets, bucket_pairs):
     small = [np.sort((s >> np.uint64(32)).astype(np.uint32).view(np.int32)) for s in sets]
     rows = [(i, i, i, i, sig.tolist(), s.tolist()) for i, (sig, s) in enumerate(zip(signed, small))]
     prints = spark.createDataFrame(rows, "row long, doc_id long, mark long, node long, sig array<short>, set array<int>")
-    labels = near._Finder(prints, Scratch(spark, "near-test"), 0.8, near.LEVELS, bucket_pairs).run()
+    labels = near._Finder(prints, Scratch(spark, "near-test"), 0.8, None, bucket_pairs).run()
     return {r["node"]: r["label"] for r in labels.collect()}
 
 
@@ -192,3 +192,58 @@ def test_repeated_passages_link_by_their_sets(spark):
         rows.append((2 * p + 1, body + " " + " ".join(f"b{p}x{k % 146}" for k in range(146 * 20))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(near.near_duplicates(docs)) == classes(rows)
+
+
+def set_classes(sets, similarity=0.8):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def test_production_levels_with_sets_of_all_sizes(spark):
+    """Sets of 40 to 90 elements, many pairs of them of similarity about 0.8, in buckets that are wide at every level."""
+    rng = np.random.default_rng(11)
+    sets = []
+    for _ in range(6):
+        base = rng.integers(0, 2**63, 90).astype(np.uint64)
+        sets += [rng.choice(base, n, replace=False) for n in rng.integers(40, 91, 45)]
+    want = set_classes([set((s >> np.uint64(32)).tolist()) for s in sets])
+    assert 30 < len(set(want)) < 200
+    got = finder_labels(spark, sets, 3)
+    assert [got.get(i, i) for i in range(len(sets))] == want
+
+
+def test_pairs_across_sizes_share_bands_at_every_level():
+    """One process signs all sizes: pairs of similarity 0.8 and more meet, whatever their sizes."""
+    rng = np.random.default_rng(6)
+    for a, b in ((8, 10), (50, 60), (60, 72), (63, 64), (63, 73), (100, 120), (700, 850)):
+        big = [np.sort(rng.integers(-(2**31), 2**31, b).astype(np.int32)) for _ in range(40)]
+        small = [x[np.sort(rng.permutation(b)[:a])] for x in big]
+        for level, (size, n) in list(enumerate(near.levels_for(0.8)))[1:]:
+            x, y = near.band_keys(big, level, size, n), near.band_keys(small, level, size, n)
+            assert (x == y).any(axis=1).sum() >= 39
+
+
+def test_arrivals_at_once_change_nothing():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 2, 7, 40, 300)]
+    counts = [rng.integers(1, 5, len(s)) for s in sets]
+    for m in (64, 150):
+        assert (near.signatures(sets, counts, m) == near.signatures(sets, counts, m, 13)).all()
+
+
+def test_other_similarities(spark):
+    rng = random.Random(4)
+    rows = []
+    for p in range(60):
+        body = [f"a{p}x{rng.randrange(10**6)}" for _ in range(204)]
+        rows += [(2 * p, " ".join(body[:150] + [f"b{k}x{rng.randrange(10**6)}" for k in range(4)])), (2 * p + 1, " ".join(body[:150] + [f"c{k}x{rng.randrange(10**6)}" for k in range(120)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    similar = sum(len(a & b) >= 0.5 * len(a | b) for a, b in ((shingle_set(rows[i][1]), shingle_set(rows[i + 1][1])) for i in range(0, 120, 2)))
+    assert similar == 60 and near.near_duplicates(docs, similarity=0.5).filter("class_size = 2").count() == 120
+    assert near.near_duplicates(docs).filter("class_size > 1").count() == 0
