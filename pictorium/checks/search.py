@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pictorium.functions.segment import dictionary, weight_of
 from pictorium.functions.text import tokenize
 from pictorium.operators import search as S
 from pictorium.sources import adapters as A
 
-from .registry import check, tokens, with_views
+from .registry import STOP, check, tokens, with_views
 
 _RANK = "relevance_score DESC, match_count DESC, created_at DESC, id DESC"
 
@@ -32,6 +33,41 @@ def build_index(spark, d):
     return S.build_index(A.assets(spark, d)).select("image_id", "term", "field", "weight")
 
 
+#: A small frequency dictionary with overlapping words for the notes of the library.
+CHINESE_WORDS = {
+    "我": 900, "和": 800, "小明": 60, "明一": 3, "一起": 200, "起去": 5, "公园": 90, "去年": 120, "年我": 4, "我们": 400, "们去": 6, "旅行": 70,
+    "周三": 50, "三开": 2, "开会": 80, "一张": 150, "张风": 2, "风景": 90, "风景照": 20, "景照": 5, "照": 30, "星期": 90, "星期五": 60, "期五": 3,
+    "小红": 60, "红在": 2, "北京": 200, "吃饭": 100, "昨天": 110, "天到": 6, "上海": 180, "到上": 9, "今年": 130, "南京": 100, "京走": 2,
+    "老王": 60, "小李": 60, "王和": 3, "和小": 12,
+}
+_LONGEST = max(map(len, CHINESE_WORDS))
+_TOTAL = sum(CHINESE_WORDS.values())
+
+
+def best_route(text: str) -> str:
+    """SQL of the words of an ideograph run: from its end backwards the best of all words at each position, ties to the longer."""
+    weights = ", ".join(f"'{w}': {weight_of(f, _TOTAL)}" for w, f in CHINESE_WORDS.items())
+    return f"""list_reduce(list_prepend([{{'s': 0, 'n': 0, 'w': CAST([] AS VARCHAR[])}}],
+      list_transform(range(length({text}), 0, -1), lambda i: [{{'s': i, 'n': 0, 'w': [{text}]}}])),
+      lambda routes, pos: list_prepend(list_max(list_filter(list_transform(range(1, least({_LONGEST}, len(routes)) + 1),
+        lambda k: {{'s': coalesce(map_extract_value(MAP {{{weights}}}, substr(pos[1].w[1], pos[1].s, k)), CASE WHEN k = 1 THEN {weight_of(1, _TOTAL)} END) + routes[k].s,
+          'n': k, 'w': list_prepend(substr(pos[1].w[1], pos[1].s, k), routes[k].w)}}), lambda r: r.s IS NOT NULL)), routes))[1].w"""
+
+
+_HAN = r"[\x{4E00}-\x{9FFF}]"
+
+
+@check("e1_tokenize_chinese", with_views("notes", rf"""
+    SELECT id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (
+      SELECT id, list_filter(flatten(list_transform(regexp_extract_all(lower(content), '{_HAN}+|[\p{{L}}\p{{N}}]+'),
+        lambda x: CASE WHEN regexp_matches(x, '^{_HAN}') THEN {best_route("x")} ELSE [x] END)),
+        lambda t: strlen(t) > 1 AND NOT list_contains([{STOP}], t)) AS t FROM notes)"""))
+def tokenized_chinese(spark, d):
+    words = dictionary(CHINESE_WORDS)
+    notes = A.cjk_notes(spark, d).select("id", tokenize(F.col("content"), words).alias("t"))
+    return notes.select("id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+
+
 @check("e3_search", with_views("assets, postings", f"""
     SELECT h.id, a.file_path, a.ai_category, h.match_count, h.relevance_score
     FROM (SELECT * FROM ({hits("'thre', 'src12', 'clean', 'ouier'")}) ORDER BY {_RANK} LIMIT 20) h

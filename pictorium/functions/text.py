@@ -9,6 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .segment import Dictionary, segmented
 
 _STOP = list(dict.fromkeys(V.STOP_WORDS))
 
@@ -42,19 +43,29 @@ def _token_pattern(words: Iterable[str], unknown: str) -> str:
     return "|".join(parts)
 
 
-def tokenize(text: Column, words: Iterable[str] | None = None, unknown: str = "char") -> Column:
+def tokenize(text: Column, words: Dictionary | Iterable[str] | None = None, unknown: str = "char") -> Column:
     """``array<string>`` of search tokens.
 
     Drops empty tokens, tokens of one byte, and stop words.  ``words`` is the
-    CJK dictionary; characters outside it come out singly (``unknown="char"``,
-    what a dictionary segmenter does) or as pairs (``unknown="pair"``).
+    CJK dictionary.  A :class:`Dictionary` of any size segments runs of ideographs by the best route through
+    their word graph; only those runs leave the JVM.  A short plain list is matched longest first inside one regular expression;
+    characters outside it come out singly (``unknown="char"``) or as pairs (``unknown="pair"``).
     """
     low = F.lower(text)
+    if isinstance(words, Dictionary):
+        with_ideographs = low.rlike(f"[{V.CJK}]")
+        runs = F.regexp_extract_all(low, F.lit(rf"[{V.CJK}]+|[\p{{L}}\p{{N}}&&[^{V.CJK}]]+"), F.lit(0))
+        cut = segmented(F.when(with_ideographs, runs), words, V.CJK)
+        return _searchable(F.when(with_ideographs, cut).otherwise(plain_tokens(text)))
     pattern = _token_pattern(default_words() if words is None else words, unknown)
     # the plain pattern is four times faster and equal on texts without ideographs
     mixed = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
     found = F.when(low.rlike(f"[{V.CJK}]"), mixed).otherwise(plain_tokens(text))
-    return F.filter(found, lambda t: (F.octet_length(t) > 1) & ~t.isin(_STOP))
+    return _searchable(found)
+
+
+def _searchable(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: (F.octet_length(t) > 1) & ~t.isin(_STOP))
 
 
 def plain_tokens(text: Column) -> Column:
@@ -62,8 +73,8 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def query_tokens(spark: SparkSession, query: str, words: Iterable[str] | None = None) -> list[str]:
-    """Tokens of one query string.  Folded by the optimizer, runs no job."""
+def query_tokens(spark: SparkSession, query: str, words: Dictionary | Iterable[str] | None = None) -> list[str]:
+    """Tokens of one query string.  Without a :class:`Dictionary` folded by the optimizer, with no job."""
     row = spark.sql("SELECT 1 AS one").select(tokenize(F.lit(query), words).alias("t")).head()
     return list(dict.fromkeys(row["t"]))
 

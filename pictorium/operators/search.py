@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pictorium.functions.segment import Dictionary
 from pictorium.functions.text import contains_ci, query_tokens, tokenize
 
 from .catalog import asset_predicate
@@ -20,7 +21,7 @@ from .common import page, without_ids
 WIDE = ["file_path", "file_name", "ai_description", "ai_category", "ai_confidence"]
 
 
-def index_terms(assets: DataFrame, words: Iterable[str] | None = None) -> DataFrame:
+def index_terms(assets: DataFrame, words: Dictionary | Iterable[str] | None = None) -> DataFrame:
     """``(image_id, term, weight)`` of every asset: description and category
     tokens, lower-cased tags, and the tokens of ``id <n>``.  One map stage; no
     shuffle, as duplicates are removed inside the row."""
@@ -39,7 +40,7 @@ def index_terms(assets: DataFrame, words: Iterable[str] | None = None) -> DataFr
     return exploded.select("image_id", "term", weight.alias("weight"))
 
 
-def build_index(assets: DataFrame, words: Iterable[str] | None = None) -> DataFrame:
+def build_index(assets: DataFrame, words: Dictionary | Iterable[str] | None = None) -> DataFrame:
     """Postings of all assets but rejected ones."""
     shown = assets.filter(~F.col("ai_tag_status").eqNullSafe("rejected"))
     return index_terms(shown, words).withColumn("field", F.lit("combined"))
@@ -53,7 +54,7 @@ def write_index(postings: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def refresh_index(postings: DataFrame, changed: DataFrame, words: Iterable[str] | None = None) -> DataFrame:
+def refresh_index(postings: DataFrame, changed: DataFrame, words: Dictionary | Iterable[str] | None = None) -> DataFrame:
     """Replace the postings of changed assets; rejected ones only lose theirs."""
     fresh = build_index(changed, words)
     return drop_index(postings, changed.select("id")).unionByName(fresh.select(*postings.columns))
@@ -78,7 +79,7 @@ def search(
     query: str,
     limit: int = 20,
     offset: int = 0,
-    words: Iterable[str] | None = None,
+    words: Dictionary | Iterable[str] | None = None,
     **filters,
 ) -> DataFrame:
     """Best assets for one query string.
@@ -99,7 +100,7 @@ def search(
 
 
 def search_many(
-    postings: DataFrame, assets: DataFrame, queries: DataFrame, k: int = 20, words: Iterable[str] | None = None
+    postings: DataFrame, assets: DataFrame, queries: DataFrame, k: int = 20, words: Dictionary | Iterable[str] | None = None
 ) -> DataFrame:
     """Batch form: ``queries(query_id, query)`` to ``(query_id, id, rank, …)``.
 
@@ -127,7 +128,7 @@ def search_with_fallback(
     query: str,
     page_no: int = 0,
     page_size: int = 20,
-    words: Iterable[str] | None = None,
+    words: Dictionary | Iterable[str] | None = None,
     **filters,
 ) -> DataFrame:
     """A short page is filled with assets whose narratives contain the query
