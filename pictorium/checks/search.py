@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from pictorium.functions.segment import dictionary, weight_of
 from pictorium.functions.text import tokenize
+from pictorium.operators import index as X
 from pictorium.operators import search as S
+from pictorium.plans.scratch import new_path
 from pictorium.sources import adapters as A
 
 from .registry import STOP, check, tokens, with_views
@@ -78,6 +80,21 @@ def search(spark, d):
     return out.select("id", "file_path", "ai_category", "match_count", "relevance_score")
 
 
+def _stored(spark, assets):
+    return X.create_index(assets, new_path(spark, "search-index"), bits=6)
+
+
+@check("e3_search_blocks", with_views("assets, postings", f"""
+    SELECT h.id, a.file_path, a.ai_category, h.match_count, h.relevance_score
+    FROM (SELECT * FROM ({hits("'the', 'clean', 'and'")}) ORDER BY {_RANK} LIMIT 15 OFFSET 5) h
+    JOIN assets a ON a.id = h.id"""))
+def search_blocks(spark, d):
+    """Terms that most assets hold: the page comes from the newest buckets."""
+    assets = A.assets(spark, d)
+    out = X.search_index(_stored(spark, assets), assets, "the clean, AND", 15, 5, words=[], waves=(2, 4))
+    return out.select("id", "file_path", "ai_category", "match_count", "relevance_score")
+
+
 @check("e3_search_filtered", with_views("assets, postings", f"""
     SELECT id, match_count, relevance_score FROM ({hits("'the', 'src1', 'clean'",
       "a.ai_category = 'en' AND contains(array_to_string(a.ai_tags, '|'), 'src1') AND a.created_at >= TIMESTAMP '2024-01-01' AND a.created_at <= TIMESTAMP '2024-01-01 12:00:00'")})
@@ -141,7 +158,7 @@ def query_associations(spark, d):
     return out.select("id", "image_id", "file_name", "match_type", "relevance")
 
 
-@check("e6_refresh_index", with_views("assets, postings", """
+REFRESHED = with_views("assets, postings", """
     SELECT image_id, count(*) AS n_terms, sum(weight) AS weight FROM (
       SELECT image_id, term, weight FROM postings WHERE image_id NOT IN (SELECT id FROM assets WHERE source IN ('src1', 'src2'))
       UNION ALL
@@ -149,14 +166,35 @@ def query_associations(spark, d):
         (SELECT id, unnest(list_distinct(list_concat(list_concat(['short', 'note', 'renamed'], CASE WHEN ai_category IS NULL THEN [] ELSE [ai_category] END),
            list_concat(['id'], CASE WHEN strlen(CAST(id AS VARCHAR)) > 1 THEN [CAST(id AS VARCHAR)] ELSE [] END)))) AS term
          FROM assets WHERE source = 'src1' AND ai_tag_status <> 'rejected'))
-    GROUP BY image_id"""))
+    GROUP BY image_id""")
+
+
+@check("e6_refresh_index", REFRESHED)
 def refresh_index(spark, d):
     assets = A.assets(spark, d)
-    changed = (
+    fresh = S.refresh_index(S.build_index(assets), changed_assets(assets))
+    return _summary(fresh)
+
+
+@check("e6_index_segments", REFRESHED)
+def index_segments(spark, d):
+    """The same change as three updates of a stored index with a merge in between."""
+    assets = A.assets(spark, d)
+    index, changed = _stored(spark, assets), changed_assets(assets)
+    index = X.update_index(index, assets.filter(F.col("source") == "src2"))
+    index = X.remove_from_index(index, changed.filter(F.col("ai_tag_status") == "rejected").select("id"))
+    index = X.update_index(X.merge_index(spark, index, fan=2), changed)
+    return _summary(X.live_postings(spark, index))
+
+
+def _summary(postings):
+    return postings.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("weight").alias("weight"))
+
+
+def changed_assets(assets):
+    return (
         assets.filter(F.col("source").isin("src1", "src2"))
         .withColumn("ai_description", F.lit("A short note"))
         .withColumn("ai_tags", F.array(F.lit("Renamed")))
         .withColumn("ai_tag_status", F.when(F.col("source") == "src2", F.lit("rejected")).otherwise(F.col("ai_tag_status")))
     )
-    fresh = S.refresh_index(S.build_index(assets), changed)
-    return fresh.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("weight").alias("weight"))

@@ -21,10 +21,10 @@ from .common import page, without_ids
 WIDE = ["file_path", "file_name", "ai_description", "ai_category", "ai_confidence"]
 
 
-def index_terms(assets: DataFrame, words: Dictionary | Iterable[str] | None = None) -> DataFrame:
+def index_terms(assets: DataFrame, words: Dictionary | Iterable[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(image_id, term, weight)`` of every asset: description and category
     tokens, lower-cased tags, and the tokens of ``id <n>``.  One map stage; no
-    shuffle, as duplicates are removed inside the row."""
+    shuffle, as duplicates are removed inside the row.  ``keep`` names further columns to carry along."""
     tags = F.transform(F.coalesce("ai_tags", F.array().cast("array<string>")), F.lower)
     empty = F.lit("")
     terms = F.array_distinct(
@@ -35,15 +35,15 @@ def index_terms(assets: DataFrame, words: Dictionary | Iterable[str] | None = No
             tokenize(F.concat(F.lit("id "), F.col("id").cast("string")), words),
         )
     )
-    exploded = assets.select(F.col("id").alias("image_id"), tags.alias("tags"), F.explode(terms).alias("term"))
+    exploded = assets.select(F.col("id").alias("image_id"), *keep, tags.alias("tags"), F.explode(terms).alias("term"))
     weight = F.when(F.array_contains("tags", F.col("term")), F.lit(2.0)).otherwise(F.lit(1.0))
-    return exploded.select("image_id", "term", weight.alias("weight"))
+    return exploded.select("image_id", "term", weight.alias("weight"), *keep)
 
 
-def build_index(assets: DataFrame, words: Dictionary | Iterable[str] | None = None) -> DataFrame:
+def build_index(assets: DataFrame, words: Dictionary | Iterable[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Postings of all assets but rejected ones."""
     shown = assets.filter(~F.col("ai_tag_status").eqNullSafe("rejected"))
-    return index_terms(shown, words).withColumn("field", F.lit("combined"))
+    return index_terms(shown, words, keep).withColumn("field", F.lit("combined"))
 
 
 def write_index(postings: DataFrame, path: str) -> None:
@@ -64,7 +64,8 @@ def drop_index(postings: DataFrame, ids) -> DataFrame:
     return without_ids(postings, ids, "image_id")
 
 
-def _ranked() -> list[Column]:
+def ranked() -> list[Column]:
+    """The order of search results."""
     return [F.desc("relevance_score"), F.desc("match_count"), F.desc("created_at"), F.desc("id")]
 
 
@@ -93,10 +94,10 @@ def search(
     filters.setdefault("tag_mode", "substring")
     allowed = assets.filter((F.col("ai_status") == "completed") & asset_predicate(**filters))
     hits = _scores(postings.filter(F.col("term").isin(terms)), ["image_id"]).withColumnRenamed("image_id", "id")
-    best = page(hits.join(allowed.select("id", "created_at"), "id"), _ranked(), limit, offset)
+    best = page(hits.join(allowed.select("id", "created_at"), "id"), ranked(), limit, offset)
     wide = assets.select("id", *WIDE)
     # a limit makes the final order a top-k: no range shuffle, no sampling job
-    return wide.join(best, "id").orderBy(*_ranked()).limit(limit)
+    return wide.join(best, "id").orderBy(*ranked()).limit(limit)
 
 
 def search_many(
@@ -110,9 +111,9 @@ def search_many(
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query"), words))).alias("term"))
     hits = _scores(postings.join(asked, "term"), ["query_id", "image_id"]).withColumnRenamed("image_id", "id")
     allowed = assets.filter(F.col("ai_status") == "completed").select("id", "created_at")
-    order = Window.partitionBy("query_id").orderBy(*_ranked())
-    ranked = hits.join(allowed, "id").withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "id", "rank", "match_count", "relevance_score")
+    order = Window.partitionBy("query_id").orderBy(*ranked())
+    placed = hits.join(allowed, "id").withColumn("rank", F.row_number().over(order))
+    return placed.filter(F.col("rank") <= k).select("query_id", "id", "rank", "match_count", "relevance_score")
 
 
 def narrative_matches(narratives: DataFrame, query: str) -> DataFrame:
@@ -151,7 +152,7 @@ def search_with_fallback(
         F.col("told_at").alias("created_at"),
         F.lit(1).alias("stage"),
     )
-    return hits.unionByName(extra).orderBy("stage", *_ranked()).limit(page_size)
+    return hits.unionByName(extra).orderBy("stage", *ranked()).limit(page_size)
 
 
 def query_associations(narratives: DataFrame, assets: DataFrame, query: str, limit: int = 20) -> DataFrame:
