@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import files, hashing
 from pictorium.operators import dedup as D
+from pictorium.operators import fingerprint_index
 from pictorium.operators import ingest
-from pictorium.plans.scratch import Scratch
+from pictorium.plans.scratch import Scratch, new_path
 from pictorium.sources import adapters as A
 from pictorium.sources import sinks
 
@@ -235,16 +236,31 @@ def hamming_self_join_wide(spark, d):
     return D.hamming_self_join(A.assets(spark, d, fingerprint=True), 10)
 
 
-@check("f4_hamming_range_search", with_views("words, prints, prints64", f"""
+WITHIN_FIVE = with_views("words, prints, prints64", f"""
     SELECT q.word AS query_word, p.id, CAST(bit_count(xor(q.u, p.u)) AS INTEGER) AS distance
     FROM (SELECT DISTINCT x.u, {signed('x.u')} AS word FROM prints64 x JOIN documents d ON d.doc_id = x.id WHERE d.source IN ('src3', 'src5')) q
-    JOIN prints p ON bit_count(xor(q.u, p.u)) <= 5"""))
+    JOIN prints p ON bit_count(xor(q.u, p.u)) <= 5""")
+
+
+@check("f4_hamming_range_search", WITHIN_FIVE)
 def hamming_range_search(spark, d):
     assets = A.assets(spark, d, fingerprint=True)
     asked = assets.filter(F.col("source").isin("src3", "src5")).select(hashing.phash_to_long(F.col("phash")).alias("word"))
     return D.hamming_range_search(asked, assets, 5)
 
 
+@check("f4_stored_fingerprints", WITHIN_FIVE)
+def stored_fingerprints(spark, d):
+    """The same from a stored index that was written in two batches."""
+    assets = A.assets(spark, d, fingerprint=True)
+    path = new_path(spark, "fingerprints")
+    prints = D.fingerprints(assets)
+    for part in (prints.filter("id % 3 = 0"), prints.filter("id % 3 <> 0")):
+        fingerprint_index.append_fingerprints(part, path)
+    asked = assets.filter(F.col("source").isin("src3", "src5")).select(hashing.phash_to_long(F.col("phash")).alias("word"))
+    return fingerprint_index.search_fingerprints(spark, path, asked, 5)
+
+
 @check("f5_cluster_pairs", grouped_sql("SELECT group_id, id FROM members"))
 def cluster_pairs(spark, d):
     return _scan(spark, d).members().select("group_id", "id")
