@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import text
 from pictorium.operators import catalog as C
-from pictorium.operators import common, curation
+from pictorium.operators import common, curation, substring_index
 from pictorium.plans.scratch import new_path
 from pictorium.sources import adapters as A
 from pictorium.sources import tables
@@ -136,16 +136,29 @@ def list_with_filter(spark, d):
     return one.unionByName(two).unionByName(total)
 
 
-@check("d10_keyword_search", with_views("assets", f"""
+KEYWORDS = with_views("assets", f"""
     SELECT id, file_name FROM assets
     WHERE (contains(lower(array_to_string(ai_tags, ',')), 'src12') OR contains(lower(ai_description), 'src12') OR contains(file_name, 'src12')
        OR contains(lower(array_to_string(ai_tags, ',')), 'thre') OR contains(lower(ai_description), 'thre') OR contains(file_name, 'thre'))
       AND ai_category = 'en'
-    {_ORDER} LIMIT 20"""))
+    {_ORDER} LIMIT 20""")
+
+
+@check("d10_keyword_search", KEYWORDS)
 def keyword_search(spark, d):
     return C.keyword_search(A.assets(spark, d), "src12 Thre", "en").select("id", "file_name")
 
 
+@check("d10_indexed_keyword_search", KEYWORDS)
+def indexed_keyword_search(spark, d):
+    """The same by a stored substring index, written in two parts."""
+    assets, path = A.assets(spark, d), new_path(spark, "substrings")
+    texts = C.keyword_texts(assets)
+    for part in (texts.filter("id % 2 = 0"), texts.filter("id % 2 <> 0")):
+        substring_index.append_texts(part, path)
+    return C.indexed_keyword_search(assets, path, "src12 Thre", "en").select("id", "file_name")
+
+
 @check("d11_by_source", with_views("assets, postings", """
     SELECT 'count' AS what, count(*) AS n FROM assets WHERE source = 'src2'
     UNION ALL SELECT 'kept', count(*) FROM assets WHERE source <> 'src2'

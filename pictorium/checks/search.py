@@ -8,6 +8,7 @@ from pictorium.functions.segment import dictionary, weight_of
 from pictorium.functions.text import tokenize
 from pictorium.operators import index as X
 from pictorium.operators import search as S
+from pictorium.operators import substring_index
 from pictorium.plans.scratch import new_path
 from pictorium.sources import adapters as A
 
@@ -149,15 +150,27 @@ def narrative_fallback(spark, d):
     return out.select("id", "match_count", "relevance_score", F.col("stage").cast("long").alias("stage"))
 
 
-@check("e5_query_associations", with_views("assets, narratives", """
+ASSOCIATIONS = with_views("assets, narratives", """
     SELECT n.id, n.image_id, a.file_name, 'content' AS match_type, CAST(1.0 AS DOUBLE) AS relevance
     FROM narratives n JOIN assets a ON a.id = n.image_id WHERE contains(lower(n.content), 'and the')
-    ORDER BY n.created_at DESC, n.id DESC LIMIT 20"""))
+    ORDER BY n.created_at DESC, n.id DESC LIMIT 20""")
+
+
+@check("e5_query_associations", ASSOCIATIONS)
 def query_associations(spark, d):
     out = S.query_associations(A.narratives(spark, d), A.assets(spark, d), "AND the")
     return out.select("id", "image_id", "file_name", "match_type", "relevance")
 
 
+@check("e5_indexed_associations", ASSOCIATIONS)
+def indexed_associations(spark, d):
+    """The same by a stored substring index of the narratives."""
+    told, path = A.narratives(spark, d), new_path(spark, "substrings")
+    substring_index.append_texts(S.narrative_texts(told), path)
+    out = S.query_associations(S.indexed_narrative_matches(told, path, "AND the"), A.assets(spark, d), "AND the")
+    return out.select("id", "image_id", "file_name", "match_type", "relevance")
+
+
 REFRESHED = with_views("assets, postings", """
     SELECT image_id, count(*) AS n_terms, sum(weight) AS weight FROM (
       SELECT image_id, term, weight FROM postings WHERE image_id NOT IN (SELECT id FROM assets WHERE source IN ('src1', 'src2'))

@@ -11,6 +11,7 @@ from pictorium.functions import fixed_values as V
 from pictorium.functions.text import contains_ci
 
 from .common import only_ids, page, without_ids
+from .substring_index import find_containing
 
 
 def asset_predicate(
@@ -95,17 +96,35 @@ def count_with_filter(df: DataFrame, text: str | None) -> DataFrame:
     return df.filter(parse_filter(text)).agg(F.count(F.lit(1)).alias("total"))
 
 
+def _keyword_fields() -> list[Column]:
+    return [F.array_join("ai_tags", ","), F.col("ai_description"), F.col("file_name")]
+
+
+def _keyword_hit(words: list[str], category: str | None) -> Column:
+    hit = reduce(lambda a, b: a | b, [F.coalesce(contains_ci(f, w), F.lit(False)) for w in words for f in _keyword_fields()])
+    return hit if category is None else hit & (F.col("ai_category") == category)
+
+
 def keyword_search(df: DataFrame, query: str, category: str | None = None, limit: int = 20) -> DataFrame:
     """Any word in tags, description or file name; the category binds to all
     words."""
     words = [w for w in query.split(" ") if w]
     if not words:
         return df.limit(0)
-    fields = [F.array_join("ai_tags", ","), F.col("ai_description"), F.col("file_name")]
-    hit = reduce(lambda a, b: a | b, [F.coalesce(contains_ci(f, w), F.lit(False)) for w in words for f in fields])
-    if category is not None:
-        hit = hit & (F.col("ai_category") == category)
-    return page(df.filter(hit), newest_first(), limit)
+    return page(df.filter(_keyword_hit(words, category)), newest_first(), limit)
+
+
+def keyword_texts(df: DataFrame) -> DataFrame:
+    """``(id, text)``: what :func:`keyword_search` looks through, for :func:`substring_index.append_texts`."""
+    return df.select("id", F.concat_ws("\n", *_keyword_fields()).alias("text"))
+
+
+def indexed_keyword_search(df: DataFrame, path: str, query: str, category: str | None = None, limit: int = 20, trace: list[int] | None = None) -> DataFrame:
+    """:func:`keyword_search` by a stored substring index of :func:`keyword_texts`."""
+    words = [w for w in query.split(" ") if w]
+    if not words:
+        return df.limit(0)
+    return page(find_containing(df, path, words, _keyword_hit(words, category), trace=trace), newest_first(), limit)
 
 
 def facet_categories(df: DataFrame) -> DataFrame:

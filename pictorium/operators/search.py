@@ -17,6 +17,7 @@ from pictorium.functions.text import contains_ci, query_tokens, tokenize
 
 from .catalog import asset_predicate
 from .common import page, without_ids
+from .substring_index import find_containing
 
 WIDE = ["file_path", "file_name", "ai_description", "ai_category", "ai_confidence"]
 
@@ -116,10 +117,24 @@ def search_many(
     return placed.filter(F.col("rank") <= k).select("query_id", "id", "rank", "match_count", "relevance_score")
 
 
+def _told(query: str) -> Column:
+    entity = contains_ci(F.to_json("entities"), query)
+    return contains_ci(F.col("content"), query) | F.coalesce(entity, F.lit(False))
+
+
 def narrative_matches(narratives: DataFrame, query: str) -> DataFrame:
     """Narratives whose text or entities contain the raw query."""
-    entity = contains_ci(F.to_json("entities"), query)
-    return narratives.filter(contains_ci(F.col("content"), query) | F.coalesce(entity, F.lit(False)))
+    return narratives.filter(_told(query))
+
+
+def narrative_texts(narratives: DataFrame) -> DataFrame:
+    """``(id, text)``: what :func:`narrative_matches` looks through, for :func:`substring_index.append_texts`."""
+    return narratives.select("id", F.concat_ws("\n", "content", F.to_json("entities")).alias("text"))
+
+
+def indexed_narrative_matches(narratives: DataFrame, path: str, query: str, trace: list[int] | None = None) -> DataFrame:
+    """:func:`narrative_matches` by a stored substring index of :func:`narrative_texts`."""
+    return find_containing(narratives, path, [query], _told(query), trace=trace)
 
 
 def search_with_fallback(
