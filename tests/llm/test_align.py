@@ -89,7 +89,7 @@ HARD = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 7, "fan": 2}, {"chunk_bytes": 64, "fan": 3, "max_pairs": 0, "hot_rows": 1}])
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 40, "fan": 3}, {"chunk_bytes": 600, "fan": 3, "max_pairs": 0, "hot_rows": 1}])
 def test_equal_to_brute_force(spark, options):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in HARD], "doc_id long, text string, row int, part string").repartition(3)
     rows, pairs = align.align_tokenizers(docs, **options)
@@ -100,7 +100,7 @@ def test_equal_to_brute_force(spark, options):
 
 def test_documents(spark, data, documents):
     want = brute([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()])
-    for options in ({}, {"chunk_bytes": 500, "fan": 4, "max_pairs": 10}):
+    for options in ({}, {"chunk_bytes": 4000, "fan": 4, "max_pairs": 10}):
         rows, _ = align.align_tokenizers(documents, **options)
         assert sorted(map(tuple, rows.collect()), key=repr) == want
 
