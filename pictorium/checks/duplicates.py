@@ -352,8 +352,20 @@ def size_groups(spark, d):
     return D.size_groups(assets).unionByName(totals)
 
 
-@check("b7_dedup_report", grouped_sql("""
+REPORT = grouped_sql("""
     SELECT x.group_id, x.id, CAST(x.distance AS INTEGER) AS distance, s.size, round(s.similarity, 9) AS similarity
-    FROM distances x JOIN likeness s ON s.group_id = x.group_id"""))
+    FROM distances x JOIN likeness s ON s.group_id = x.group_id""")
+
+
+@check("b7_dedup_report", REPORT)
 def dedup_report(spark, d):
     return sinks.dedup_report(_scan(spark, d)).withColumn("similarity", F.round("similarity", 9))
+
+
+@check("b7_dedup_report_json", REPORT)
+def dedup_report_json(spark, d):
+    """The report as JSON files, read back."""
+    scan, path = _scan(spark, d), new_path(spark, "report")
+    sinks.dedup_report_json(scan, path)
+    rows = spark.read.schema("group_id long, id long, distance int, size long, similarity double").json(path)
+    return rows.withColumn("similarity", F.round("similarity", 9))

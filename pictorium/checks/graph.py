@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pictorium.operators import graph as J
 from pictorium.plans.scratch import materialize
+from pictorium.plans.scratch import new_path
 from pictorium.sources import adapters as A
 
 from .registry import check, view, with_views
@@ -127,13 +128,30 @@ def dedup_edges(spark, d):
     return J.dedup_edges(edges.unionByName(again)).drop("id")
 
 
-@check("j6_connected_components", parts_sql("SELECT id, component, dense_rank() OVER (ORDER BY component) - 1 AS community_id FROM parts"))
+PARTS = parts_sql("SELECT id, component, dense_rank() OVER (ORDER BY component) - 1 AS community_id FROM parts")
+
+
+@check("j6_connected_components", PARTS)
 def connected_components(spark, d):
     nodes, edges = _semantic(spark, d)
     parts = J.components(nodes, edges)
     return parts.join(J.number_components(parts), "id")
 
 
+@check("j6_components_after", PARTS)
+def components_after(spark, d):
+    """The same from the components of another edge set: edges to nodes with even numbers are taken away, half of the others come."""
+    nodes, edges = _semantic(spark, d)
+    odd = F.substr("target_id", F.lit(5)).cast("long") % 2 == 1
+    common = edges.filter(~odd | (F.xxhash64("id") % 2 == 0))
+    gone = edges.filter(~odd).select(F.col("target_id").alias("source_id"), F.concat(F.lit("img_"), F.col("weight").cast("string")).alias("target_id"))
+    before = common.select("source_id", "target_id").unionByName(gone)
+    parts = materialize(J.components(nodes, before), "parts")
+    added = edges.filter(odd & (F.xxhash64("id") % 2 != 0))
+    after = J.components_after(parts, nodes, edges, added, gone)
+    return after.join(J.number_components(after), "id")
+
+
 @check("j7_component_stats", parts_sql("""
     SELECT p.component, count(*) AS size, round(CASE WHEN count(*) > 1 THEN coalesce(any_value(e.n), 0) / (count(*) * (count(*) - 1) / 2.0) ELSE 0 END, 9) AS density,
       CASE WHEN max(d.degree) > 0 THEN arg_min(p.id, struct_pack(a := -d.degree, b := p.id)) END AS central_node_id, any_value(t.n_tags) AS n_tags
@@ -158,12 +176,15 @@ def degrees(spark, d):
     return J.degrees(g.nodes, g.edges)
 
 
-@check("j9_neighbours", with_views("nodes, links", """
+NEIGHBOURS = with_views("nodes, links", """
     (SELECT l.neighbour AS id, n.label, l.edge_type, round(l.weight, 6) AS weight, CAST(1 AS BIGINT) AS distance, 'all' AS part FROM links l JOIN nodes n ON n.id = l.neighbour
      WHERE l.node = 'img_7' ORDER BY l.weight DESC, l.neighbour, l.edge_type LIMIT 10)
     UNION ALL
     (SELECT l.neighbour, n.label, l.edge_type, round(l.weight, 6), 1, 'tags' FROM links l JOIN nodes n ON n.id = l.neighbour
-     WHERE l.node = 'tag_src8' AND l.edge_type = 'tag_overlap')"""))
+     WHERE l.node = 'tag_src8' AND l.edge_type = 'tag_overlap')""")
+
+
+@check("j9_neighbours", NEIGHBOURS)
 def neighbours(spark, d):
     g = _graph(spark, d)
     one = J.neighbours(g.nodes, g.edges, "img_7", None, 10).withColumn("part", F.lit("all"))
@@ -171,6 +192,17 @@ def neighbours(spark, d):
     return one.unionByName(two).select("id", "label", "edge_type", F.round("weight", 6).alias("weight"), "distance", "part")
 
 
+@check("j9_stored_neighbours", NEIGHBOURS)
+def stored_neighbours(spark, d):
+    """The same from a stored adjacency."""
+    g, path = _graph(spark, d), new_path(spark, "adjacency")
+    J.write_adjacency(g.edges, path)
+    stored = J.read_adjacency(spark, path)
+    one = J.stored_neighbours(g.nodes, stored, "img_7", None, 10).withColumn("part", F.lit("all"))
+    two = J.stored_neighbours(g.nodes, stored, "tag_src8", ["tag_overlap", "no such type"]).withColumn("part", F.lit("tags"))
+    return one.unionByName(two).select("id", "label", "edge_type", F.round("weight", 6).alias("weight"), "distance", "part")
+
+
 @check("j9_neighbours_many", with_views("links, nodes", """
     SELECT node, neighbour, edge_type, rank FROM (SELECT node, neighbour, edge_type, row_number() OVER (PARTITION BY node ORDER BY weight DESC, neighbour, edge_type) AS rank
       FROM links WHERE node IN (SELECT id FROM nodes)) WHERE rank <= 3"""))
@@ -184,28 +216,33 @@ def _path_sql(name, source, target):
     return f"""SELECT '{name}' AS route, (SELECT min(depth) FROM walk WHERE start = '{source}' AND node = '{target}') AS length"""
 
 
-# a chain of 70 hops over the orders' keys, with a branch at every tenth
-view("chain", """
-    SELECT 'n' || i AS source_id, 'n' || (i + 1) AS target_id, CAST(1 + i % 3 AS DOUBLE) AS weight FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i < 70""")
+# a tree of all orders below their customers, nations and regions: the only path between the first and the last order
+_TREE_PATH = """
+    WITH up AS (SELECT o_orderkey AS k, ['o' || o_orderkey, 'c' || c_custkey, 'n' || n_nationkey, 'r' || n_regionkey, 'root'] AS p,
+        [1 + o_orderkey % 3, 1 + c_custkey % 4, 1 + n_nationkey % 2, CAST(1 AS BIGINT)] AS w
+      FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+    ends AS (SELECT min(k) AS lo, max(k) AS hi FROM up),
+    both_ends AS (SELECT x.p AS px, y.p AS py, x.w AS wx, y.w AS wy, list_min(list_filter(range(1, 6), lambda i: x.p[i] = y.p[i])) AS m
+      FROM ends JOIN up x ON x.k = lo JOIN up y ON y.k = hi),
+    way AS (SELECT list_concat(px[1:m], list_reverse(py[1:m - 1])) AS p, list_concat(wx[1:m - 1], list_reverse(wy[1:m - 1])) AS w FROM both_ends)
+    SELECT i AS step, p[i] AS from_id, p[i + 1] AS to_id, CAST(w[i] AS DOUBLE) AS weight, CAST(list_sum(w[1:i]) AS DOUBLE) AS total_weight
+    FROM (SELECT p, w, unnest(range(1, len(p))) AS i FROM way)"""
 
 
-@check("j10_path_edges", with_views("chain", """
-    SELECT CAST(row_number() OVER (ORDER BY CAST(substr(source_id, 2) AS INTEGER)) AS BIGINT) AS step, source_id AS from_id, target_id AS to_id, weight,
-      sum(weight) OVER (ORDER BY CAST(substr(source_id, 2) AS INTEGER)) AS total_weight FROM chain"""))
+@check("j10_path_edges", _TREE_PATH)
 def path_edges(spark, d):
-    i = F.row_number().over(Window.orderBy("o_orderkey")) - 1
-    n = A.table(spark, d, "orders").select(i.alias("i")).filter("i <= 70")
-
-    def node(c):
-        return F.concat(F.lit("n"), c.cast("string"))
-
-    def edge(a, b, w):
-        return n.select(node(a).alias("source_id"), node(b).alias("target_id"), F.lit("semantic").alias("edge_type"), w.cast("double").alias("weight"))
-
-    chain = edge(F.col("i"), F.col("i") + 1, 1 + F.col("i") % 3)
-    branches = edge(F.col("i"), F.col("i") + 1000, F.lit(9)).filter(F.col("source_id").rlike("0$"))
-    edges = materialize(chain.unionByName(branches), "chain")
-    return J.path_edges(edges, J.shortest_path(edges, "n0", "n70"))
+    def edge(table, a, b, w):
+        ends = [F.concat(F.lit(p), c.cast("string")) for p, c in (a, b)]
+        return A.table(spark, d, table).select(ends[0].alias("source_id"), ends[1].alias("target_id"), F.lit("semantic").alias("edge_type"), w.cast("double").alias("weight"))
+
+    c = F.col
+    edges = edge("orders", ("o", c("o_orderkey")), ("c", c("o_custkey")), 1 + c("o_orderkey") % 3)
+    edges = edges.unionByName(edge("customer", ("c", c("c_custkey")), ("n", c("c_nationkey")), 1 + c("c_custkey") % 4))
+    edges = edges.unionByName(edge("nation", ("n", c("n_nationkey")), ("r", c("n_regionkey")), 1 + c("n_nationkey") % 2))
+    edges = edges.unionByName(edge("region", ("r", c("r_regionkey")), ("root", F.lit("")), F.lit(1)))
+    edges = materialize(edges, "tree")
+    first, last = A.table(spark, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).head()
+    return J.path_edges(edges, J.shortest_path(edges, f"o{first}", f"o{last}"))
 
 
 @check("j10_shortest_path", with_views("links", f"""WITH

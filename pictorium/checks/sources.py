@@ -109,16 +109,34 @@ def save_graph(spark, d):
     return sinks.save_graph(_graph(spark, d), new_path(spark, "graph"))
 
 
-@check("b5_save_calibration", with_views("reports", """
+CALIBRATION = with_views("reports", """
     SELECT 'report' AS part, CAST(id AS VARCHAR) AS key, total_samples FROM reports UNION ALL SELECT 'report', '99', 0
-    UNION ALL SELECT 'curve', predicted_category, CASE WHEN predicted_category = 'en' THEN 0 ELSE total_samples END FROM reports"""))
+    UNION ALL SELECT 'curve', predicted_category, CASE WHEN predicted_category = 'en' THEN 0 ELSE total_samples END FROM reports""")
+
+
+@check("b5_save_calibration", CALIBRATION)
 def save_calibration(spark, d):
     made = reports(spark, d)
     old = made.select("id", "total_samples")
     new = old.limit(1).select(F.lit(99).cast("long").alias("id"), F.lit(0).cast("long").alias("total_samples"))
     curves = made.select(F.col("predicted_category").alias("category"), "total_samples", F.lit("2024-01-01").alias("computed_at"))
     curve = curves.filter("category = 'en'").select("category", F.lit(0).cast("long").alias("total_samples"), F.lit("2024-06-01").alias("computed_at"))
-    all_reports, all_curves = sinks.save_calibration(old, new, curves, curve)
+    return _calibration(*sinks.save_calibration(old, new, curves, curve))
+
+
+@check("b5_store_calibration", CALIBRATION)
+def store_calibration(spark, d):
+    """The same written and read back."""
+    made, root = reports(spark, d), new_path(spark, "calibration")
+    old = made.select("id", "total_samples")
+    new = old.limit(1).select(F.lit(99).cast("long").alias("id"), F.lit(0).cast("long").alias("total_samples"))
+    curves = made.select(F.col("predicted_category").alias("category"), "total_samples", F.lit("2024-01-01").alias("computed_at"))
+    sinks.store_calibration(root, old, curves)
+    sinks.store_calibration(root, new, curves.filter("category = 'en'").select("category", F.lit(0).cast("long").alias("total_samples"), F.lit("2024-06-01").alias("computed_at")))
+    return _calibration(*sinks.stored_calibration(spark, root))
+
+
+def _calibration(all_reports, all_curves):
     one = all_reports.select(F.lit("report").alias("part"), F.col("id").cast("string").alias("key"), "total_samples")
     return one.unionByName(all_curves.select(F.lit("curve").alias("part"), F.col("category").alias("key"), "total_samples"))
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pictorium.functions import fixed_values as V
 from pictorium.functions.text import base_name, contains_ci
 from pictorium.functions.vectors import norm
-from pictorium.plans.components import connected_components
+from pictorium.plans.components import connected_components, update_components
 from pictorium.plans.ordering import number_all
 from pictorium.plans.paths import shortest_path as _shortest_path
 from pictorium.plans.scratch import Scratch, materialize
@@ -174,6 +174,13 @@ def components(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) ->
     return parts.select(F.col("node").alias("id"), "component")
 
 
+def components_after(parts: DataFrame, nodes: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """:func:`components` of the changed graph from the ``parts`` before the change; ``nodes`` and ``edges`` are those after it."""
+    known = parts.select(F.col("id").alias("node"), "component")
+    found = update_components(known, edges, added, removed, "source_id", "target_id", hot_rows).toDF("id", "component")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def number_components(parts: DataFrame) -> DataFrame:
     """``(id, community_id)``: components numbered 0, 1, … by smallest node."""
     roots = number_all(parts.select("component").distinct(), ["component"], "community_id", "roots")
@@ -203,6 +210,10 @@ def neighbours(nodes: DataFrame, edges: DataFrame, node_id: str, types: list[str
     """Direct neighbours with their edge, heaviest first.  Unknown type names
     count as custom."""
     near = both_ways(edges.filter((F.col("source_id") == node_id) | (F.col("target_id") == node_id))).filter(F.col("node") == node_id)
+    return _described(nodes, near, types, limit)
+
+
+def _described(nodes: DataFrame, near: DataFrame, types: list[str] | None, limit: int | None) -> DataFrame:
     if types is not None:
         near = near.filter(F.col("edge_type").isin([t if t in EDGE_TYPES else "custom" for t in types]))
     found = near.join(nodes.select(F.col("id").alias("neighbour"), "node_type", "label"), "neighbour")
@@ -211,6 +222,24 @@ def neighbours(nodes: DataFrame, edges: DataFrame, node_id: str, types: list[str
     return ordered if limit is None else ordered.limit(limit)
 
 
+def write_adjacency(edges: DataFrame, path: str) -> None:
+    """Stores the edges in both directions, sorted by node and falling weight, in small row groups: a node's edges are one run
+    (dictionary and run-length coded), a hub's run goes over several files, and a lookup by node skips all other files, row groups and pages."""
+    rows, _ = Scratch(edges.sparkSession, "adjacency").write(both_ways(edges).select("node", (-F.col("weight")).alias("falling"), "neighbour", "edge_type"))
+    order = ["node", "falling", "neighbour", "edge_type"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", str(4 << 20)).parquet(path)
+
+
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """``(node, neighbour, edge_type, weight)`` as stored."""
+    return spark.read.parquet(path).select("node", "neighbour", "edge_type", (-F.col("falling")).alias("weight"))
+
+
+def stored_neighbours(nodes: DataFrame, adjacency: DataFrame, node_id: str, types: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """:func:`neighbours` from a stored adjacency: the node reaches its scan."""
+    return _described(nodes, adjacency.filter(F.col("node") == node_id), types, limit)
+
+
 def neighbours_many(asked: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """Batch form: ``asked(node)``, each node once, to the k heaviest
     neighbours of each.  Both sides of the join are plain shuffles, so AQE
@@ -233,7 +262,7 @@ def path_edges(edges: DataFrame, path: DataFrame) -> DataFrame:
     """The heaviest edge of every hop of a path, with the running weight."""
     hops = path.select(F.col("step"), F.col("node").alias("to_id"), F.lag("node").over(Window.orderBy("step")).alias("from_id")).filter("step > 0")
     links = both_ways(edges).select(F.col("node").alias("from_id"), F.col("neighbour").alias("to_id"), "weight")
-    best = links.join(F.broadcast(hops), ["from_id", "to_id"]).groupBy("step", "from_id", "to_id").agg(F.max("weight").alias("weight"))
+    best = links.join(hops, ["from_id", "to_id"]).groupBy("step", "from_id", "to_id").agg(F.max("weight").alias("weight"))
     # a path has a row per step
     return best.withColumn("total_weight", F.sum("weight").over(Window.orderBy("step")))
 
@@ -289,7 +318,7 @@ class Graph:
     (components)."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, parts: DataFrame | None = None):
-        self.nodes, self.edges, self._parts = nodes, edges, parts
+        self.nodes, self.edges, self._parts, self._numbers = nodes, edges, parts, None
 
     @property
     def parts(self) -> DataFrame:
@@ -297,10 +326,16 @@ class Graph:
             self._parts = materialize(components(self.nodes, self.edges), "parts")
         return self._parts
 
+    @property
+    def numbers(self) -> DataFrame:
+        """The parts with dense numbers, worked out once."""
+        if self._numbers is None:
+            self._numbers = materialize(number_components(self.parts), "numbers")
+        return self._numbers
+
     def node_table(self) -> DataFrame:
         """Stored form of the nodes (properties as JSON)."""
-        numbers = number_components(self.parts)
-        keyed = self.nodes.join(degrees(self.nodes, self.edges), "id").join(numbers, "id")
+        keyed = self.nodes.join(degrees(self.nodes, self.edges), "id").join(self.numbers, "id")
         image = F.to_json(F.struct("description", "category", "tags"))
         tag = F.to_json(F.struct(F.col("tag_count").alias("count"), F.lit("auto").alias("tag_type")))
         return keyed.select(
@@ -311,11 +346,10 @@ class Graph:
         return self.edges.withColumn("properties", F.lit("{}"))
 
     def community_table(self) -> DataFrame:
-        numbers = number_components(self.parts)
-        return component_stats(self.nodes, self.edges, numbers, "community_id").withColumnRenamed("community_id", "id")
+        return component_stats(self.nodes, self.edges, self.numbers, "community_id").withColumnRenamed("community_id", "id")
 
     def community_tag_table(self) -> DataFrame:
-        return component_tags(self.nodes, number_components(self.parts), "community_id")
+        return component_tags(self.nodes, self.numbers, "community_id")
 
 
 def build_graph(assets: DataFrame, vectors: DataFrame | None = None, threshold: float = V.SEMANTIC_FROM) -> Graph:

@@ -72,3 +72,31 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         return joined.select("node", F.coalesce("component", "node").alias("component"))
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return members.unionByName(roots)
+
+
+def update_components(
+    labels: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, src: str = "src", dst: str = "dst", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``(node, component)`` after a change of the edges, from the stored ``labels`` before it.
+
+    ``edges`` are all edges after the change, ``added`` and ``removed`` the difference.  Only components that lost an edge are
+    walked anew, over their own edges.  Added edges are then drawn between labels: that graph has at most as many edges as were added,
+    and its components say which labels become one.  Everything else keeps its stored label, so the work follows the change: one scan of the
+    edges (to find those of the walked components) and one of the labels.  Nodes of added edges that have no label yet are new."""
+    scratch = Scratch(labels.sparkSession, "components")
+    ends = removed.select(F.col(src).alias("node")).unionByName(removed.select(F.col(dst).alias("node"))).distinct()
+    lost, seen = scratch.write(labels.join(ends, "node", "left_semi").select("component").distinct(), n=F.count(F.lit(1)))
+    if seen["n"]:
+        walked, _ = scratch.write(labels.join(lost, "component", "left_semi").select("node"))
+        inside = edges.join(walked.withColumnRenamed("node", src), src, "left_semi").join(walked.withColumnRenamed("node", dst), dst, "left_semi")
+        again = connected_components(inside, walked, src, dst, hot_rows)
+        labels, _ = scratch.write(labels.join(lost, "component", "left_anti").select("node", "component").unionByName(again))
+    new = added.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+    touched = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct()
+    known, _ = scratch.write(touched.join(labels.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    drawn = new.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("x", "y")
+    merged, _ = scratch.write(connected_components(drawn, None, "x", "y", hot_rows).toDF("component", "label"))
+    fresh = known.join(labels.select("node"), "node", "left_anti")
+    rows = labels.select("node", "component").unionByName(fresh)
+    # merged has one row per label that an added edge touches
+    return rows.join(merged, "component", "left").select("node", F.coalesce("label", "component").alias("component"))

@@ -1,21 +1,61 @@
-"""Level-synchronous breadth-first search over an edge table."""
+"""Two-sided, level-synchronous breadth-first search over an edge table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+class Level(NamedTuple):
+    """One grown level: its side, its depth there, and its number of nodes."""
+
+    side: str
+    depth: int
+    nodes: int
+
+
+class _Side:
+    """The levels grown from one end; each is a stored table ``(node, parent)``."""
+
+    def __init__(self, spark: SparkSession, name: str, start: str):
+        self.name, self.size = name, 1
+        self.levels = [spark.createDataFrame([(start, None)], "node string, parent string")]
+
+    @property
+    def depth(self) -> int:
+        return len(self.levels) - 1
+
+    def grow(self, both: DataFrame, scratch: Scratch) -> None:
+        """The next level.  Neighbours of a level lie in it, in the one before or in the next, so nothing older is looked at.  Of several
+        parents the smallest is kept."""
+        near = self.levels[-1].select("node")
+        known = near if len(self.levels) == 1 else near.unionByName(self.levels[-2].select("node"))
+        step = both.join(near.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        fresh, seen = scratch.write(step.join(known, "node", "left_anti"), n=F.count(F.lit(1)))
+        self.levels.append(fresh)
+        self.size = seen["n"]
+
+    def way(self, node: str) -> list[str]:
+        """From a node of the last level back to the start."""
+        path = [node]
+        for level in reversed(self.levels[1:]):
+            path.append(level.filter(F.col("node") == path[-1]).head()["parent"])
+        return path
+
+
+def shortest_path(
+    edges: DataFrame, source: str, target: str, max_depth: int | None = None, src: str = "src", dst: str = "dst", trace: list[Level] | None = None
+) -> DataFrame:
     """``(step, node)`` from source (step 0) to target over undirected edges;
     no rows when unreachable (within ``max_depth`` steps, if one is given).
 
-    Every level is one join of the frontier with the edges and one anti join
-    with the frontier and the level before it: neighbours of a level
-    lie nowhere else, so a long search costs no more per level.  Of several parents the smallest is kept.  Only
-    the path itself, one node per level, passes through the driver.
+    Both ends grow towards each other, each time the one whose last level has fewer nodes.  While the two balls are apart, the first node
+    they share lies in the last level of both, so a level is joined with the edges, with the level before it and with the other end's last
+    level, and with nothing older.  Of several meeting nodes the smallest is taken.  Only the path itself passes through the driver.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "path")
@@ -25,24 +65,17 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | N
         return known.select(F.lit(0).cast("long").alias("step"), F.lit(source).alias("node"))
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     both, _ = scratch.write(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    frontier = spark.createDataFrame([(source, None)], "node string, parent string")
-    levels = [frontier]
-    before = frontier
-    while max_depth is None or len(levels) <= max_depth:
-        step = both.join(frontier.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node"))
-        fresh = step.agg(F.min("a").alias("parent")).join(before.select("node"), "node", "left_anti")
-        frontier, seen = scratch.write(fresh, n=F.count(F.lit(1)), hit=F.max(F.col("node") == target))
-        if not seen["n"]:
+    ends = (_Side(spark, "source", source), _Side(spark, "target", target))
+    while max_depth is None or ends[0].depth + ends[1].depth < max_depth:
+        side = min(ends, key=lambda e: e.size)
+        other = ends[1] if side is ends[0] else ends[0]
+        side.grow(both, scratch)
+        if trace is not None:
+            trace.append(Level(side.name, side.depth, side.size))
+        if not side.size:
             return spark.createDataFrame([], schema)
-        levels.append(frontier)
-        before = levels[-2].unionByName(frontier)
-        if seen["hit"]:
-            break
-    else:
-        return spark.createDataFrame([], schema)
-    path, node = [], target
-    for depth in range(len(levels) - 1, -1, -1):
-        path.append((depth, node))
-        if depth:
-            node = levels[depth].filter(F.col("node") == node).head()["parent"]
-    return spark.createDataFrame(path[::-1], schema)
+        met = side.levels[-1].join(other.levels[-1].select("node"), "node", "left_semi").agg(F.min("node")).head()[0]
+        if met is not None:
+            path = ends[0].way(met)[::-1] + ends[1].way(met)[1:]
+            return spark.createDataFrame(list(enumerate(path)), schema)
+    return spark.createDataFrame([], schema)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pictorium import schemas
 from pictorium.functions.text import base_name, csv_escape
@@ -101,6 +102,22 @@ def save_calibration(reports: DataFrame, new_report: DataFrame, curves: DataFram
     return reports.unionByName(new_report), upsert_latest(curves, new_curve, ["category"], "computed_at")
 
 
+def store_calibration(root: str, new_report: DataFrame, new_curve: DataFrame) -> None:
+    """Writes a calibration below ``root``: the report is appended, the curve replaces those of its categories, whose folders alone
+    are written."""
+    root = root.rstrip("/")
+    new_report.write.mode("append").parquet(f"{root}/reports")
+    replace = new_curve.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    replace.partitionBy("category").parquet(f"{root}/curves")
+
+
+def stored_calibration(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Reports and curves as stored.  A category is text whatever it looks like."""
+    curves = spark.read.option("basePath", f"{root}/curves")
+    kinds = T.StructType([f if f.name != "category" else T.StructField("category", T.StringType()) for f in curves.parquet(f"{root}/curves").schema])
+    return spark.read.parquet(f"{root}/reports"), curves.schema(kinds).parquet(f"{root}/curves")
+
+
 def export_log(lines: DataFrame, path: str, level: str | None = None) -> DataFrame:
     """Matching lines as text; returns their count."""
     filter_log(lines, level).select("line").write.mode("overwrite").text(path)
