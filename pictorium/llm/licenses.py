@@ -3,14 +3,15 @@
 DataFrame operations only; one scan for the token frequencies and one for the result.
 
 *Phrases.*  A document is looked at word by word only if the phrase occurs in it
-at all (one regular expression).  *Templates.*  A block (a line of the document) matches a
-template when it holds at least ``threshold`` of the template's distinct words. The
-join follows the usual filters of exact set-similarity joins:
+at all (one regular expression).  *Templates.*  A block matches a
+template when it holds at least ``threshold`` of the template's distinct words.  Blocks are the lines of a document and, for notices that are
+wrapped over lines, windows of ``WINDOW`` words at every ``STRIDE`` words: any run of ``WINDOW - STRIDE + 1`` words lies in one of them, and
+templates are shorter.  The join follows the usual filters of exact set-similarity joins:
 
 * template words are ranked by their document frequency over the whole corpus, rarest first;
 * prefix filter: a match needs ``need = ceil(threshold * |T|)`` common words, so it shares one of
-  the ``|T| - need + 1`` rarest words of the template; only those are posted, and a line without any is never split into words;
-* length filter: the line holds at least ``need`` words that any template uses;
+  the ``|T| - need + 1`` rarest words of the template; only those are posted, and a block without any is never split into words;
+* length filter: the block holds at least ``need`` words that any template uses;
 * positional filter: with the common word at ranks i and j, no more than
   ``min(i, j) + 1 + min(|T| - i - 1, |B| - j - 1)`` words can be common;
 * what is left is verified by intersection.
@@ -49,6 +50,8 @@ TEMPLATES = {
     "terms-reserved": "copyright all rights reserved no part may be reproduced without permission",
 }
 THRESHOLD = 0.9
+#: Words of a window and between the starts of two.
+WINDOW, STRIDE = 64, 32
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, before A-Z are lower-cased.
@@ -89,6 +92,17 @@ def phrase_places(text: Column, phrases=PHRASES) -> Column:
     return F.when(text.rlike(f"(?i)(?:{any_phrase})"), F.concat(*[starts(p, label) for p, label in phrases])).otherwise(none)
 
 
+def word_windows(low: Column) -> Column:
+    """Windows of words as texts; the words are split once."""
+    words = F.filter(F.split(low, BREAK), lambda w: w != "")
+
+    def cut(ws):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(STRIDE))
+        return F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, WINDOW), " "))
+
+    return F.get(F.transform(F.array(words), cut), F.lit(0))
+
+
 def template_ranks(docs: DataFrame, templates: dict[str, str]) -> dict[str, int]:
     """Rank of every template word, rarest in the corpus first (ties by the word)."""
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
@@ -124,7 +138,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
 
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
-    lines = F.when(has_prefix(low), F.filter(F.split(low, r"\n"), has_prefix)).otherwise(F.array().cast("array<string>"))
+    blocks = F.concat(F.split(low, r"\n"), word_windows(low))
+    lines = F.when(has_prefix(low), F.filter(blocks, has_prefix)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
@@ -163,7 +178,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> str:
-    """Plain SQL for :func:`scan_licenses`: every line against every template."""
+    """Plain SQL for :func:`scan_licenses`: every line and window against every template."""
     def quoted(values):
         return ", ".join("'" + v + "'" for v in values)
 
@@ -188,8 +203,9 @@ def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD,
     return rf"""
     WITH split AS (
       SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
-        string_split(lower(coalesce(text, '')), chr(10)) AS lines FROM documents),
-    placed AS (SELECT doc_id, len(w) AS n_words, {places} AS places, {similar} FROM split),
+        string_split(lower(coalesce(text, '')), chr(10)) AS own, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{BREAK}'), lambda x: x <> '') AS v FROM documents),
+    blocks AS (SELECT doc_id, w, list_concat(own, list_transform(range(0, greatest(len(v), 1), {STRIDE}), lambda i: array_to_string(v[i + 1:i + {WINDOW}], ' '))) AS lines FROM split),
+    placed AS (SELECT doc_id, len(w) AS n_words, {places} AS places, {similar} FROM blocks),
     named AS (SELECT *, list_distinct(list_transform(places, lambda p: p.label)) AS base,
       list_filter([{labels}], lambda x: x IS NOT NULL) AS more, list_transform(places, lambda p: p.start) AS starts FROM placed)
     SELECT doc_id, n_words, len(places) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word,

@@ -13,7 +13,7 @@ and never compared as all changes with all captures.  Intervals are a written ta
 plain scan, so AQE can split what is still skewed.
 
 The most specific active pattern decides; at equal specificity ``allow`` beats
-``block``; then the smaller list name.  Changes at one instant: the entry is active afterwards if any of
+``block``; then the larger list name.  Changes at one instant: the entry is active afterwards if any of
 them is an addition.  A null URL or fetch time has no active entries.  Rows repeat as they are;
 empty lists give verdict ``none``.
 """

@@ -130,3 +130,33 @@ def test_urls_at_fetch_time(spark):
     ]
     assert {r["verdict"] for r in urls.judge_captures(captures, changes.limit(0)).collect()} == {"none"}
     assert urls.judge_captures(captures.limit(0), changes).count() == 0
+
+
+@pytest.mark.parametrize("width", [40, 72, 10_000])
+def test_wrapped_notices_are_found(spark, width):
+    """Every template, in mixed case between other words and wrapped at some column, also at the borders of windows."""
+    import textwrap
+
+    rows = []
+    for shift in (0, 3, 40, 61, 127):
+        for k, text in licenses.TEMPLATES.items():
+            words = [f"filler{i}" for i in range(shift)] + text.upper().split() + ["and", "more", "follows"] * 12
+            rows.append((len(rows), "\n".join(textwrap.wrap(" ".join(words), width)), k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(docs).collect()}
+    assert all(label in got[i] for i, _, label in rows)
+    scattered = " ".join(w + " x" * 40 for w in licenses.TEMPLATES["terms-mit"].split())
+    none = spark.createDataFrame([(1, "\n".join(scattered.split()))], "doc_id long, text string")
+    assert licenses.scan_licenses(none).head()["labels"] == ""
+
+
+def test_two_lists_on_one_pattern(spark):
+    """At equal specificity allow wins, then the larger list name, as the docstring says."""
+    from datetime import datetime
+
+    at = datetime(2024, 3, 1)
+    captures = spark.createDataFrame([(1, "http://a.example.com/x", at), (2, "http://b.example.org/x", at)], "page_id long, url string, fetched_at timestamp")
+    changes = [(name, "a.example.com", at, "add") for name in ("aaa", "bbb")] + [(name, "b.example.org", at, "add") for name in ("allow", "zzz")]
+    frame = spark.createDataFrame(changes, "list string, pattern string, changed_at timestamp, action string")
+    got = {r["page_id"]: (r["list"], r["verdict"]) for r in urls.judge_captures(captures, frame).collect()}
+    assert got == {1: ("bbb", "block"), 2: ("allow", "allow")}
