@@ -6,6 +6,8 @@ class c and member s has the id ``c * members + s``."""
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 WINDOW = 32
@@ -53,35 +55,78 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def lay_out(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents one after another in at most ``lanes`` lanes of nearly equal length: ids and
+    document numbers (-1 where a lane has ended), both (time, lane), longest lane first.
+
+    A lane is as long as the longest document at least, so few documents take few lanes."""
+    sizes = [len(d) for d in documents]
+    longest = max(sizes, default=0)
+    lanes = max(1, min(lanes, -(-sum(sizes) // max(longest, 1))))
+    heap, own = [(0, lane) for lane in range(lanes)], [[] for _ in range(lanes)]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        filled, lane = heap[0]
+        own[lane].append(i)
+        heapq.heapreplace(heap, (filled + sizes[i], lane))
+    lengths = {lane: filled for filled, lane in heap}
+    order = sorted(range(lanes), key=lambda lane: -lengths[lane])
+    ids = np.zeros((lanes, max(lengths.values())), np.int32)
+    owner = np.full(ids.shape, -1, np.int32)
+    for k, lane in enumerate(order):
+        if own[lane]:
+            n = lengths[lane]
+            ids[k, :n] = np.concatenate([documents[i] for i in own[lane]])
+            owner[k, :n] = np.repeat(own[lane], [sizes[i] for i in own[lane]])
+    return np.ascontiguousarray(ids.T), np.ascontiguousarray(owner.T)
+
+
+def first_tokens(owner: np.ndarray) -> np.ndarray:
+    """Where a document begins in its lane."""
+    begins = np.ones(owner.shape, bool)
+    begins[1:] = owner[1:] != owner[:-1]
+    return begins
+
+
 class Gru:
     def __init__(self, parameters: dict[str, np.ndarray]):
         self.p = parameters
         self.state = parameters["w_state"].shape[0]
         self.classes, self.members, _ = parameters["w_member"].shape
-        # states lie in [-1, 1], so logits have a bound; below it exp needs no shift
-        bound = [np.abs(parameters[f"w_{k}"]).sum(-1) + np.abs(parameters[f"b_{k}"]) for k in ("class", "member")]
-        self.tame = max(b.max() for b in bound) < 60
+        self.tame = self.is_tame()
+
+    def is_tame(self) -> bool:
+        """States lie in [-1, 1], so logits have a bound; below it exp needs no shift."""
+        bound = [np.abs(self.p[f"w_{k}"]).sum(-1) + np.abs(self.p[f"b_{k}"]) for k in ("class", "member")]
+        return bool(max(b.max() for b in bound) < 60)
 
     def _inputs(self, ids: np.ndarray) -> np.ndarray:
         return self.p["embed"][ids] @ self.p["w_in"] + self.p["b_in"]
 
-    def steps(self, ids: np.ndarray, h: np.ndarray, keep: bool = False, table: np.ndarray | None = None):
+    def steps(self, ids: np.ndarray, h: np.ndarray, keep: bool = False, table: np.ndarray | None = None, begins: np.ndarray | None = None):
         """Runs ``ids`` (time, lanes) from state ``h``: the states before every token, the last
-        state, and with ``keep`` what the backward pass needs."""
+        state, and with ``keep`` what the backward pass needs.  Where a document ``begins`` the state is zero."""
         d = self.state
         x = table[ids] if table is not None else self._inputs(ids)
-        before = np.empty((*ids.shape, d), np.float32)
-        cache = []
+        before = np.empty((*ids.shape, d), x.dtype)
+        cache = (np.empty((*ids.shape, 2 * d), x.dtype), np.empty_like(before), np.empty_like(before)) if keep else None
+        fresh = begins.any(1) if begins is not None else np.zeros(len(ids), bool)
         w = self.p["w_state"]
         for t in range(len(ids)):
+            if fresh[t]:
+                h = np.where(begins[t][:, None], x.dtype.type(0), h)
             before[t] = h
             a = h @ w
-            gates = _sigmoid(x[t][:, : 2 * d] + a[:, : 2 * d])
-            z, r = gates[:, :d], gates[:, d:]
-            n = np.tanh(x[t][:, 2 * d :] + r * a[:, 2 * d :])
+            gates = np.add(x[t][:, : 2 * d], a[:, : 2 * d], out=cache[0][t] if keep else None)
+            _sigmoid(gates)
+            n = gates[:, d:] * a[:, 2 * d :]
+            n += x[t][:, 2 * d :]
+            np.tanh(n, out=n)
             if keep:
-                cache.append((z, r, n, a[:, 2 * d :]))
-            h = n + z * (h - n)
+                cache[1][t] = n
+                cache[2][t] = a[:, 2 * d :]
+            h = h - n
+            h *= gates[:, :d]
+            h += n
         return before, h, cache
 
     def input_table(self) -> np.ndarray:
@@ -90,43 +135,42 @@ class Gru:
 
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray, chunk: int = 8192) -> np.ndarray:
         """Natural logarithm of P(id | h) for rows of states and ids."""
-        p, cls, member = self.p, ids // self.members, ids % self.members
-        out = np.empty(len(ids))
+        p = self.p
+        order = _sorted(ids, self.classes * self.members)
+        h, ids = h[order], ids[order]
+        cls, member = ids // self.members, ids % self.members
+        part = np.empty(len(ids))
         for at in range(0, len(ids), chunk):
             here = slice(at, at + chunk)
             logits = h[here] @ p["w_class"].T
             logits += p["b_class"]
             picked = logits[np.arange(len(logits)), cls[here]]
-            out[here] = picked - _log_sum(logits, self.tame)
-        for c, rows in _by_class(cls):
-            inner = h[rows] @ p["w_member"][c].T
+            part[here] = picked - _log_sum(logits, self.tame)
+        for c, a, b in _runs(cls):
+            inner = h[a:b] @ p["w_member"][c].T
             inner += p["b_member"][c]
-            picked = inner[np.arange(len(rows)), member[rows]]
-            out[rows] += picked - _log_sum(inner, self.tame)
+            picked = inner[np.arange(b - a), member[a:b]]
+            part[a:b] += picked - _log_sum(inner, self.tame)
+        out = np.empty(len(ids))
+        out[order] = part
         return out
 
-    def score(self, documents: list[np.ndarray], window: int = 128) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], window: int = 128, lanes: int = 256) -> np.ndarray:
         """Log-likelihood of whole documents: the state is carried from window to
-        window; longer documents go on alone when shorter ones have ended."""
+        window; in a lane the next document begins with a fresh one."""
         total = np.zeros(len(documents))
-        order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-        sizes = np.array([len(documents[i]) for i in order])
-        h = np.zeros((len(documents), self.state), np.float32)
+        ids, owner = lay_out(documents, lanes)
+        begins, sizes = first_tokens(owner), (owner >= 0).sum(0)
+        h = np.zeros((ids.shape[1], self.state), np.float32)
         table = self.input_table()
-        at = 0
-        while len(sizes) and at < sizes[0]:
-            lanes = int(np.searchsorted(-sizes, -at, side="left"))  # documents longer than ``at``
-            n = min(window, int(sizes[0]) - at)
-            ids = np.zeros((n, lanes), np.int32)
-            for k in range(lanes):
-                part = documents[order[k]][at : at + n]
-                ids[: len(part), k] = part
-            before, h, _ = self.steps(ids, h[:lanes], table=table)
-            live = (np.arange(at, at + n)[:, None] < sizes[None, :lanes]).ravel()
-            logs = np.zeros(n * lanes)
-            logs[live] = self.log_probabilities(before.reshape(-1, self.state)[live], ids.ravel()[live])
-            total[order[:lanes]] += logs.reshape(n, lanes).sum(0)
-            at += n
+        for at in range(0, len(ids), window):
+            live = int((sizes > at).sum())
+            here = (slice(at, at + window), slice(0, live))
+            before, h, _ = self.steps(ids[here], h[:live], table=table, begins=begins[here])
+            own = owner[here].ravel()
+            rows = np.flatnonzero(own >= 0)
+            logs = self.log_probabilities(before.reshape(-1, self.state)[rows], ids[here].ravel()[rows])
+            total += np.bincount(own[rows], weights=logs, minlength=len(total))
         return total
 
 
@@ -145,53 +189,56 @@ class Trainer:
 
     def train(self, documents: list[np.ndarray], stride: int, phase: int, lanes: int = 128, window: int = WINDOW) -> None:
         """Carries the state through whole documents, and learns from every
-        ``stride``-th window (gradients end at its borders)."""
-        documents = sorted(documents, key=len, reverse=True)
-        for g in range(0, len(documents), lanes):
-            group = documents[g : g + lanes]
-            sizes = np.array([len(x) for x in group])
-            h = np.zeros((len(group), self.net.state), np.float32)
-            for k, at in enumerate(range(0, int(sizes[0]), window)):
-                live = int((sizes > at).sum())
-                n = min(window, int(sizes[0]) - at)
-                ids = np.zeros((n, live), np.int32)
-                for j in range(live):
-                    part = group[j][at : at + n]
-                    ids[: len(part), j] = part
-                h = h[:live]
-                if (k + g // lanes + phase) % stride:
-                    _, h, _ = self.net.steps(ids, h)
-                else:
-                    mask = np.arange(at, at + n)[:, None] < sizes[None, :live]
-                    h = self._learn(ids, mask, h)
-
-    def _learn(self, ids: np.ndarray, mask: np.ndarray, h: np.ndarray) -> np.ndarray:
+        ``stride``-th window (gradients end at its borders and where a document begins)."""
+        ids, owner = lay_out(documents, lanes)
+        begins, sizes = first_tokens(owner), (owner >= 0).sum(0)
+        h = np.zeros((ids.shape[1], self.net.state), np.float32)
+        for k, at in enumerate(range(0, len(ids), window)):
+            live = int((sizes > at).sum())
+            here = (slice(at, at + window), slice(0, live))
+            if (k + phase) % stride:
+                _, h, _ = self.net.steps(ids[here], h[:live], begins=begins[here])
+            else:
+                h = self._learn(ids[here], owner[here] >= 0, h[:live], begins[here])
+
+    def _learn(self, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
         net, p, d = self.net, self.net.p, self.net.state
-        before, last, cache = net.steps(ids, h, keep=True)
+        before, last, (gates, n, a) = net.steps(ids, h, keep=True, begins=begins)
         rows = np.flatnonzero(mask.ravel())
         self.tokens += len(rows)
-        d_before = np.zeros((ids.size, d), np.float32)
+        net.tame = net.is_tame()
+        d_before = np.zeros((ids.size, d), before.dtype)
         d_before[rows] = self._output(before.reshape(-1, d)[rows], ids.ravel()[rows], 1.0 / len(rows))
         d_before = d_before.reshape(*ids.shape, d)
-        g_state = np.zeros_like(p["w_state"])
-        dx = np.empty((*ids.shape, 3 * d), np.float32)
-        dh = np.zeros_like(h)
+        # what the gradient of a state is multiplied by, for all steps at once
+        z, r = gates[..., :d], gates[..., d:]
+        by_n = (1 - z) * (1 - n * n)
+        by_z = (before - n) * z * (1 - z)
+        by_r = a * r * (1 - r)
+        dx = np.empty((*ids.shape, 3 * d), before.dtype)
+        da = np.empty_like(dx)
+        dh = np.zeros_like(before[0])
+        back = np.ascontiguousarray(p["w_state"].T)
+        fresh = begins.any(1) if begins is not None else np.zeros(len(ids), bool)
         for t in range(len(ids) - 1, -1, -1):
-            z, r, n, a = cache[t]
-            prev = before[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (prev - n) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            da = np.concatenate([dz, dr, dn * r], 1)
-            g_state += prev.T @ da
-            dh = dh * z + da @ p["w_state"].T + d_before[t]
+            x, g = dx[t], da[t]
+            dn = np.multiply(dh, by_n[t], out=x[:, 2 * d :])
+            np.multiply(dh, by_z[t], out=x[:, :d])
+            np.multiply(dn, by_r[t], out=x[:, d : 2 * d])
+            g[:, : 2 * d] = x[:, : 2 * d]
+            np.multiply(dn, r[t], out=g[:, 2 * d :])
+            dh *= z[t]
+            dh += g @ back
+            dh += d_before[t]
+            if fresh[t]:
+                dh[begins[t]] = 0
         flat_ids, flat_dx = ids.ravel(), dx.reshape(-1, 3 * d)
+        g_state = before.reshape(-1, d).T @ da.reshape(-1, 3 * d)
         d_embed = flat_dx @ p["w_in"].T
         g_in = p["embed"][flat_ids].T @ flat_dx
-        order = np.argsort(flat_ids, kind="stable")
-        touched, first = np.unique(flat_ids[order], return_index=True)
-        self._step("embed", np.add.reduceat(d_embed[order], first, axis=0), touched)
+        slots = (flat_ids[:, None].astype(np.intp) * d_embed.shape[1] + np.arange(d_embed.shape[1])).ravel()
+        sums = np.bincount(slots, weights=d_embed.ravel(), minlength=p["embed"].size)
+        self._step("embed", sums.reshape(p["embed"].shape).astype(d_embed.dtype))
         self._step("w_in", g_in)
         self._step("b_in", flat_dx.sum(0))
         self._step("w_state", g_state)
@@ -199,19 +246,26 @@ class Trainer:
 
     def _output(self, h: np.ndarray, ids: np.ndarray, scale: float) -> np.ndarray:
         """Gradient of the mean loss with respect to the states; steps the output weights."""
-        p, m = self.net.p, self.net.members
+        p, m, tame = self.net.p, self.net.members, self.net.tame
+        order = _sorted(ids, self.net.classes * m)  # by class, and in it by member
+        h, ids = h[order], ids[order]
         cls, member = ids // m, ids % m
-        g = _soft_error(h @ p["w_class"].T + p["b_class"], cls) * scale
+        g = _soft_error(h @ p["w_class"].T + p["b_class"], cls, scale, tame)
         dh = g @ p["w_class"]
+        g_member, g_bias = np.zeros_like(p["w_member"]), np.zeros_like(p["b_member"])
         self._step("w_class", g.T @ h)
         self._step("b_class", g.sum(0))
-        for c, rows in _by_class(cls):
-            own = h[rows]
-            g = _soft_error(own @ p["w_member"][c].T + p["b_member"][c], member[rows]) * scale
-            dh[rows] += g @ p["w_member"][c]
-            self._step("w_member", g.T @ own, c)
-            self._step("b_member", g.sum(0), c)
-        return dh
+        for c, a, b in _runs(cls):
+            own = h[a:b]
+            g = _soft_error(own @ p["w_member"][c].T + p["b_member"][c], member[a:b], scale, tame)
+            dh[a:b] += g @ p["w_member"][c]
+            g_member[c] = g.T @ own
+            g_bias[c] = g.sum(0)
+        self._step("w_member", g_member)
+        self._step("b_member", g_bias)
+        out = np.empty_like(dh)
+        out[order] = dh
+        return out
 
 
 def _log_sum(x: np.ndarray, tame: bool) -> np.ndarray:
@@ -223,16 +277,22 @@ def _log_sum(x: np.ndarray, tame: bool) -> np.ndarray:
     return total if top is None else total + top
 
 
-def _soft_error(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Softmax minus the one-hot target, in place."""
-    logits -= logits.max(1, keepdims=True)
+def _soft_error(logits: np.ndarray, target: np.ndarray, scale: float, tame: bool) -> np.ndarray:
+    """Softmax minus the one-hot target, times ``scale``; in place."""
+    if not tame:
+        logits -= logits.max(1, keepdims=True)
     e = np.exp(logits, out=logits)
-    e /= (e @ np.ones(e.shape[1], e.dtype))[:, None]
-    e[np.arange(len(target)), target] -= 1
+    e *= (scale / (e @ np.ones(e.shape[1], e.dtype)))[:, None]
+    e[np.arange(len(target)), target] -= scale
     return e
 
 
-def _by_class(cls: np.ndarray):
-    order = np.argsort(cls, kind="stable")
-    values, first = np.unique(cls[order], return_index=True)
-    return zip(values.tolist(), np.split(order, first[1:]))
+def _sorted(ids: np.ndarray, below: int) -> np.ndarray:
+    """Order of the ids; 16-bit numbers are sorted in linear time."""
+    return np.argsort(ids.astype(np.int16) if below <= 32768 else ids, kind="stable")
+
+
+def _runs(values: np.ndarray):
+    """(value, first, past last) of every run of sorted values."""
+    first = np.flatnonzero(np.diff(values, prepend=-1))
+    return zip(values[first].tolist(), first.tolist(), [*first[1:].tolist(), len(values)])

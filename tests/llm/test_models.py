@@ -241,3 +241,58 @@ def test_training_learns_from_every_token():
         trainer = gru.Trainer(gru.start_parameters(np.ones(12), 3, 4, 5, 4), lm.RATE)
         trainer.train(docs, lm.STRIDE, batch)
         assert trainer.tokens == sum(map(len, docs))
+
+
+def test_lanes_hold_every_document_once():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 50, n) for n in [900, 1, 2, 40, 40, 7, 300, 0, 5] + [3] * 100]
+    for lanes in (1, 4, 64):
+        ids, owner = gru.lay_out(docs, lanes)
+        assert ids.shape[1] <= lanes
+        for i, d in enumerate(docs):
+            at, lane = np.nonzero(owner == i)
+            assert len(set(lane)) <= 1 and (np.diff(at) == 1).all()
+            assert ids[at, lane].tolist() == d.tolist()
+    assert gru.lay_out([], 8)[0].shape[0] == 0
+
+
+def test_gradients_end_where_a_document_begins():
+    """Two documents in one lane give the gradients of two lanes."""
+    rng = np.random.default_rng(1)
+    p = {k: (v + 0.3 * rng.normal(size=v.shape)).astype(np.float64) for k, v in gru.start_parameters(np.ones(12), 3, 4, 5, 4).items()}
+
+    def gradients(ids, begins):
+        trainer, got = gru.Trainer(p), {}
+        trainer._step = lambda name, g, at=slice(None): got.__setitem__(name, np.array(g))
+        trainer._learn(ids, np.ones(ids.shape, bool), np.zeros((ids.shape[1], 5)), begins)
+        return got
+
+    docs = rng.integers(0, 12, (2, 6))
+    apart = gradients(docs.T, np.arange(6)[:, None] == np.zeros((6, 2)))
+    joined = gradients(docs.reshape(-1, 1), (np.arange(12) % 6 == 0)[:, None])
+    for k in p:
+        assert np.allclose(apart[k], joined[k], atol=1e-12), k
+
+
+def test_scores_equal_a_scalar_walk():
+    """One document, one token at a time, gates and softmax written out."""
+    rng = np.random.default_rng(5)
+    p = {k: (v + 0.3 * rng.normal(size=v.shape)).astype(np.float32) for k, v in gru.start_parameters(np.arange(12), 3, 4, 5, 4).items()}
+    q = {k: v.astype(float) for k, v in p.items()}
+
+    def walk(doc):
+        h, total = [0.0] * 5, 0.0
+        for w in doc:
+            c, m = divmod(int(w), 4)
+            by_class = [math.exp(sum(x * y for x, y in zip(h, q["w_class"][i])) + q["b_class"][i]) for i in range(3)]
+            by_member = [math.exp(sum(x * y for x, y in zip(h, q["w_member"][c][i])) + q["b_member"][c][i]) for i in range(4)]
+            total += math.log(by_class[c] / sum(by_class)) + math.log(by_member[m] / sum(by_member))
+            x = [sum(q["embed"][w][i] * q["w_in"][i][j] for i in range(4)) + q["b_in"][j] for j in range(15)]
+            a = [sum(h[i] * q["w_state"][i][j] for i in range(5)) for j in range(15)]
+            z, r = ([1 / (1 + math.exp(-x[o + j] - a[o + j])) for j in range(5)] for o in (0, 5))
+            n = [math.tanh(x[10 + j] + r[j] * a[10 + j]) for j in range(5)]
+            h = [n[j] + z[j] * (h[j] - n[j]) for j in range(5)]
+        return total
+
+    docs = [rng.integers(0, 12, n) for n in (70, 1, 300, 12, 0)]
+    assert np.allclose(gru.Gru(p).score(docs), [walk(d) for d in docs], atol=2e-3)
