@@ -8,9 +8,11 @@ whole shorter item) its words are hit.  Matched spans are removed, and documents
 covered beyond a limit are removed as a whole.
 
 The document side is map-only: no shuffle, whatever the number of documents, so
-no key can be hot.  The items go to the tasks in blocks of a bounded number of words;
-each block is one more map step that adds to the hits found so far, so a larger
-benchmark costs more steps, not more memory.  The driver holds one block.
+no key can be hot.  The items go to the tasks in blocks of a bounded number of words,
+compressed, up to ``STEP_BLOCKS`` blocks in one map step.  The step runs a batch of documents through one
+block after another and holds one automaton at a time (all of them while there are no more than ``HELD``), so a larger
+benchmark costs time, not memory.  Beyond one step's blocks the hits found so far are written
+to a table before the next step, so no two steps' workers run side by side.  The driver holds the compressed blocks of a step.
 
 Null and word-free texts have no words, are never contaminated, and are kept.
 Repeated documents are treated alike; repeated items count once per item id; a
@@ -19,8 +21,11 @@ null item id is written as the empty string.  An empty benchmark hits nothing.
 
 from __future__ import annotations
 
+import pickle
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +37,10 @@ from .common import OWN, WORD_BYTES, row_batches, schema_plus, texts, with_colum
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
+#: Blocks of one map step: 6.4 million words, compressed a few bytes each.
+STEP_BLOCKS = 64
+#: Automata that a worker keeps between batches.
+HELD = 4
 TOTAL, CUT = OWN + "total", OWN + "cut"
 HITS, ITEMS, WORDS, LONGEST = OWN + "hits", OWN + "items", OWN + "n_words", OWN + "longest"
 
@@ -154,16 +163,26 @@ class SuffixAutomaton:
         spans.append([a, b])
 
 
-_built: dict[tuple[str, int], SuffixAutomaton] = {}
+_built: dict[tuple[str, int, int], SuffixAutomaton] = {}
 
 
-def _automaton(name: str, block, window: int) -> SuffixAutomaton:
-    """Built once per block in a Python worker, which serves many tasks."""
-    if (name, window) not in _built:
-        if len(_built) >= 4:
-            _built.clear()
-        _built[name, window] = SuffixAutomaton([(item, words_of(text)) for item, text in block.value], window)
-    return _built[name, window]
+def _pack(block: list) -> bytes:
+    return zlib.compress(pickle.dumps(block))
+
+
+def _automata(name: str, blocks, window: int) -> Iterator[SuffixAutomaton]:
+    """The automata of a step's blocks, one after another.  Few of them are built once in a Python worker,
+    which serves many tasks; of many, one is held at a time."""
+    for k, packed in enumerate(blocks):
+        automaton = _built.get((name, k, window))
+        if automaton is None:
+            if len(_built) >= HELD or len(blocks) > HELD:
+                _built.clear()
+            automaton = SuffixAutomaton([(item, words_of(text)) for item, text in pickle.loads(zlib.decompress(packed))], window)
+            if len(blocks) <= HELD:
+                _built[name, k, window] = automaton
+        yield automaton
+        del automaton
 
 
 def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS):
@@ -190,37 +209,51 @@ def _merged(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, step_blocks: int = STEP_BLOCKS) -> DataFrame:
     """``docs`` plus hit spans (flat word positions), items, number of words and
     longest match, in columns with a reserved prefix."""
     keep = docs.columns
     out = docs.withColumn(HITS, F.array().cast("array<int>")).withColumn(ITEMS, F.array().cast("array<string>"))
     out = out.withColumn(WORDS, F.lit(0).cast("long")).withColumn(LONGEST, F.lit(0).cast("long"))
     schema = schema_plus(docs, keep, **{HITS: "array<int>", ITEMS: "array<string>", WORDS: "long", LONGEST: "long"})
-    for block in item_blocks(items, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(name, shared, window)
-            for batch in row_batches(batches):
-                hits, found, n_words, longest = [], [], [], []
-                before = zip(batch.column(HITS).to_pylist(), batch.column(ITEMS).to_pylist(), batch.column(LONGEST).to_pylist())
-                for text, (old_hits, old_items, old_longest) in zip(texts(batch), before):
-                    words = words_of(text)
-                    spans, ids, most = automaton.match(words)
-                    if old_hits:
-                        spans = _merged(spans, [list(x) for x in zip(old_hits[::2], old_hits[1::2])])
-                    hits.append([x for s in spans for x in s])
-                    found.append(sorted(ids.union(old_items)))
-                    n_words.append(len(words))
-                    longest.append(max(most, old_longest))
-                new = {HITS: pa.array(hits, pa.list_(pa.int32())), ITEMS: pa.array(found, pa.list_(pa.string())), WORDS: pa.array(n_words, pa.int64()), LONGEST: pa.array(longest, pa.int64())}
-                yield with_columns(batch, keep, **new)
-
-        out = out.mapInArrow(run, schema)
+    scratch, before = Scratch(docs.sparkSession, "hits"), None
+    for step, packed in enumerate(batched(map(_pack, item_blocks(items, block_words)), step_blocks)):
+        if step:
+            table = scratch.write(out)[0]
+            scratch.drop(before)
+            out = before = table
+        out = out.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(packed), keep, window), schema)
     return out
 
 
+def _matcher(shared, keep: list[str], window: int):
+    """Map step that adds the hits of a step's blocks to those found before."""
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches):
+            words = [words_of(text) for text in texts(batch)]
+            hits = [list(map(list, zip(flat[::2], flat[1::2]))) for flat in batch.column(HITS).to_pylist()]
+            found = [set(ids) for ids in batch.column(ITEMS).to_pylist()]
+            longest = batch.column(LONGEST).to_pylist()
+            for automaton in _automata(name, shared.value, window):
+                for i, own in enumerate(words):
+                    spans, ids, most = automaton.match(own)
+                    if spans:
+                        hits[i] = _merged(spans, hits[i]) if hits[i] else spans
+                        found[i] |= ids
+                    longest[i] = max(longest[i], most)
+            new = {
+                HITS: pa.array([[x for s in spans for x in s] for spans in hits], pa.list_(pa.int32())),
+                ITEMS: pa.array([sorted(ids) for ids in found], pa.list_(pa.string())),
+                WORDS: pa.array([len(own) for own in words], pa.int64()),
+                LONGEST: pa.array(longest, pa.int64()),
+            }
+            yield with_columns(batch, keep, **new)
+
+    return run
+
+
 def _without(text: str, spans: list[list[int]]) -> str:
     """The text without the words of the spans and what stands between them."""
     data = text.encode("utf-8", "surrogatepass")
@@ -269,10 +302,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
 def _cut_by_block(docs: DataFrame, block: list, window: int) -> DataFrame:
     """``docs`` without hit spans, with the number of original words and of cut words."""
     keep = docs.columns
-    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast((_pack(block),)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(name, shared, window)
+        (automaton,) = _automata(name, shared.value, window)
         for batch in row_batches(batches):
             new, totals, cuts = [], [], []
             for text in batch.column("text").to_pylist():

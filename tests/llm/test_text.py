@@ -217,3 +217,29 @@ def test_decontaminate_in_several_blocks(spark):
         assert D.contamination(rows, frame, 6).filter("contaminated").count() == 0
     # of text 0 nine words of 17 are hit, of text 1 nine of 18, of text 2 twelve of 25
     assert got[6] == got[100_000] == {1: ["x"] * 9, 2: ["y"] * 13, 3: [], 4: ["clean"]}
+
+
+def test_decontamination_of_many_blocks(spark, monkeypatch):
+    """Fifty blocks: one map step, or several with tables between them; the same hits, one automaton at a time."""
+    random.seed(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(random.choices(vocabulary, k=6))) for i in range(50)]
+    texts = [" ".join(random.choices(vocabulary, k=20) + items[i][1].split() + random.choices(vocabulary, k=9)) for i in range(50)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    want = contamination(texts, items, 4)
+    for step_blocks, steps in ((64, 1), (20, 1)):
+        out = D.scan(docs, frame, 4, 6, step_blocks)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == steps
+        rows = {r["doc_id"]: r for r in out.collect()}
+        for i, (n, hit, found, _, _) in enumerate(want):
+            flat = rows[i][D.HITS]
+            assert (rows[i][D.WORDS], sum(flat[1::2]) - sum(flat[::2]), len(rows[i][D.ITEMS])) == (n, hit, found)
+    D._built.clear()
+    blocks = tuple(map(D._pack, D.item_blocks(frame, 6)))
+    assert len(blocks) == 50
+    for _ in D._automata("many", blocks, 4):
+        assert len(D._built) <= 1
+    for _ in D._automata("few", blocks[:3], 4):
+        pass
+    assert len(D._built) == 3
