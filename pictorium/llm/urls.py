@@ -7,9 +7,10 @@ when it was fetched: its host, the parent domains, and host with first path
 segment are its keys.
 
 Interval and capture meet by equality on (pattern, time slot) plus the exact range condition.  An
-interval is posted to the slots it covers (32 days each; an open one up to the last
-fetch), so an entry with a long history, or a host with a third of all captures, is spread over the slots
-and never compared as all changes with all captures.  Intervals are a written table and captures a
+interval is posted to those of the slots it covers (32 days each) in which anything was fetched, so an
+entry with a long history, or a host with a third of all captures, is spread over the slots
+and never compared as all changes with all captures, and one fetch dated far ahead adds one slot. The runs of
+such slots go to the driver: years 1 to 9999 have 114,145 slots in all.  Intervals are a written table and captures a
 plain scan, so AQE can split what is still skewed.
 
 The most specific active pattern decides; at equal specificity ``allow`` beats
@@ -58,6 +59,29 @@ def validity_intervals(changes: DataFrame) -> DataFrame:
     return spans.filter("active = 1").select("list", "pattern", F.col("at").alias("valid_from"), "valid_to")
 
 
+def fetch_runs(rows: DataFrame) -> list[tuple[int, int]]:
+    """Runs (first, last) of the slots that hold a fetch time ``at``."""
+    slots = sorted(r["slot"] for r in rows.select(F.floor(F.col("at") / SLOT_SECONDS).alias("slot")).filter("slot IS NOT NULL").distinct().collect())
+    runs: list[tuple[int, int]] = []
+    for slot in slots:
+        if runs and slot == runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], slot)
+        else:
+            runs.append((slot, slot))
+    return runs
+
+
+def slots_met(first: Column, last: Column, runs: list[tuple[int, int]]) -> Column:
+    """Array of the slots from ``first`` to ``last`` (null: open) that lie in a run."""
+    if not runs:
+        return F.array().cast("array<bigint>")
+    known = F.split(F.lit(",".join(f"{a}:{b}" for a, b in runs)), ",")
+    ends = F.transform(known, lambda r: F.split(r, ":").cast("array<bigint>"))
+    bound = F.transform(ends, lambda r: F.struct(r[0].alias("a"), r[1].alias("b")))
+    cut = F.transform(bound, lambda r: F.struct(F.greatest(r["a"], first).alias("a"), F.when(last.isNull(), r["b"]).otherwise(F.least(r["b"], last)).alias("b")))
+    return F.flatten(F.transform(F.filter(cut, lambda r: r["a"] <= r["b"]), lambda r: F.sequence(r["a"], r["b"])))
+
+
 def judge_captures(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """``captures`` (page_id, url, fetched_at) judged at fetch time: page_id, host, fetched_second,
     n_active, list, pattern, verdict (``allow``, ``block`` or ``none``)."""
@@ -68,11 +92,10 @@ def judge_captures(captures: DataFrame, changes: DataFrame) -> DataFrame:
         F.unix_seconds(F.col("fetched_at").cast("timestamp")).alias("at"),
         match_keys(F.col("url")).alias("keys"),
     )
-    horizon = captures.agg(F.max(F.unix_seconds(F.col("fetched_at").cast("timestamp")))).head()[0]
-    last = F.lit(0 if horizon is None else horizon)
-    slots = F.sequence(F.floor(F.col("valid_from") / SLOT_SECONDS), F.floor(F.least(F.coalesce(F.col("valid_to"), last), last) / SLOT_SECONDS))
+    runs = fetch_runs(rows)
     intervals = materialize(validity_intervals(changes), "url-intervals")
-    posted = intervals.filter(F.col("valid_from") <= last).select("list", F.col("pattern").alias("entry"), "valid_from", "valid_to", F.explode(slots).alias("entry_slot"))
+    slots = slots_met(F.floor(F.col("valid_from") / SLOT_SECONDS), F.floor(F.col("valid_to") / SLOT_SECONDS), runs)
+    posted = intervals.select("list", F.col("pattern").alias("entry"), "valid_from", "valid_to", F.explode(slots).alias("entry_slot"))
     keyed = rows.select("row", "page_id", "host", "at", F.floor(F.col("at") / SLOT_SECONDS).alias("slot"), F.explode_outer("keys").alias("key"))
     keyed = keyed.select("row", "page_id", "host", "at", "slot", "key.pattern", "key.specificity")
     active = (keyed["pattern"] == posted["entry"]) & (keyed["slot"] == posted["entry_slot"]) & (keyed["at"] >= posted["valid_from"])

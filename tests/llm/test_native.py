@@ -160,3 +160,22 @@ def test_two_lists_on_one_pattern(spark):
     frame = spark.createDataFrame(changes, "list string, pattern string, changed_at timestamp, action string")
     got = {r["page_id"]: (r["list"], r["verdict"]) for r in urls.judge_captures(captures, frame).collect()}
     assert got == {1: ("bbb", "block"), 2: ("allow", "allow")}
+
+
+def test_far_dates_add_one_slot_each(spark):
+    """A fetch in the year 9999 or 1900 stretches no interval over the slots between."""
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    near = datetime(2024, 3, 1)
+    captures = spark.createDataFrame([(1, "http://a.com/x", near), (2, "http://a.com/x", datetime(9999, 12, 1)), (3, "http://a.com/x", datetime(1900, 1, 1)), (4, "http://a.com/x", None)], "page_id long, url string, fetched_at timestamp")
+    changes = spark.createDataFrame([("block", "a.com", datetime(2024, 1, 1), "add")], "list string, pattern string, changed_at timestamp, action string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge_captures(captures, changes).collect()} == {1: "block", 2: "block", 3: "none", 4: "none"}
+    runs = urls.fetch_runs(captures.select(F.unix_seconds("fetched_at").alias("at")))
+    assert len(runs) == 3 and all(a == b for a, b in runs)
+    for runs in ([(-3, -1), (4, 4), (6, 9), (10**5, 10**5)], [(0, 0)], []):
+        held = [s for a, b in runs for s in range(a, b + 1)]
+        for first, last in ((-10, None), (-2, 7), (5, 5), (4, 4), (8, None), (7, 3)):
+            got = spark.range(1).select(urls.slots_met(F.lit(first).cast("long"), F.lit(last).cast("long"), runs).alias("s")).head()["s"]
+            assert got == [s for s in held if first <= s and (last is None or s <= last)]
