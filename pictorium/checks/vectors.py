@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import vectors as fv
 from pictorium.operators import similarity as K
+from pictorium.operators import vector_index
+from pictorium.plans.scratch import new_path
 from pictorium.sources import adapters as A
 
 from .registry import check, view, with_views
@@ -56,6 +58,21 @@ def cosine_topk_blocks(spark, d):
     return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@check("k2_stored_index", with_views("vecs", """
+    SELECT query_id, id, round(s, 6) AS similarity, rank FROM (
+      SELECT q.id AS query_id, b.id AS id, list_cosine_similarity(q.v, b.v) AS s,
+        row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.v, b.v), 9) DESC, b.id) AS rank
+      FROM vecs q JOIN vecs b ON list_cosine_similarity(q.v, b.v) >= 0.2) WHERE rank <= 4"""))
+def stored_index(spark, d):
+    """All vectors asked of a stored index that was written in two batches."""
+    base, path = A.vectors(spark, d), new_path(spark, "vector-index")
+    early = F.pmod(F.xxhash64("id"), F.lit(4)) > 0
+    vector_index.write_vector_index(base.filter(early), path, 64)
+    vector_index.append_vectors(base.filter(~early), path)
+    out, _ = vector_index.search_index(base.withColumnRenamed("id", "query_id"), path, 4, 0.2)
+    return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 # lengths of 64, 40 and 0, and zero vectors
 view("mixed", """
     SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN list_transform(e, lambda x: x * 0) WHEN vec_id % 5 = 0 THEN e[1:40] WHEN vec_id % 11 = 0 THEN [] ELSE e END AS v
