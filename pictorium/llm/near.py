@@ -9,14 +9,15 @@ with their probability Jaccard similarity, which for equal weights is the Jaccar
 *Nodes.*  Texts with one shingle set are one node (named by a 64-bit hash of the set), so copies
 never meet in a bucket.  *Banding.*  Nodes that agree in all registers of a band share a
 bucket.  First every node is compared with the bucket's smallest node only; verified links give
-classes.  Then buckets that still hold several classes compare nodes of different classes: members
-of one class need no link.  Buckets with more than ``BUCKET_PAIRS`` such pairs are banded again with more
-registers and more bands per node (``LEVELS``); at the last level every pair is compared.  The nodes of such buckets
-are signed anew from their sets at every level by the same process for every size of set, so that no two bands share a register and bands
-are independent: each level misses a pair of similarity ``SIMILARITY`` with less than ``MISS``.
-*Verification.*  A pair is looked at exactly if the sizes of its sets allow a link and its signatures agree in
-``least_equal`` registers (a miss of at most ``FILTER_MISS``): Jaccard similarity of the two shingle sets, at least ``SIMILARITY``.
-Bands, levels and this number follow from the similarity asked for.
+classes.  Members of one class need no link, so only the nodes of buckets that still hold several classes go on.
+*Prefix join.*  These are joined exactly by their sets, without looking at all pairs of a bucket: shingles are ordered by the number of
+these nodes that hold them, rare ones first.  The first shingle in this order that two sets have in common, at 0-based
+positions p and q, leaves room for at most min(n - p, m - q) common ones, so only shingles near enough to the front of both sets can lead to a pair,
+and a shingle of one node leads to none.  Alike texts below the threshold differ in rare shingles, which come first, so nearly all of
+them end here.  A shingle with many nodes is cut into blocks of ``BLOCK`` nodes that meet pairwise.
+*Verification.*  Pairs with a smallest node are looked at exactly if the sizes of the sets allow a link and the signatures agree in
+``least_equal`` registers (a miss of at most ``FILTER_MISS``), pairs of the prefix join always: Jaccard similarity of the two
+shingle sets, at least ``SIMILARITY``.  Bands and ``least_equal`` follow from the similarity asked for; the bands miss a pair just as similar with less than ``MISS``.
 *Classes* are the connected components of the verified links, so no link between different texts is lost by the shortcuts.
 
 Null texts and texts without words are alone in their class.  Rows that repeat an
@@ -42,12 +43,13 @@ from .common import OWN, row_batches, schema_plus, texts, words_of
 SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 64
-#: Chance that the registers' filter, and that one level of bands, misses a pair just as similar as asked for.
+#: Chance that the registers' filter, and that the bands, miss a pair just as similar as asked for.
 FILTER_MISS = 2e-6
 MISS = 5e-4
-BUCKET_PAIRS = 2_000
-#: Arrivals drawn in one step above the first level.
-DRAWN_AT_ONCE = 1_000_000
+#: Nodes of one shingle that meet in one cell of the prefix join.
+BLOCK = 1_000
+#: Bounds are compared with this allowance, so rounding loses no pair.
+SLACK = 1e-6
 
 
 def least_equal(similarity: float, registers: int = REGISTERS, miss: float = FILTER_MISS) -> int:
@@ -60,17 +62,14 @@ def least_equal(similarity: float, registers: int = REGISTERS, miss: float = FIL
     return registers
 
 
-def levels_for(similarity: float) -> tuple[tuple[int, int], ...]:
-    """(registers of a band, bands) of every level.  The first level takes the longest bands whose number fits the stored
-    registers; the others are 1.5, 2.25 and 4 times as long."""
+def bands_for(similarity: float) -> tuple[int, int]:
+    """(registers of a band, bands): the longest bands whose number fits the stored registers."""
 
     def bands(size: int) -> int:
         return max(1, math.ceil(math.log(MISS) / math.log1p(-(similarity**size)))) if similarity < 1 else 1
 
-    fitting = [size for size in range(1, REGISTERS + 1) if size * bands(size) <= REGISTERS]
-    first = max(fitting, default=1)
-    longer = [max(first + k, round(first * x)) for k, x in ((1, 1.5), (2, 2.25), (3, 4.0))]
-    return ((first, REGISTERS // first), *((size, bands(size)) for size in longer))
+    size = max((k for k in range(1, REGISTERS + 1) if k * bands(k) <= REGISTERS), default=1)
+    return size, REGISTERS // size
 
 
 _U = np.uint64
@@ -171,34 +170,6 @@ def _bucket_keys(size: int, n: int) -> Column:
     return F.transform(numbers, lambda band, k: F.xxhash64(k, F.transform(band, lambda i: F.get("sig", i))))
 
 
-def band_keys(sets: list[np.ndarray], level: int, size: int, n: int) -> np.ndarray:
-    """Buckets of sorted 32-bit sets by ``n`` bands of ``size`` registers, every band with registers of its own."""
-    out = np.empty((len(sets), n), np.int64)
-    salt = _U((level + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
-    hashed = [_mix(s.view(np.uint32).astype(_U) + salt) for s in sets]
-    arrivals = size * n * (math.log(size * n) + 2)  # about what fills all registers of a set
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))  # sets of like size end their rounds together
-    at = 0
-    while at < len(order):
-        least = len(sets[order[at]])
-        part = order[at : at + max(1, int(DRAWN_AT_ONCE / max(arrivals, least)))]
-        part = [i for i in part if len(sets[i]) <= 2 * least]
-        at += len(part)
-        each = max(1, math.ceil(arrivals / least / 2))
-        signed = signatures([hashed[i] for i in part], [np.ones(len(hashed[i])) for i in part], size * n, each)
-        out[part] = _fold(signed, size, n)
-    return out
-
-
-def _fold(marks: np.ndarray, size: int, n: int) -> np.ndarray:
-    """One 64-bit hash per band of ``size`` registers; the band's number is part of it."""
-    parts = marks.view(np.uint16).astype(_U).reshape(len(marks), n, size)
-    h = np.broadcast_to(np.arange(1, n + 1, dtype=_U), parts.shape[:2])
-    for k in range(size):
-        h = _mix(h * _U(0x9E3779B97F4A7C15) + parts[:, :, k])
-    return h.view(np.int64)
-
-
 def contract(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, label) of all nodes with an edge (a, b); label is the smallest node of the component.
 
@@ -231,9 +202,9 @@ def _follow(hooks: list[DataFrame]) -> DataFrame | None:
 class _Finder:
     """The steps of one run over a table of :func:`sketch`."""
 
-    def __init__(self, prints: DataFrame, scratch: Scratch, similarity: float, levels, bucket_pairs: int):
-        self.scratch, self.similarity, self.bucket_pairs = scratch, similarity, bucket_pairs
-        self.levels, self.least_equal = levels or levels_for(similarity), least_equal(similarity)
+    def __init__(self, prints: DataFrame, scratch: Scratch, similarity: float, bands: tuple[int, int] | None, block: int):
+        self.scratch, self.similarity, self.block = scratch, similarity, block
+        self.bands, self.least_equal = bands or bands_for(similarity), least_equal(similarity)
         self.prints = prints.filter(F.col("node").isNotNull())
         firsts, _ = scratch.write(self.prints.groupBy("node").agg(F.min("row").alias("row")).select("row"))
         self.sigs, _ = scratch.write(self.prints.select("row", "node", "sig", F.size("set").alias("n")).join(firsts, "row", "left_semi"))
@@ -241,26 +212,14 @@ class _Finder:
         #: classes so far, as (node, label); nodes that are missing are alone
         self.labels: DataFrame | None = None
 
-    def members(self, nodes: DataFrame, level: int) -> DataFrame:
+    def members(self) -> DataFrame:
         """(bucket, node, low) of buckets with several nodes; low is the smallest of them."""
-        rows = nodes.select("node", F.explode(_bucket_keys(*self.levels[level])).alias("bucket")) if not level else self.signed(nodes, level)
+        rows = self.sigs.select("node", F.explode(_bucket_keys(*self.bands)).alias("bucket"))
         shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared, _ = self.scratch.write(shared.select("bucket", "low"))
-        return self.scratch.write(rows.join(shared, "bucket"))[0]
-
-    def signed(self, nodes: DataFrame, level: int) -> DataFrame:
-        """(node, bucket) by a signature for this level alone, made from the sets."""
-        size, n = self.levels[level]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in row_batches(batches, 1 << 20):
-                sets = batch.column("set")
-                flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))
-                keys = band_keys(np.split(flat, ends[:-1]), level, size, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), n)), pa.array(keys.ravel())], names=["node", "bucket"])
-
-        rows = self.sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, bucket long")
-        return self.scratch.write(rows)[0]
+        members, _ = self.scratch.write(rows.join(shared, "bucket"))
+        self.scratch.drop(shared)
+        return members
 
     def keep_sets(self, nodes: DataFrame) -> None:
         """Shingle sets of the nodes that share a bucket: all that later steps can ask for."""
@@ -283,18 +242,43 @@ class _Finder:
         sigs = self.signature("a")
         return pairs.join(sigs, (pairs["a"] == sigs["a"]) & self.may_link()).select(pairs["a"], "b")
 
-    def across(self, named: DataFrame, buckets: DataFrame) -> DataFrame:
-        """Pairs of nodes of different classes within the buckets, where the signatures allow a
-        link.  Signatures are compared inside the join, so no other pair becomes a row."""
-        rows = named.join(buckets.select("bucket"), "bucket")
-        rows, _ = self.scratch.write(rows.join(self.sigs, "node").select("bucket", "node", "cls", "sig", "n"))
-        a, b = rows.toDF("bucket", "a", "cls_a", "sig_a", "n_a"), rows.toDF("other", "b", "cls_b", "sig_b", "n_b")
-        meet = (a["bucket"] == b["other"]) & (F.col("cls_a") < F.col("cls_b")) & self.may_link()
-        return a.join(b, meet).select("a", "b")
+    def ranked(self, nodes: DataFrame) -> DataFrame:
+        """(node, cls, n, t, p): shingles of the nodes (node, cls) that can be the first one in common with a node of
+        another set, with their 0-based positions p when the shingles held by fewer of these nodes come first."""
+        tokens = self.sets.select("node", F.size("set").alias("n"), F.explode("set").alias("t"))
+        common = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("n").alias("least")).filter("df > 1")
+        common, _ = self.scratch.write(common)
+        held = tokens.join(common, "t").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t", "least"))).alias("held"))
+        alone = F.col("n") - F.size("held")  # shingles of this node only, in front of all others
+        room = F.floor(F.col("n") * (1 - self.similarity) + SLACK).cast("int") + 1
+        held = held.select("node", "n", alone.alias("alone"), F.slice("held", 1, F.greatest(F.lit(0), room - alone)).alias("held"))
+        rows = held.select("node", "n", "alone", F.posexplode("held").alias("k", "s")).select("node", "n", "s.t", "s.least", (F.col("alone") + F.col("k")).alias("p"))
+        rows = rows.filter(self.room_for("n", "p", F.col("n") + F.greatest("least", F.col("n") * self.similarity)))
+        rows, _ = self.scratch.write(rows.join(nodes, "node").select("node", "cls", "n", "t", "p"))
+        self.scratch.drop(common)
+        return rows
+
+    def room_for(self, n: str, p: str, both: Column) -> Column:
+        """False only if sets of together ``both`` shingles, with nothing in common before position p of n, cannot be similar."""
+        return (F.col(n) - F.col(p)) * (1 + self.similarity) + SLACK >= both * self.similarity
+
+    def across(self, nodes: DataFrame) -> DataFrame:
+        """All pairs (a, b) of nodes (node, cls) of different classes that the prefix join leaves."""
+        rows = self.ranked(nodes)
+        sizes = rows.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("held"))
+        sizes, _ = self.scratch.write(sizes.filter("held > 1").select("t", "blocks"))
+        rows = rows.join(sizes, "t").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        a = rows.select("t", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"))
+        b = rows.select(F.col("t").alias("t_b"), F.explode(F.sequence(F.lit(0), "block")).alias("i_b"), F.col("block").alias("j_b"), F.col("node").alias("b"), F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"))
+        both = F.col("n_a") + F.col("n_b")
+        meet = (a["t"] == b["t_b"]) & (a["i"] == b["i_b"]) & (a["j"] == b["j_b"])
+        once = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
+        pairs = a.join(b, meet & once & (F.col("cls_a") != F.col("cls_b")) & self.room_for("n_a", "p_a", both) & self.room_for("n_b", "p_b", both))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
-        near, _ = self.scratch.write(pairs.distinct())
+        near, _ = self.scratch.write(pairs.distinct())  # before the sets are fetched
         both = near.join(self.sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         both = both.join(self.sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
@@ -322,24 +306,20 @@ class _Finder:
         self.labels, _ = self.scratch.write(new)
 
     def run(self) -> DataFrame | None:
-        nodes = self.sigs
-        for level in range(len(self.levels)):
-            last = level == len(self.levels) - 1
-            members = self.members(nodes, level)
-            if not level:
-                self.keep_sets(members.select("node").distinct())
-                self.link(self.linked(self.stars(members)))
-            named, _ = self.scratch.write(self.named(members.select("bucket", "node")))
-            sizes = named.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"))
-            cross = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("k"))
-            cross = cross.filter("k > 1").select("bucket", (((F.col("all") * F.col("all") - F.col("own")) / 2 > self.bucket_pairs) & F.lit(not last)).alias("wide"))
-            cross, seen = self.scratch.write(cross, few=F.count_if(~F.col("wide")), many=F.count_if("wide"))
-            if seen["few"]:
-                self.link(self.linked(self.across(named, cross.filter("not wide"))))
-            if not seen["many"]:
-                break
-            hot = named.join(cross.filter("wide"), "bucket").select("node").distinct()
-            nodes, _ = self.scratch.write(self.sigs.join(hot, "node", "left_semi"))
+        members = self.members()
+        self.keep_sets(members.select("node").distinct())
+        self.link(self.linked(self.stars(members)))
+        named, _ = self.scratch.write(self.named(members.select("bucket", "node")))
+        self.scratch.drop(members)
+        mixed = named.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
+        mixed, _ = self.scratch.write(mixed.select("bucket"))
+        nodes, seen = self.scratch.write(named.join(mixed, "bucket").select("node", "cls").distinct(), n=F.count(F.lit(1)))
+        self.scratch.drop(named)
+        if seen["n"]:
+            sets, _ = self.scratch.write(self.sets.join(nodes.select("node"), "node", "left_semi"))
+            self.scratch.drop(self.sets)
+            self.sets = sets
+            self.link(self.linked(self.across(nodes)))
         return self.labels
 
 
@@ -348,11 +328,11 @@ def _equal_registers(a: str, b: str) -> Column:
     return F.aggregate(same, F.lit(0), lambda acc, x: acc + x)
 
 
-def _grouped(docs: DataFrame, similarity: float, levels, bucket_pairs: int) -> DataFrame:
+def _grouped(docs: DataFrame, similarity: float, bands: tuple[int, int] | None, block: int) -> DataFrame:
     """doc_id, mark, class_id, class_size and kept per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near")
     prints, _ = scratch.write(sketch(docs))
-    finder = _Finder(prints, scratch, similarity, levels, bucket_pairs)
+    finder = _Finder(prints, scratch, similarity, bands, block)
     finder.run()
     words = F.col("node").isNotNull()
     rows = finder.named(prints.select("doc_id", "mark", "node"))
@@ -371,14 +351,14 @@ def _grouped(docs: DataFrame, similarity: float, levels, bucket_pairs: int) -> D
     )
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, levels=None, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of the class), class_size, kept."""
-    return _grouped(docs, similarity, levels, bucket_pairs).drop("mark")
+    return _grouped(docs, similarity, bands, block).drop("mark")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, levels=None, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:
     """The documents without those that are not kept; rows that repeat id and text of a kept one stay."""
-    gone = _grouped(docs, similarity, levels, bucket_pairs).filter(~F.col("kept"))
+    gone = _grouped(docs, similarity, bands, block).filter(~F.col("kept"))
     gone = gone.select(F.struct("doc_id", "mark").alias(OWN + "gone")).distinct()
     gone, _ = Scratch(docs.sparkSession, "near").write(gone)
     own = F.struct(F.col("doc_id"), text_mark().alias("mark"))

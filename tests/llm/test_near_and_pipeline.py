@@ -61,8 +61,8 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("levels,pairs", [(None, near.BUCKET_PAIRS), (((2, 32), (4, 60), (8, 90)), 3)])
-def test_large_groups_and_common_passages(spark, levels, pairs):
+@pytest.mark.parametrize("bands,block", [(None, near.BLOCK), ((2, 32), 3)])
+def test_large_groups_and_common_passages(spark, bands, block):
     """Chains of edits, a large group, and many texts that share a passage but are different."""
     rng = random.Random(9)
     word = lambda: f"w{rng.randrange(5000)}"
@@ -79,7 +79,7 @@ def test_large_groups_and_common_passages(spark, levels, pairs):
     texts += [texts[0]] * 30
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(near.near_duplicates(docs, levels=levels, bucket_pairs=pairs)) == classes(rows)
+    assert found(near.near_duplicates(docs, bands=bands, block=block)) == classes(rows)
 
 
 def test_odd_rows(odd, none):
@@ -157,21 +157,21 @@ def test_stages_on_odd_rows(spark, data, odd, none):
     assert {8} == ids & {2, 3, 8}
 
 
-def finder_labels(spark, sets, bucket_pairs):
-    """Classes by the production levels of 64-bit sets that all weigh the same."""
+def finder_labels(spark, sets, block):
+    """Classes by the production bands of 64-bit sets that all weigh the same."""
     from pictorium.plans.scratch import Scratch
 
     signed = near.signatures(sets, [np.ones(len(s)) for s in sets])
     small = [np.sort((s >> np.uint64(32)).astype(np.uint32).view(np.int32)) for s in sets]
     rows = [(i, i, i, i, sig.tolist(), s.tolist()) for i, (sig, s) in enumerate(zip(signed, small))]
     prints = spark.createDataFrame(rows, "row long, doc_id long, mark long, node long, sig array<short>, set array<int>")
-    labels = near._Finder(prints, Scratch(spark, "near-test"), 0.8, None, bucket_pairs).run()
+    labels = near._Finder(prints, Scratch(spark, "near-test"), 0.8, None, block).run()
     return {r["node"]: r["label"] for r in labels.collect()}
 
 
-def test_production_levels_above_the_first(spark):
-    """150 pairs of similarity 0.82 among texts of one large group that are alike but below 0.8: their buckets are
-    wide down to the last level, and no pair is lost on the way."""
+def test_pairs_in_a_group_of_alike_texts(spark):
+    """150 pairs of similarity 0.82 among texts of one large group that are alike but below 0.8: the prefix
+    join, in blocks of 3, loses none of them."""
     rng = np.random.default_rng(4)
     words = rng.integers(0, 2**63, 1000).astype(np.uint64)
     sets = []
@@ -205,8 +205,8 @@ def set_classes(sets, similarity=0.8):
     return label
 
 
-def test_production_levels_with_sets_of_all_sizes(spark):
-    """Sets of 40 to 90 elements, many pairs of them of similarity about 0.8, in buckets that are wide at every level."""
+def test_production_bands_with_sets_of_all_sizes(spark):
+    """Sets of 40 to 90 elements, many pairs of them of similarity about 0.8, joined in blocks of 3."""
     rng = np.random.default_rng(11)
     sets = []
     for _ in range(6):
@@ -218,15 +218,35 @@ def test_production_levels_with_sets_of_all_sizes(spark):
     assert [got.get(i, i) for i in range(len(sets))] == want
 
 
-def test_pairs_across_sizes_share_bands_at_every_level():
+def test_pairs_across_sizes_share_bands():
     """One process signs all sizes: pairs of similarity 0.8 and more meet, whatever their sizes."""
     rng = np.random.default_rng(6)
+    size, n = near.bands_for(0.8)
     for a, b in ((8, 10), (50, 60), (60, 72), (63, 64), (63, 73), (100, 120), (700, 850)):
-        big = [np.sort(rng.integers(-(2**31), 2**31, b).astype(np.int32)) for _ in range(40)]
-        small = [x[np.sort(rng.permutation(b)[:a])] for x in big]
-        for level, (size, n) in list(enumerate(near.levels_for(0.8)))[1:]:
-            x, y = near.band_keys(big, level, size, n), near.band_keys(small, level, size, n)
-            assert (x == y).any(axis=1).sum() >= 39
+        big = [rng.integers(0, 2**63, b).astype(np.uint64) for _ in range(40)]
+        small = [rng.permutation(x)[:a] for x in big]
+        x, y = (near.signatures(s, [np.ones(len(e)) for e in s])[:, : size * n].reshape(40, n, size) for s in (big, small))
+        assert (x == y).all(axis=2).any(axis=1).sum() >= 39
+
+
+def test_prefix_join_leaves_few_pairs(spark):
+    """600 texts of one group, each with 5 to 39 shingles of its own: every link is left, and no pair with a text that has more of its
+    own than a similarity of 0.8 allows (an eighteenth of both sets together)."""
+    from pictorium.plans.scratch import Scratch
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**31), 2**31, 200).astype(np.int32)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 200 - k], rng.integers(-(2**31), 2**31, k).astype(np.int32)])) for k in rng.integers(5, 40, 600)]
+    links = {(i, j) for j in range(600) for i in range(j) if (c := len(np.intersect1d(sets[i], sets[j], True))) >= 0.8 * (len(sets[i]) + len(sets[j]) - c)}
+    for block in (near.BLOCK, 70):
+        finder = near._Finder(spark.createDataFrame([], "row long, node long, sig array<short>, set array<int>"), Scratch(spark, "near-test"), 0.8, None, block)
+        finder.sets = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, set array<int>")
+        nodes = spark.createDataFrame([(i, i) for i in range(600)], "node long, cls long")
+        pairs = finder.across(nodes).distinct()
+        got = {tuple(r) for r in pairs.collect()}
+        assert links <= got and all(a < b for a, b in got)
+        own = [len(np.setdiff1d(s, base)) for s in sets]
+        assert all(max(own[i], own[j]) <= (len(sets[i]) + len(sets[j])) / 18 for i, j in got)
 
 
 def test_arrivals_at_once_change_nothing():
