@@ -180,3 +180,19 @@ def test_cosine_topk_equal_brute_force(spark, numbers, block):
     }
     got = vector_join.cosine_topk(q, df, 4, 0.2, max_numbers=numbers, block=block).collect()
     assert {(r["query_id"], r["id"], r["rank"]) for r in got} == want
+
+
+def test_hamming_pairs_are_never_broadcast(spark):
+    # exploded keys look as small as their words, so Catalyst would send them through the driver
+    words = near_words(11, 3000, 40, 9)
+    df = spark.createDataFrame([(signed(w), 1 + i % 3) for i, w in enumerate(words)], "word long, n long")
+    for limit in (16384, 50):
+        found = hamming.hamming_pairs(df, 6, bucket_limit=limit, layout=hamming.Layout(7, 6), rows=len(words), count="n")
+        rows = found.collect()
+        assert {tuple(r)[:3] for r in rows} == brute_pairs(words, 6) and len(rows) == len({tuple(r) for r in rows})
+        n = {signed(w): 1 + i % 3 for i, w in enumerate(words)}
+        assert all((r["n_a"], r["n_b"]) == (n[r["a"]], n[r["b"]]) for r in rows)
+        if limit > len(words):
+            assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    asked = hamming.hamming_neighbours(df.select("word"), df, 6, layout=hamming.Layout(7, 6))
+    assert "BroadcastExchange" not in asked._jdf.queryExecution().executedPlan().toString()
