@@ -14,6 +14,7 @@ from pictorium.operators.graph import Graph
 from pictorium.operators.logs import filter_log
 from pictorium.plans.ordering import SPAN, number_within, running_max
 from pictorium.plans.scratch import Scratch
+from pictorium.plans.skew import shuffled
 from pictorium.sources.tables import read_log
 
 # fixed values: columns of the full export and of the short CSV, in order
@@ -128,7 +129,7 @@ def dedup_report(scan: DuplicateScan) -> DataFrame:
     """One row per member with its group's size and similarity.  Flat, so a
     group of any size is written by many tasks."""
     groups, _ = scan.scratch.write(scan.groups())
-    return scan.member_distances().select("group_id", "id", "distance").join(groups, "group_id")
+    return scan.member_distances().select("group_id", "id", "distance").join(shuffled(groups), "group_id")
 
 
 def dedup_report_json(scan: DuplicateScan, path: str) -> None:

@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pictorium.operators import dedup as D
 from pictorium.operators import graph, ingest, search
 from pictorium.plans import scratch
 from pictorium.sources import adapters as A
+from pictorium.sources import sinks
 
 
 def plan(df):
@@ -65,3 +67,14 @@ def test_scratch_folder(spark):
 @pytest.mark.parametrize("name", ["functions", "operators", "sources", "streaming", "plans"])
 def test_packages_exist(name):
     __import__(f"pictorium.{name}")
+
+
+def test_scan_broadcasts_nothing_of_its_rows(spark):
+    """Small as they are, the tables of a scan are shuffled: broadcast, they would grow in the driver with the library."""
+    rows = [(k, f"{(k // 3) * 7:016x}", "completed") for k in range(60)]
+    scan = D.scan_duplicates(spark.createDataFrame(rows, "id long, phash string, ai_status string"), 2)
+    kept = D.plan_retention(scan.members().selectExpr("*", "1 width", "1 height", "id file_size"))
+    left = D.apply_deletions(kept, assets=(scan.prints, "id"))["assets"]
+    for frame in (scan.members(), scan.groups(), scan.member_distances(), sinks.dedup_report(scan), kept, left):
+        shape = plan(frame)
+        assert "SortMergeJoin" in shape and "BroadcastHashJoin" not in shape
