@@ -1,5 +1,6 @@
 """Kernels against brute force on small inputs, with skew forced."""
 
+import math
 import random
 
 import numpy as np
@@ -196,3 +197,32 @@ def test_hamming_pairs_are_never_broadcast(spark):
             assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
     asked = hamming.hamming_neighbours(df.select("word"), df, 6, layout=hamming.Layout(7, 6))
     assert "BroadcastExchange" not in asked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topk_keeps_k_rows_a_query_and_task(spark):
+    # every vector is like a zero vector with 0: of so many ties only the first k may leave a task
+    m = vectors(600, 6, 5)
+    m[::3] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>").repartition(3)
+    q = df.filter("id < 60").withColumnRenamed("id", "query_id")
+    u = m.astype("float64")
+    u /= np.maximum(np.linalg.norm(u, axis=1), 1e-12)[:, None]
+    sims = u @ u.T
+    want = {(i, int(j), r + 1) for i in range(60) for r, j in enumerate([j for j in np.argsort(-np.round(sims[i], 9), kind="stable") if sims[i, j] >= 0][:40])}
+    for options in ({"tile": 16}, {"tile": 16, "max_numbers": 1, "block": 32}):
+        got = vector_join.cosine_topk(q, df, 40, 0.0, **options)
+        assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == want
+    found = []
+    for at in range(0, 600, 200):
+        found.append(int(vector_join._k_best(sims[:60, at : at + 200], 40).sum()))
+    assert max(found) < 2 * 40 * 60  # 67 ties alone for each of 20 zero vectors
+
+
+def test_stripes_move_vectors_to_few_tasks():
+    n, d = 60_000, 65
+    p, q = vector_join._grid((n, n * d), (n, n * d), 3, 256, 48)
+    assert p * q >= 48 and p + q <= 16  # blocks of 256 rows sent each vector to 235 tasks
+    assert vector_join._grid((24_000, 24_000 * d), (n, n * d), 300, 4096, 48)[1] <= 4
+    assert math.ceil(n / vector_join._self_stripe(n, 64, 200, 48)) <= 10 and vector_join._self_stripe(10, 64, 200, 48) == 200
+    # full stripes bound the memory of a task
+    assert vector_join._self_stripe(10**8, 64, 200, 48) * 64 <= vector_join.STRIPE_NUMBERS
