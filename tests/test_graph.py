@@ -90,3 +90,22 @@ def test_copies_hang_on_the_first(spark):
     vectors = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.8, 0.6]) for i in range(9)] + [(20, [0.0, 0.0]), (21, [0.0, 0.0])], "id long, embedding array<float>")
     got = {(r["source_id"], r["target_id"], round(r["weight"], 6)) for r in graph.semantic_edges(vectors, 0.7).collect()}
     assert got == {("img_0", "img_1", 0.8), ("img_0", "img_3", 1.0), ("img_0", "img_6", 1.0)} | {("img_1", f"img_{i}", 1.0) for i in (2, 4, 5, 7, 8)}
+
+
+def test_semantic_edges_of_known_nodes(spark):
+    # 3 is a copy of 1, whose node is not shown: only edges between shown nodes stay, whatever a group's first is
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0]), (4, [0.9, 0.2]), (5, [0.9, 0.2])]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
+    known = spark.createDataFrame([(f"img_{i}",) for i in (2, 3, 4, 5)], "id string")
+    every = graph.semantic_edges(vectors, 0.5).filter("source_id != 'img_1' and target_id != 'img_1'")
+    some = graph.semantic_edges(vectors, 0.5, known)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect())) and some.count() == 2
+    assert graph.semantic_pairs(vectors, 0.5, known).pairs.count() == 1  # vectors without a node do not meet
+
+
+def test_degrees_move_an_edge_once(spark):
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "a", "x"), ("a", "b", "y"), ("a", "a", "x"), ("c", "a", "x")], "source_id string, target_id string, edge_type string").selectExpr("*", "1.0D weight")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    found = graph.degrees(nodes, edges)
+    assert {tuple(r) for r in found.collect()} == {("a", 4), ("b", 2), ("c", 1), ("d", 0)}
+    assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
