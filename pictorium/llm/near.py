@@ -15,6 +15,8 @@ these nodes that hold them, rare ones first.  The first shingle in this order th
 positions p and q, leaves room for at most min(n - p, m - q) common ones, so only shingles near enough to the front of both sets can lead to a pair,
 and a shingle of one node leads to none.  Alike texts below the threshold differ in rare shingles, which come first, so nearly all of
 them end here.  A shingle with many nodes is cut into blocks of ``BLOCK`` nodes that meet pairwise.
+*Odd sketch.*  Of every node in this join, ``ODD_BITS`` bits say whether an odd number of its shingles falls on each of them.  Shingles in common cancel out,
+so two sets have at least as many shingles apart as bits that differ: a bound that holds for every pair, and what it excludes never becomes a row.
 *Verification.*  Pairs with a smallest node are looked at exactly if the sizes of the sets allow a link and the signatures agree in
 ``least_equal`` registers (a miss of at most ``FILTER_MISS``), pairs of the prefix join always: Jaccard similarity of the two
 shingle sets, at least ``SIMILARITY``.  Bands and ``least_equal`` follow from the similarity asked for; the bands miss a pair just as similar with less than ``MISS``.
@@ -29,6 +31,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,8 @@ FILTER_MISS = 2e-6
 MISS = 5e-4
 #: Nodes of one shingle that meet in one cell of the prefix join.
 BLOCK = 1_000
+#: Bits of an odd sketch, a multiple of 64.
+ODD_BITS = 1024
 #: Bounds are compared with this allowance, so rounding loses no pair.
 SLACK = 1e-6
 
@@ -162,6 +167,23 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema_plus(docs, ["row", "doc_id", "mark"], node="long", sig="array<short>", set="array<int>"))
 
 
+def odd_sketches(sets: DataFrame) -> DataFrame:
+    """(node, odd) of (node, set): the bits on which an odd number of shingles fall, as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 2048) for b in row_batches(batches, 4 << 20) for at in range(0, b.num_rows, 2048)):
+            column = batch.column("set")
+            sizes = np.diff(column.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            bit = column.flatten().to_numpy() & (ODD_BITS - 1)
+            odd = np.bincount(owner * ODD_BITS + bit, minlength=len(sizes) * ODD_BITS) & 1
+            words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            ends = np.arange(len(sizes) + 1, dtype=np.int32) * (ODD_BITS // 64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, words)], names=["node", "odd"])
+
+    return sets.select("node", "set").mapInArrow(run, "node long, odd array<long>")
+
+
 def _bucket_keys(size: int, n: int) -> Column:
     """Buckets by ``n`` bands of ``size`` registers of the stored signature."""
     if size * n > REGISTERS:
@@ -243,7 +265,7 @@ class _Finder:
         return pairs.join(sigs, (pairs["a"] == sigs["a"]) & self.may_link()).select(pairs["a"], "b")
 
     def ranked(self, nodes: DataFrame) -> DataFrame:
-        """(node, cls, n, t, p): shingles of the nodes (node, cls) that can be the first one in common with a node of
+        """(node, cls, odd, n, t, p): shingles of the nodes (node, cls, odd) that can be the first one in common with a node of
         another set, with their 0-based positions p when the shingles held by fewer of these nodes come first."""
         tokens = self.sets.select("node", F.size("set").alias("n"), F.explode("set").alias("t"))
         common = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("n").alias("least")).filter("df > 1")
@@ -254,7 +276,7 @@ class _Finder:
         held = held.select("node", "n", alone.alias("alone"), F.slice("held", 1, F.greatest(F.lit(0), room - alone)).alias("held"))
         rows = held.select("node", "n", "alone", F.posexplode("held").alias("k", "s")).select("node", "n", "s.t", "s.least", (F.col("alone") + F.col("k")).alias("p"))
         rows = rows.filter(self.room_for("n", "p", F.col("n") + F.greatest("least", F.col("n") * self.similarity)))
-        rows, _ = self.scratch.write(rows.join(nodes, "node").select("node", "cls", "n", "t", "p"))
+        rows, _ = self.scratch.write(rows.join(nodes, "node").select("node", "cls", "odd", "n", "t", "p"))
         self.scratch.drop(common)
         return rows
 
@@ -262,18 +284,24 @@ class _Finder:
         """False only if sets of together ``both`` shingles, with nothing in common before position p of n, cannot be similar."""
         return (F.col(n) - F.col(p)) * (1 + self.similarity) + SLACK >= both * self.similarity
 
+    def near_enough(self) -> Column:
+        """False only if the odd sketches of a and b prove too many shingles apart."""
+        apart = [F.bit_count(F.get("odd_a", i).bitwiseXOR(F.get("odd_b", i))) for i in range(ODD_BITS // 64)]
+        return reduce(Column.__add__, apart) <= (F.col("n_a") + F.col("n_b")) * ((1 - self.similarity) / (1 + self.similarity)) + SLACK
+
     def across(self, nodes: DataFrame) -> DataFrame:
-        """All pairs (a, b) of nodes (node, cls) of different classes that the prefix join leaves."""
-        rows = self.ranked(nodes)
+        """All pairs (a, b) of nodes (node, cls) of different classes that the prefix join and the odd sketches leave."""
+        rows = self.ranked(nodes.join(odd_sketches(self.sets), "node"))
         sizes = rows.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("held"))
         sizes, _ = self.scratch.write(sizes.filter("held > 1").select("t", "blocks"))
         rows = rows.join(sizes, "t").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        a = rows.select("t", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"))
-        b = rows.select(F.col("t").alias("t_b"), F.explode(F.sequence(F.lit(0), "block")).alias("i_b"), F.col("block").alias("j_b"), F.col("node").alias("b"), F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"))
+        a = rows.select("t", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("odd").alias("odd_a"))
+        b = rows.select(F.col("t").alias("t_b"), F.explode(F.sequence(F.lit(0), "block")).alias("i_b"), F.col("block").alias("j_b"), F.col("node").alias("b"), F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("odd").alias("odd_b"))
         both = F.col("n_a") + F.col("n_b")
         meet = (a["t"] == b["t_b"]) & (a["i"] == b["i_b"]) & (a["j"] == b["j_b"])
         once = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
-        pairs = a.join(b, meet & once & (F.col("cls_a") != F.col("cls_b")) & self.room_for("n_a", "p_a", both) & self.room_for("n_b", "p_b", both))
+        room = self.room_for("n_a", "p_a", both) & self.room_for("n_b", "p_b", both)
+        pairs = a.join(b, meet & once & (F.col("cls_a") != F.col("cls_b")) & room & self.near_enough())
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:

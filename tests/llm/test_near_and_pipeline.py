@@ -249,6 +249,25 @@ def test_prefix_join_leaves_few_pairs(spark):
         assert all(max(own[i], own[j]) <= (len(sets[i]) + len(sets[j])) / 18 for i, j in got)
 
 
+def test_odd_sketches_leave_links_only(spark):
+    """Sets of two halves that many share, and few shingles of their own: alike enough for the prefix join, not for a link."""
+    from pictorium.plans.scratch import Scratch
+
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(-(2**31), 2**31, n).astype(np.int32)
+    common, halves = draw(60), [draw(30) for _ in range(24)]
+    sets = [np.unique(np.concatenate([common, halves[i % 24], halves[(i // 24) % 24]])) for i in range(240)]
+    sets += [np.unique(np.concatenate([s[3:], draw(2)])) for s in sets[:40]]
+    links = {(i, j) for j in range(280) for i in range(j) if (c := len(np.intersect1d(sets[i], sets[j], True))) >= 0.8 * (len(sets[i]) + len(sets[j]) - c)}
+    finder = near._Finder(spark.createDataFrame([], "row long, node long, sig array<short>, set array<int>"), Scratch(spark, "near-test"), 0.8, None, near.BLOCK)
+    finder.sets = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, set array<int>")
+    odd = {r["node"]: np.array(r["odd"]) for r in near.odd_sketches(finder.sets).collect()}
+    apart = lambda i, j: sum(int(x & (2**64 - 1)).bit_count() for x in (odd[i] ^ odd[j]).tolist())
+    assert all(apart(i, j) <= len(np.setxor1d(sets[i], sets[j], True)) for i in range(0, 280, 7) for j in range(i))
+    got = Counter(tuple(r) for r in finder.across(spark.createDataFrame([(i, i) for i in range(280)], "node long, cls long")).collect())
+    assert links <= set(got) and len(links) >= 40 and len(got) <= 1.2 * len(links)
+
+
 def test_arrivals_at_once_change_nothing():
     rng = np.random.default_rng(2)
     sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 2, 7, 40, 300)]
