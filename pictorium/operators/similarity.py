@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pictorium.functions.text import plain_tokens
@@ -48,21 +50,107 @@ def match_registered(queries: DataFrame, registry: DataFrame, threshold: float,
 def text_vectors(rows: DataFrame, id_col: str, text_col: str, dimension: int = 512) -> DataFrame:
     """``(id, index, value)``: signed feature hashing of the tokens, scaled to
     unit length, as sparse rows.  A token's md5 gives its index (first four
-    hex digits) and sign (fifth)."""
-    token = F.md5(F.col("token").cast("binary"))
-    index = F.conv(F.substring(token, 1, 4), 16, 10).cast("long") % dimension
-    sign = F.when(F.conv(F.substring(token, 5, 1), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
-    tokens = rows.select(F.col(id_col).alias("id"), F.explode(plain_tokens(F.col(text_col))).alias("token"))
-    sums = tokens.groupBy("id", index.alias("index")).agg(F.sum(sign).alias("total")).filter("total != 0")
-    # a window over at most `dimension` rows per id
-    length = F.sqrt(F.sum(F.col("total").cast("double") * F.col("total")).over(Window.partitionBy("id")))
-    return sums.select("id", "index", (F.col("total") / length).alias("value"))
+    hex digits) and sign (fifth).  The tokens of a row are added up where it is read; rows of one id meet in a shuffle of these sums."""
+    tokens = rows.select(F.col(id_col).alias("id"), plain_tokens(F.col(text_col)).alias("tokens"))
+    id_type = tokens.schema["id"].dataType.simpleString()
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        seen: dict[bytes, int] = {}
+        for batch in (b.slice(at, TEXT_ROWS) for b in batches for at in range(0, b.num_rows, TEXT_ROWS)):
+            if len(seen) > 500_000:
+                seen.clear()
+            words, sizes = _cells_of(batch, "tokens")
+            words = words.dictionary_encode()
+            slots = np.array([_signed_slot(w, seen) for w in words.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+            slots = slots[words.indices.to_numpy(zero_copy_only=False)] if len(slots) else slots
+            place = np.repeat(np.arange(len(sizes)), sizes) * dimension + (slots >> 1) % dimension
+            totals = np.bincount(place, weights=1.0 - 2 * (slots & 1), minlength=len(sizes) * dimension)
+            place = np.flatnonzero(totals)
+            ends = np.searchsorted(place, np.arange(len(sizes) + 1) * dimension).astype(np.int32)
+            cells = [pa.array((place % dimension).astype(np.int32)), pa.array(totals[place].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.ListArray.from_arrays(ends, c) for c in cells)], names=["id", "index", "total"])
+
+    def scale(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def cells(batch):
+            index, sizes = _cells_of(batch, "index")
+            return np.repeat(np.arange(len(sizes)), sizes), index.to_numpy(), _cells_of(batch, "total")[0].to_numpy()
+
+        for ids, totals in _matrices(batches, dimension, cells):
+            row, index = np.nonzero(totals)
+            value = totals[row, index] / np.sqrt((totals * totals).sum(1))[row]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(index), pa.array(value)], names=["id", "index", "value"])
+
+    counted = tokens.mapInArrow(count, f"id {id_type}, index array<int>, total array<long>").filter(F.size("index") > 0)
+    return counted.repartition("id").sortWithinPartitions("id").mapInArrow(scale, f"id {id_type}, index long, value double")
 
 
 def dense_text_vectors(sparse: DataFrame, dimension: int = 512) -> DataFrame:
     """``(id, embedding)`` from sparse rows (at most ``dimension`` per id)."""
-    cells = F.map_from_entries(F.collect_list(F.struct("index", "value")))
-    wide = sparse.groupBy("id").agg(cells.alias("cells"))
-    slots = F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long"))
-    filled = F.transform(slots, lambda i: F.coalesce(F.try_element_at(F.col("cells"), i), F.lit(0.0)).cast("float"))
-    return wide.select("id", filled.alias("embedding"))
+    id_type = sparse.schema["id"].dataType.simpleString()
+
+    def fill(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def cells(batch):
+            return np.arange(batch.num_rows), batch.column("index").to_numpy(), batch.column("value").fill_null(0.0).to_numpy()
+
+        for ids, values in _matrices(batches, dimension, cells):
+            ends = np.arange(len(ids) + 1, dtype=np.int32) * dimension
+            filled = pa.ListArray.from_arrays(ends, pa.array(values.ravel().astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([ids, filled], names=["id", "embedding"])
+
+    rows = sparse.select("id", F.col("index").cast("long").alias("index"), F.col("value").cast("double").alias("value"))
+    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(fill, f"id {id_type}, embedding array<float>")
+
+
+#: Rows of one matrix of texts by slots.
+TEXT_ROWS = 2048
+
+
+def _signed_slot(token: bytes, seen: dict[bytes, int]) -> int:
+    """Twice the first four hex digits of the md5, and whether the fifth is odd."""
+    slot = seen.get(token)
+    if slot is None:
+        digits = hashlib.md5(token, usedforsecurity=False).hexdigest()
+        slot = seen[token] = 2 * int(digits[:4], 16) + int(digits[4], 16) % 2
+    return slot
+
+
+def _cells_of(batch, name: str):
+    """Elements of a list column, and how many each row has."""
+    import numpy as np
+
+    column = batch.column(name)
+    return column.flatten(), np.diff(column.offsets.to_numpy())
+
+
+def _matrices(batches, dimension: int, cells):
+    """``(ids, sums by slot)`` of batches sorted by id, every id once: the last one of a batch may go on in the next.
+    ``cells`` gives row, slot and value of a batch's cells; slots beyond the dimension are left out."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    last, held = None, None
+    for batch in (b.slice(at, TEXT_ROWS) for b in batches for at in range(0, b.num_rows, TEXT_ROWS)):
+        runs = pc.run_end_encode(batch.column("id"))
+        ids, ends = runs.values, runs.run_ends.to_numpy()
+        row, slot, value = cells(batch)
+        inside = (slot >= 0) & (slot < dimension)
+        place = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))[row[inside]] * dimension + slot[inside]
+        sums = np.bincount(place, weights=value[inside], minlength=len(ids) * dimension).reshape(-1, dimension)
+        if held is not None and last[0].as_py() == ids[0].as_py():
+            sums[0] += held
+        elif held is not None:
+            yield last, held[None, :]
+        last, held = ids[-1:], sums[-1].copy()
+        yield ids[:-1], sums[:-1]
+    if held is not None:
+        yield last, held[None, :]

@@ -464,3 +464,20 @@ def test_vector_insert(spark):
     dense = {r["id"]: r["embedding"] for r in similarity.dense_text_vectors(similarity.text_vectors(text_rows, "id", "t")).collect()}
     assert dense[1] == dense[2] != dense[3] and len(dense[1]) == 512
     assert abs(sum(x * x for x in dense[3]) - 1) < 1e-6
+
+
+def test_text_vectors_add_up_rows_of_one_id(spark):
+    """Rows of one id, null too, are one vector, whatever batch they come in; text moves once, as sums."""
+    import numpy as np
+
+    words = [f"w{i % 37}" for i in range(400)]
+    rows = [(1, " ".join(words[:200])), (None, "x y"), (2, "..."), (None, "y z"), (1, " ".join(words[200:])), (3, None)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    sparse = similarity.text_vectors(df, "id", "t", 16)
+    whole = similarity.text_vectors(spark.createDataFrame([(1, " ".join(words)), (0, "x y y z")], "id long, t string"), "id", "t", 16)
+    shown = lambda rows: {(r["id"] or 0, r["index"], round(r["value"], 9)) for r in rows}
+    assert shown(sparse.collect()) == shown(whole.collect()) and sparse.count() == whole.count()
+    dense = {r["id"]: np.array(r["embedding"]) for r in similarity.dense_text_vectors(sparse, 16).collect()}
+    assert set(dense) == {1, None} and all(abs(float((v * v).sum()) - 1) < 1e-6 for v in dense.values())
+    plan = similarity.dense_text_vectors(sparse, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
