@@ -7,6 +7,7 @@ are exact however often an executor or the driver is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,13 @@ def stream_files(
 
 def stream_table(spark: SparkSession, folder: str, name: str, batches: int = 3) -> DataFrame:
     """A whole table as a stream of several micro-batches with its rows in
-    mixed order: it is dealt to ``batches`` files by a hash of its first column, and a micro-batch takes one."""
+    mixed order: it is dealt to files by a hash of its first column, ``batches`` of them or as many times that as give a file about the
+    size of an input split, and a micro-batch takes its share of the files."""
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
     dealt = new_path(spark, f"stream-{name}")
-    rows.repartition(batches, F.xxhash64(F.lit(7), rows.columns[0])).write.parquet(dealt)
-    return stream_files(spark, dealt, rows.schema, max_files=1)
+    share = max(1, math.ceil(rows.rdd.getNumPartitions() / batches))
+    rows.repartition(batches * share, F.xxhash64(F.lit(7), rows.columns[0])).write.parquet(dealt)
+    return stream_files(spark, dealt, rows.schema, max_files=share)
 
 
 def stream_assets(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:

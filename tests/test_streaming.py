@@ -89,3 +89,20 @@ def test_stream_assets_sees_new_files(spark, tmp_path):
     drain(stream_assets(spark, str(folder)).drop("content"), **where)
     seen = read_batches(spark, where["out"], rows.schema).collect()
     assert sorted((r["path"].rsplit("/", 1)[-1], r["batch_id"]) for r in seen) == [("a.png", 0), ("b.png", 1)]
+
+
+def test_stream_table_deals_small_files(spark, tmp_path):
+    """A table of many input splits becomes as many files, and still a few batches."""
+    from pictorium.streaming.runtime import drain, read_batches, stream_table
+
+    rows = spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    rows.repartition(12).write.parquet(str(tmp_path / "many.parquet"))
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        stream = stream_table(spark, str(tmp_path), "many")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    got = read_batches(spark, drain(stream.withColumn("file", F.input_file_name())), stream.schema.add("file", "string"))
+    assert sorted(r["id"] for r in got.select("id").collect()) == list(range(3000))
+    assert got.select("batch_id").distinct().count() == 3 and got.groupBy("file").count().agg(F.max("count")).head()[0] < 500
