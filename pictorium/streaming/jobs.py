@@ -156,47 +156,58 @@ def stream_retry_state(attempts: DataFrame, max_attempts: int = V.MAX_ATTEMPTS,
     return _states(_earliest(stored, max_attempts), max_attempts)
 
 
-def stream_retry_updates(attempts: DataFrame, max_attempts: int = V.MAX_ATTEMPTS, **where) -> DataFrame:
+#: State rows that :func:`stream_retry_updates` deals its items to.
+RETRY_BUCKETS = 16_384
+
+
+def stream_retry_updates(attempts: DataFrame, max_attempts: int = V.MAX_ATTEMPTS, buckets: int = RETRY_BUCKETS, **where) -> DataFrame:
     """The same states kept in the state store, for consumers that want every
-    change of an item as it happens; it costs a Python call per item and batch.
+    change of an item as it happens.
 
     The state of an item is its first success and its earliest failures, which
     merge in any order; late rows are therefore handled exactly.  Each task
     first reduces its rows to that many per item, so an item that makes up a
-    third of the stream sends a handful of rows per task.
+    third of the stream sends a handful of rows per task.  Items are dealt to ``buckets`` by a hash, and a state row holds
+    those of a bucket: a batch costs a Python call per bucket at most, however many items it has.  ``buckets`` may not change between restarts.
     """
     us = _micros(attempts)
 
     def earliest(batches):
         for pdf in batches:
             pdf = pdf.sort_values("us", kind="stable")
-            nth = pdf.groupby(["item", "ok"], sort=False).cumcount()
-            yield pdf[(pdf["ok"] & (nth < 1)) | (~pdf["ok"] & (nth < max_attempts))]
+            nth = pdf.groupby(["item", "ok"], sort=False, dropna=False).cumcount()
+            yield pdf[(nth < 1) | (pdf["ok"].eq(False) & (nth < max_attempts))]
 
     def advance(key, chunks, state):
         import pandas as pd
 
-        # -1 stands for "no retry" until the rows are read back
-        ok, failures = state.get if state.exists else (None, [])
-        failures = list(failures)
+        known = {item: (ok, failures) for item, ok, failures in zip(*state.get)} if state.exists else {}
+        changed = {}
         for pdf in chunks:
-            us, good = pdf["us"].to_numpy(), pdf["ok"].to_numpy()
-            if good.any():
-                first = int(us[good].min())
-                ok = first if ok is None else min(ok, first)
-            failures = sorted([*failures, *us[~good].tolist()])[:max_attempts]
-        state.update((ok, failures))
-        before = [t for t in failures if ok is None or t < ok]
-        n = len(before)
-        status = "failed" if n >= max_attempts else "completed" if ok is not None else "pending"
-        wait = before[-1] + 2**n * 1_000_000 if status == "pending" else -1
-        yield pd.DataFrame({"item": [key[0]], "status": [status], "retry_count": [n], "next_retry_us": [wait]})
+            for item, good, at in zip(pdf["item"].tolist(), pdf["ok"].tolist(), pdf["us"].tolist()):
+                ok, failures = known.get(item, (None, []))
+                if at == at and at is not None:  # a row without time or outcome only makes its item known
+                    if good:
+                        ok = int(at) if ok is None else min(ok, int(at))
+                    elif good is not None:
+                        failures = sorted([*failures, int(at)])[:max_attempts]
+                known[item] = changed[item] = (ok, failures)
+        state.update((list(known), [ok for ok, _ in known.values()], [failures for _, failures in known.values()]))
+        rows = []
+        for item, (ok, failures) in changed.items():
+            before = [t for t in failures if ok is None or t < ok]
+            n = len(before)
+            status = "failed" if n >= max_attempts else "completed" if ok is not None else "pending"
+            # -1 stands for "no retry" until the rows are read back
+            rows.append((item, status, n, before[-1] + 2**n * 1_000_000 if status == "pending" and before else -1))
+        yield pd.DataFrame(rows, columns=["item", "status", "retry_count", "next_retry_us"])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     reduced = us.mapInPandas(earliest, us.schema)
-    states = reduced.groupBy("item").applyInPandasWithState(
-        advance, RETRY, "ok long, failures array<long>", "update", GroupStateTimeout.NoTimeout
+    dealt = reduced.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(buckets)))
+    states = dealt.groupBy("bucket").applyInPandasWithState(
+        advance, RETRY, "items array<string>, ok array<long>, failures array<array<long>>", "update", GroupStateTimeout.NoTimeout
     )
     latest = _running(states, ["item"], **where)
-    return latest.withColumn("next_retry_us", F.when(F.col("status") == "pending", F.col("next_retry_us")))
+    return latest.withColumn("next_retry_us", F.when((F.col("status") == "pending") & (F.col("next_retry_us") >= 0), F.col("next_retry_us")))

@@ -106,3 +106,16 @@ def test_stream_table_deals_small_files(spark, tmp_path):
     got = read_batches(spark, drain(stream.withColumn("file", F.input_file_name())), stream.schema.add("file", "string"))
     assert sorted(r["id"] for r in got.select("id").collect()) == list(range(3000))
     assert got.select("batch_id").distinct().count() == 3 and got.groupBy("file").count().agg(F.max("count")).head()[0] < 500
+
+
+def test_retry_updates_share_state_rows(spark, tmp_path):
+    """Items of one bucket keep states of their own, over batches and rows without a time or an outcome."""
+    df = attempts(spark)
+    write_files(df, str(tmp_path / "in"), 3)
+    stream = stream_files(spark, str(tmp_path / "in"), df.schema, max_files=1)
+    want = {tuple(r) for r in jobs.retry_state(df).collect()}
+    assert {tuple(r) for r in jobs.stream_retry_updates(stream, buckets=2).collect()} == want
+    odd = spark.createDataFrame([(0, "a", None, False), (1, "a", None, True), (2, "b", dt.datetime(2024, 1, 1), None), (3, "b", dt.datetime(2024, 1, 2), False)], df.schema)
+    write_files(odd, str(tmp_path / "odd"), 2)
+    got = jobs.stream_retry_updates(stream_files(spark, str(tmp_path / "odd"), df.schema, max_files=1), buckets=1).collect()
+    assert sorted((r["item"], r["status"], r["retry_count"]) for r in got) == [("a", "pending", 0), ("b", "pending", 1)]
