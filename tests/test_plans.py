@@ -226,3 +226,21 @@ def test_stripes_move_vectors_to_few_tasks():
     assert math.ceil(n / vector_join._self_stripe(n, 64, 200, 48)) <= 10 and vector_join._self_stripe(10, 64, 200, 48) == 200
     # full stripes bound the memory of a task
     assert vector_join._self_stripe(10**8, 64, 200, 48) * 64 <= vector_join.STRIPE_NUMBERS
+
+
+def test_cells_are_left_where_no_clusters_are(spark, monkeypatch):
+    """Vectors in all directions would visit half of the cells: they go to stripes; clustered ones keep their cells.  The pairs are the same."""
+    import numpy as np
+
+    placed = []
+    place = vector_join._place_in_cells
+    monkeypatch.setattr(vector_join, "_place_in_cells", lambda *a: placed.append(1) or place(*a))
+    rng = np.random.default_rng(3)
+    spread = rng.normal(size=(600, 24))
+    tight = np.repeat(rng.normal(size=(30, 24)), 20, 0) + 0.01 * rng.normal(size=(600, 24))
+    for vectors, cells in ((spread, 0), (tight, 1)):
+        placed.clear()
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+        got = {(r["a"], r["b"]) for r in vector_join.cosine_pairs(df, 0.5, block=20).collect()}
+        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        assert got == {(i, j) for i, j in np.argwhere(np.triu(unit @ unit.T, 1) >= 0.5).tolist()} and len(placed) == cells
