@@ -31,6 +31,8 @@ SHELLS = 32
 MAX_BOUNDS = 16_000_000
 #: Parts that are pushed to the scan one by one.
 MAX_PUSHED = 1_000
+#: Cosines that a task remembers of all queries together (32 MB).
+MAX_TOP = 4_000_000
 ROW_GROUP_BYTES = 8 << 20
 #: Slack of rounded cosines and angles.
 SLACK = 1e-7
@@ -186,13 +188,16 @@ def _of_parts(stored: DataFrame, parts: list[int]) -> DataFrame:
 
 
 def _meet(rows: DataFrame, meets: dict, ids, matrix: np.ndarray, reached: np.ndarray, k: int, schema: str) -> DataFrame:
-    """k best vectors (and ties) per query and batch, at least as near as what the query has reached."""
+    """k best vectors (and ties) per query and part, at least as near as what the query has reached, in this task too."""
     shipped = rows.sparkSession.sparkContext.broadcast((meets, ids, matrix, reached))
 
     def run(batches):
         import pyarrow as pa
 
         meets, ids, matrix, reached = shipped.value
+        reached = reached.copy()
+        # the k best cosines that this task has found for a query
+        top = np.full((len(ids), k), -2.0) if len(ids) * k <= MAX_TOP else None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -206,8 +211,14 @@ def _meet(rows: DataFrame, meets: dict, ids, matrix: np.ndarray, reached: np.nda
                     for x in range(a, b, TILE):
                         sims = matrix[asks] @ v[x : min(b, x + TILE)].T
                         good = sims >= reached[asks][:, None] - 1e-12
+                        few = sims
                         if sims.shape[1] > k:
-                            good &= sims >= np.partition(sims, sims.shape[1] - k, axis=1)[:, -k, None] - SLACK
+                            few = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k:]
+                            good &= sims >= few[:, :1] - SLACK
+                        if top is not None:
+                            few = np.concatenate([top[asks], few], axis=1)
+                            top[asks] = np.partition(few, few.shape[1] - k, axis=1)[:, -k:]
+                            reached[asks] = np.maximum(reached[asks], top[asks].min(axis=1) - SLACK)
                         i, j = np.nonzero(good)
                         if len(i):
                             found = [ids.take(pa.array(asks[i])), batch.column("id").take(pa.array(x + j)), pa.array(sims[i, j])]

@@ -80,3 +80,26 @@ def test_empty_index_and_no_queries(spark, stored, tmp_path):
     empty = spark.createDataFrame([], "id long, embedding array<double>")
     V.write_vector_index(empty, str(tmp_path / "e"), DIM)
     assert V.search_index(asked, str(tmp_path / "e"), 3)[0].count() == 0
+
+
+def test_a_task_gives_few_rows_per_query(spark, tmp_path):
+    """What a task has found for a query bounds what it gives of later parts: far less than k rows of every part."""
+    from pictorium.operators import vector_index as V
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(1500, 12))
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    V.write_vector_index(base, str(tmp_path / "index"), 12, pivots=60)
+    stored = spark.read.parquet(str(tmp_path / "index/vectors")).coalesce(1)
+    parts = [r[0] for r in stored.select("part").distinct().collect()]
+    import pyarrow as pa
+
+    ids = pa.array(range(1500))
+    meets = {p: np.arange(1500) for p in parts}
+    rows = V._meet(stored, meets, ids, unit, np.full(1500, 1e-12), 3, "query_id long, id long, similarity double").collect()
+    best = {q: set(np.argsort(-(unit[q] @ unit.T))[:3].tolist()) for q in range(0, 1500, 50)}
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert all(best[q] <= got[q] for q in best) and len(rows) < 1500 * 3 * len(parts) / 3
