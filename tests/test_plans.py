@@ -238,9 +238,9 @@ def test_cells_are_left_where_no_clusters_are(spark, monkeypatch):
     rng = np.random.default_rng(3)
     spread = rng.normal(size=(600, 24))
     tight = np.repeat(rng.normal(size=(30, 24)), 20, 0) + 0.01 * rng.normal(size=(600, 24))
-    for vectors, cells in ((spread, 0), (tight, 1)):
+    for vectors, cells, threshold in ((spread, 0, 0.5), (tight, 1, 0.9)):
         placed.clear()
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
-        got = {(r["a"], r["b"]) for r in vector_join.cosine_pairs(df, 0.5, block=20).collect()}
+        got = {(r["a"], r["b"]) for r in vector_join.cosine_pairs(df, threshold, block=20).collect()}
         unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-        assert got == {(i, j) for i, j in np.argwhere(np.triu(unit @ unit.T, 1) >= 0.5).tolist()} and len(placed) == cells
+        assert got == {(i, j) for i, j in np.argwhere(np.triu(unit @ unit.T, 1) >= threshold).tolist()} and len(placed) == cells
