@@ -229,18 +229,15 @@ def test_stripes_move_vectors_to_few_tasks():
 
 
 def test_cells_are_left_where_no_clusters_are(spark, monkeypatch):
-    """Vectors in all directions would visit half of the cells: they go to stripes; clustered ones keep their cells.  The pairs are the same."""
-    import numpy as np
-
+    """Vectors in all directions would visit half of the cells: they go to stripes, with the same pairs.  Near few pivots cells pay."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    spread, centres = unit(rng.normal(size=(600, 24))), unit(rng.normal(size=(30, 24)))
+    assert not vector_join._pivots_pay(centres, spread, 1.0, 3)
+    assert vector_join._pivots_pay(centres, unit(np.repeat(centres, 5, 0) + 0.001 * rng.normal(size=(150, 24))), 0.4, 3)
     placed = []
     place = vector_join._place_in_cells
     monkeypatch.setattr(vector_join, "_place_in_cells", lambda *a: placed.append(1) or place(*a))
-    rng = np.random.default_rng(3)
-    spread = rng.normal(size=(600, 24))
-    tight = np.repeat(rng.normal(size=(30, 24)), 20, 0) + 0.01 * rng.normal(size=(600, 24))
-    for vectors, cells, threshold in ((spread, 0, 0.5), (tight, 1, 0.9)):
-        placed.clear()
-        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
-        got = {(r["a"], r["b"]) for r in vector_join.cosine_pairs(df, threshold, block=20).collect()}
-        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-        assert got == {(i, j) for i, j in np.argwhere(np.triu(unit @ unit.T, 1) >= threshold).tolist()} and len(placed) == cells
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(spread)], "id long, embedding array<double>")
+    got = {(r["a"], r["b"]) for r in vector_join.cosine_pairs(df, 0.5, block=20).collect()}
+    assert not placed and got == {(i, j) for i, j in np.argwhere(np.triu(spread @ spread.T, 1) >= 0.5).tolist()}
