@@ -109,3 +109,35 @@ def test_degrees_move_an_edge_once(spark):
     found = graph.degrees(nodes, edges)
     assert {tuple(r) for r in found.collect()} == {("a", 4), ("b", 2), ("c", 1), ("d", 0)}
     assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_semantic_edges_are_not_shuffled(spark):
+    rows = [(i, f"/x/{i}.jpg", "completed", ["all", f"t{i % 3}"], None, None) for i in range(12)]
+    assets = spark.createDataFrame(rows, "id long, file_path string, ai_status string, ai_tags array<string>, ai_description string, ai_category string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 20]) for i in range(12)], "id long, embedding array<double>")
+    g = graph.build_graph(assets, vectors, 0.9)
+    want = graph.semantic_edges(vectors, 0.9)
+    semantic = graph.filter_edges(g.edges, ("semantic",))
+    assert sorted(map(tuple, semantic.collect())) == sorted(map(tuple, want.select(*semantic.columns).collect()))
+    found = graph.degrees(g.nodes, g.edges, g.simple)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.degrees(g.nodes, g.edges).collect()))
+    keys = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and not any("low" in line for line in keys)  # ends are moved added up by node, edges are not
+    # an id of two vectors: its pairs meet twice and stay once
+    again = vectors.unionByName(vectors.filter("id = 3").selectExpr("id", "array(1.0D, 0.51D) AS embedding"))
+    twice = graph.build_graph(assets, again, 0.9)
+    ends = [(r["source_id"], r["target_id"]) for r in graph.filter_edges(twice.edges, ("semantic",)).collect()]
+    assert len(ends) == len(set(ends)) and set(ends) >= {(r["source_id"], r["target_id"]) for r in semantic.collect()}
+
+
+def test_components_begin_with_stars(spark):
+    from pictorium.plans.components import _stars
+
+    # complete graphs and a hub: of the edges of a task at most one per node is left
+    pairs = [(f"n{b:03d}", f"n{a:03d}") for k in range(3) for a in range(k * 30, k * 30 + 30) for b in range(a + 1, k * 30 + 30)]
+    pairs += [(f"x{i:05d}", "a") for i in range(5000)] + [("z", f"x{i:05d}") for i in range(5000)]
+    edges = spark.createDataFrame(pairs, "u string, v string").coalesce(1)
+    got = sorted(map(tuple, _stars(edges).collect()))
+    want = [(f"n{i:03d}", f"n{i // 30 * 30:03d}") for i in range(90) if i % 30] + [(f"x{i:05d}", "a") for i in range(5000)] + [("z", "a")]
+    assert got == sorted(want)
+    assert _stars(edges.limit(0)).isEmpty()
