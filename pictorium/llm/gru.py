@@ -99,77 +99,72 @@ class Gru:
         bound = [np.abs(self.p[f"w_{k}"]).sum(-1) + np.abs(self.p[f"b_{k}"]) for k in ("class", "member")]
         return bool(max(b.max() for b in bound) < 60)
 
-    def _inputs(self, ids: np.ndarray) -> np.ndarray:
-        return self.p["embed"][ids] @ self.p["w_in"] + self.p["b_in"]
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Output weights of classes and members with their biases as last column."""
+        return tuple(np.concatenate([self.p[f"w_{k}"], self.p[f"b_{k}"][..., None]], axis=-1) for k in ("class", "member"))
 
-    def steps(self, ids: np.ndarray, h: np.ndarray, keep: bool = False, table: np.ndarray | None = None, begins: np.ndarray | None = None):
-        """Runs ``ids`` (time, lanes) from state ``h``: the states before every token, the last
-        state, and with ``keep`` what the backward pass needs.  Where a document ``begins`` the state is zero."""
+    def steps(self, ids: np.ndarray, h: np.ndarray, keep: bool = False, begins: np.ndarray | None = None):
+        """Runs ``ids`` (time, lanes) from states ``h`` (lanes, state): the states before every token (time, state, lanes), the last
+        states, and with ``keep`` what the backward pass needs.  Where a document ``begins`` the state is zero.
+
+        Inside, lanes are the last axis, so each gate of a step is one run of memory."""
         d = self.state
-        x = table[ids] if table is not None else self._inputs(ids)
-        before = np.empty((*ids.shape, d), x.dtype)
-        cache = (np.empty((*ids.shape, 2 * d), x.dtype), np.empty_like(before), np.empty_like(before)) if keep else None
+        x = self.p["w_in"].T @ self.p["embed"][ids].transpose(0, 2, 1)
+        x += self.p["b_in"][:, None]
+        h = np.ascontiguousarray(h.T)
+        before = np.empty((len(ids), *h.shape), x.dtype)
+        cache = (np.empty_like(x[:, : 2 * d]), np.empty_like(before), np.empty_like(before)) if keep else None
         fresh = begins.any(1) if begins is not None else np.zeros(len(ids), bool)
-        w = self.p["w_state"]
+        w = np.ascontiguousarray(self.p["w_state"].T)
         for t in range(len(ids)):
             if fresh[t]:
-                h = np.where(begins[t][:, None], x.dtype.type(0), h)
+                h = np.where(begins[t], x.dtype.type(0), h)
             before[t] = h
-            a = h @ w
-            gates = np.add(x[t][:, : 2 * d], a[:, : 2 * d], out=cache[0][t] if keep else None)
+            a = w @ h
+            gates = np.add(x[t, : 2 * d], a[: 2 * d], out=cache[0][t] if keep else None)
             _sigmoid(gates)
-            n = gates[:, d:] * a[:, 2 * d :]
-            n += x[t][:, 2 * d :]
+            n = gates[d:] * a[2 * d :]
+            n += x[t, 2 * d :]
             np.tanh(n, out=n)
             if keep:
                 cache[1][t] = n
-                cache[2][t] = a[:, 2 * d :]
+                cache[2][t] = a[2 * d :]
             h = h - n
-            h *= gates[:, :d]
+            h *= gates[:d]
             h += n
-        return before, h, cache
-
-    def input_table(self) -> np.ndarray:
-        """Projected input of every token; saves a product per step when the weights are fixed."""
-        return self._inputs(np.arange(len(self.p["embed"])))
+        return before, h.T, cache
 
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray, chunk: int = 8192) -> np.ndarray:
         """Natural logarithm of P(id | h) for rows of states and ids."""
-        p = self.p
+        by_class, by_member = self.outputs()
         order = _sorted(ids, self.classes * self.members)
-        h, ids = h[order], ids[order]
+        h, ids = _with_one(h[order]), ids[order]
         cls, member = ids // self.members, ids % self.members
         part = np.empty(len(ids))
         for at in range(0, len(ids), chunk):
             here = slice(at, at + chunk)
-            logits = h[here] @ p["w_class"].T
-            logits += p["b_class"]
-            picked = logits[np.arange(len(logits)), cls[here]]
-            part[here] = picked - _log_sum(logits, self.tame)
-        for c, a, b in _runs(cls):
-            inner = h[a:b] @ p["w_member"][c].T
-            inner += p["b_member"][c]
-            picked = inner[np.arange(b - a), member[a:b]]
-            part[a:b] += picked - _log_sum(inner, self.tame)
+            own, rows = h[here], np.arange(len(h[here]))
+            outer, inner = own @ by_class.T, _by_run(own, by_member, list(_runs(cls[here])))
+            picked = outer[rows, cls[here]] + inner[rows, member[here]]
+            part[here] = picked - _log_sum(outer, self.tame) - _log_sum(inner, self.tame)
         out = np.empty(len(ids))
         out[order] = part
         return out
 
-    def score(self, documents: list[np.ndarray], window: int = 128, lanes: int = 256) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], window: int = 64, lanes: int = 512) -> np.ndarray:
         """Log-likelihood of whole documents: the state is carried from window to
         window; in a lane the next document begins with a fresh one."""
         total = np.zeros(len(documents))
         ids, owner = lay_out(documents, lanes)
         begins, sizes = first_tokens(owner), (owner >= 0).sum(0)
         h = np.zeros((ids.shape[1], self.state), np.float32)
-        table = self.input_table()
         for at in range(0, len(ids), window):
             live = int((sizes > at).sum())
             here = (slice(at, at + window), slice(0, live))
-            before, h, _ = self.steps(ids[here], h[:live], table=table, begins=begins[here])
+            before, h, _ = self.steps(ids[here], h[:live], begins=begins[here])
             own = owner[here].ravel()
             rows = np.flatnonzero(own >= 0)
-            logs = self.log_probabilities(before.reshape(-1, self.state)[rows], ids[here].ravel()[rows])
+            logs = self.log_probabilities(_by_token(before)[rows], ids[here].ravel()[rows])
             total += np.bincount(own[rows], weights=logs, minlength=len(total))
         return total
 
@@ -208,66 +203,88 @@ class Trainer:
         self.tokens += len(rows)
         net.tame = net.is_tame()
         d_before = np.zeros((ids.size, d), before.dtype)
-        d_before[rows] = self._output(before.reshape(-1, d)[rows], ids.ravel()[rows], 1.0 / len(rows))
-        d_before = d_before.reshape(*ids.shape, d)
-        # what the gradient of a state is multiplied by, for all steps at once
-        z, r = gates[..., :d], gates[..., d:]
-        by_n = (1 - z) * (1 - n * n)
-        by_z = (before - n) * z * (1 - z)
-        by_r = a * r * (1 - r)
-        dx = np.empty((*ids.shape, 3 * d), before.dtype)
-        da = np.empty_like(dx)
-        dh = np.zeros_like(before[0])
-        back = np.ascontiguousarray(p["w_state"].T)
+        d_before[rows] = self._output(_by_token(before)[rows], ids.ravel()[rows], 1.0 / len(rows))
+        d_before = np.ascontiguousarray(d_before.reshape(*ids.shape, d).transpose(0, 2, 1))
+        # what the gradient of a state is multiplied by, for all steps at once: update gate, reset gate, new state
+        z, r = gates[:, :d], gates[:, d:]
+        by_x = np.empty((len(ids), 3, *before.shape[1:]), before.dtype)
+        by_n = np.multiply(1 - z, 1 - n * n, out=by_x[:, 2])
+        np.multiply((before - n) * z, 1 - z, out=by_x[:, 0])
+        np.multiply(a * r * (1 - r), by_n, out=by_x[:, 1])
+        da = by_x.copy()
+        da[:, 2] *= r
+        dh, every = np.zeros_like(before[0]), np.empty_like(before)
         fresh = begins.any(1) if begins is not None else np.zeros(len(ids), bool)
         for t in range(len(ids) - 1, -1, -1):
-            x, g = dx[t], da[t]
-            dn = np.multiply(dh, by_n[t], out=x[:, 2 * d :])
-            np.multiply(dh, by_z[t], out=x[:, :d])
-            np.multiply(dn, by_r[t], out=x[:, d : 2 * d])
-            g[:, : 2 * d] = x[:, : 2 * d]
-            np.multiply(dn, r[t], out=g[:, 2 * d :])
+            every[t] = dh
+            da[t] *= dh
             dh *= z[t]
-            dh += g @ back
+            dh += p["w_state"] @ da[t].reshape(3 * d, -1)
             dh += d_before[t]
             if fresh[t]:
-                dh[begins[t]] = 0
-        flat_ids, flat_dx = ids.ravel(), dx.reshape(-1, 3 * d)
-        g_state = before.reshape(-1, d).T @ da.reshape(-1, 3 * d)
-        d_embed = flat_dx @ p["w_in"].T
-        g_in = p["embed"][flat_ids].T @ flat_dx
-        slots = (flat_ids[:, None].astype(np.intp) * d_embed.shape[1] + np.arange(d_embed.shape[1])).ravel()
-        sums = np.bincount(slots, weights=d_embed.ravel(), minlength=p["embed"].size)
-        self._step("embed", sums.reshape(p["embed"].shape).astype(d_embed.dtype))
+                dh[:, begins[t]] = 0
+        by_x *= every[:, None]
+        flat_ids, flat_dx = ids.ravel(), _by_token(by_x.reshape(len(ids), 3 * d, -1))
+        g_state = (before @ da.reshape(len(ids), 3 * d, -1).transpose(0, 2, 1)).sum(0)
+        # summed by token first: an embedding meets the input weights once
+        order = _sorted(flat_ids, net.classes * net.members)
+        ordered = flat_ids[order]
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        token, sums = ordered[first], np.add.reduceat(flat_dx[order], first, axis=0)
+        g_in = p["embed"][token].T @ sums
+        d_embed = np.zeros_like(p["embed"])
+        d_embed[token] = sums @ p["w_in"].T
+        self._step("embed", d_embed)
         self._step("w_in", g_in)
-        self._step("b_in", flat_dx.sum(0))
+        self._step("b_in", sums.sum(0))
         self._step("w_state", g_state)
         return last
 
     def _output(self, h: np.ndarray, ids: np.ndarray, scale: float) -> np.ndarray:
         """Gradient of the mean loss with respect to the states; steps the output weights."""
-        p, m, tame = self.net.p, self.net.members, self.net.tame
+        m, tame, d = self.net.members, self.net.tame, self.net.state
+        by_class, by_member = self.net.outputs()
         order = _sorted(ids, self.net.classes * m)  # by class, and in it by member
-        h, ids = h[order], ids[order]
+        h, ids = _with_one(h[order]), ids[order]
         cls, member = ids // m, ids % m
-        g = _soft_error(h @ p["w_class"].T + p["b_class"], cls, scale, tame)
-        dh = g @ p["w_class"]
-        g_member, g_bias = np.zeros_like(p["w_member"]), np.zeros_like(p["b_member"])
-        self._step("w_class", g.T @ h)
-        self._step("b_class", g.sum(0))
-        for c, a, b in _runs(cls):
-            own = h[a:b]
-            g = _soft_error(own @ p["w_member"][c].T + p["b_member"][c], member[a:b], scale, tame)
-            dh[a:b] += g @ p["w_member"][c]
-            g_member[c] = g.T @ own
-            g_bias[c] = g.sum(0)
-        self._step("w_member", g_member)
-        self._step("b_member", g_bias)
+        runs = list(_runs(cls))
+        g = _soft_error(h @ by_class.T, cls, scale, tame)
+        dh = g @ by_class[:, :d]
+        g_class = g.T @ h
+        g = _soft_error(_by_run(h, by_member, runs), member, scale, tame)
+        g_member = np.zeros_like(by_member)
+        for c, a, b in runs:
+            dh[a:b] += g[a:b] @ by_member[c, :, :d]
+            np.matmul(g[a:b].T, h[a:b], out=g_member[c])
+        self._step("w_class", g_class[:, :d])
+        self._step("b_class", g_class[:, d])
+        self._step("w_member", g_member[..., :d])
+        self._step("b_member", g_member[..., d])
         out = np.empty_like(dh)
         out[order] = dh
         return out
 
 
+def _by_token(x: np.ndarray) -> np.ndarray:
+    """A row per token of (time, numbers, lanes), in the order of ids (time, lanes)."""
+    return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """A last column of ones, which biases are multiplied by."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def _by_run(h: np.ndarray, weights: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Products of the rows of every run with the weights of its class."""
+    out = np.empty((len(h), weights.shape[1]), h.dtype)
+    for c, a, b in runs:
+        np.matmul(h[a:b], weights[c].T, out=out[a:b])
+    return out
+
+
 def _log_sum(x: np.ndarray, tame: bool) -> np.ndarray:
     """Logarithm of the sum of exp over the rows; overwrites ``x``."""
     top = None if tame else x.max(1)

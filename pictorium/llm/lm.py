@@ -21,19 +21,19 @@ documents the base score is 0 and the model is the untrained one.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pictorium.plans.scratch import Scratch
 
-from .common import OWN, crc_mod, row_batches, schema_plus, texts, with_columns
+from .common import OWN, crc_mod, row_batches, schema_plus, with_columns
 from .gru import Gru, Trainer, flatten, restore, start_parameters
 
 FOLD, HELD_OUT = 7, 2
@@ -46,62 +46,74 @@ CHUNKS = 16
 END = b""
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased, then the end."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
-
-
-def rest_group(word: bytes) -> int:
-    """Form of a word: its first byte and whether it has non-ASCII characters."""
-    return ((word[0] & 31) * 2 + (not word.isascii())) % MEMBERS if word else 0
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space, A-Z lower-cased, then the end, of one text after another, and where each text's end: null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.values.cast(pa.binary())
+    full = pc.binary_length(words).to_numpy() > 0  # white space at the ends of a text leaves empty parts
+    before = np.concatenate([[0], np.cumsum(full)])[lists.offsets.to_numpy()]
+    ends = before[1:] + np.arange(1, len(lists) + 1)
+    take = np.empty(len(lists) + int(before[-1]), np.int64)
+    is_word = np.ones(len(take), bool)
+    is_word[ends - 1] = False
+    take[is_word] = np.flatnonzero(full)
+    take[~is_word] = len(words)
+    return pa.concat_arrays([words, pa.array([END], pa.binary())]).take(pa.array(take)), ends
+
+
+def rest_groups(words: pa.Array) -> np.ndarray:
+    """Forms of words: the first byte and whether there are non-ASCII characters."""
+    words = pa.concat_arrays([words])  # from offset 0
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32, len(words) + 1) if len(words) else np.zeros(1, np.int32)
+    body = np.frombuffer(data, np.uint8) if data is not None and at[-1] else np.zeros(1, np.uint8)
+    wide = np.concatenate([[0], np.cumsum(body[: at[-1]] > 127)])[at]
+    first = body[np.minimum(at[:-1], len(body) - 1)].astype(np.int64)
+    return np.where(at[1:] > at[:-1], ((first & 31) * 2 + (np.diff(wide) > 0)) % MEMBERS, 0)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(word, c) over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counts):
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        def added_up(parts):
+            return pa.concat_tables(parts).group_by("word").aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
 
-        counts: Counter = Counter()
+        parts, rows = [], 0
         for batch in row_batches(batches):
-            for text in texts(batch):
-                counts.update(tokens(text))
-            if len(counts) > 1_000_000:
-                yield out(counts)
-                counts = Counter()
-        yield out(counts)
+            counts = pc.value_counts(tokens(batch.column("text"))[0])
+            parts.append(pa.table({"word": counts.field("values"), "c": counts.field("counts")}))
+            rows += len(counts)
+            if rows > 2_000_000:
+                parts = [added_up(parts)]
+                rows = parts[0].num_rows
+                if rows > 1_000_000:
+                    yield from parts[0].to_batches()
+                    parts, rows = [], 0
+        if rows:
+            yield from added_up(parts).to_batches()
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class _Positions(dict):
-    """Position of a word, -1 when it has none."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Vocabulary:
     """The broadcast words: position, symbol, and what scoring adds for them."""
 
     def __init__(self, hot: list[tuple[bytes, int]], z: np.ndarray):
-        self.at = _Positions((w, i) for i, (w, _) in enumerate(hot))
         n = min(len(hot), CLASSES * MEMBERS)
-        self.symbol = np.array([i if i < n else CLASSES * MEMBERS + rest_group(w) for i, (w, _) in enumerate(hot)] or [0], np.int32)
-        self.log_c = np.array([math.log10(c + 1) for _, c in hot] or [0.0])
+        self.words = pa.array([w for w, _ in hot], pa.binary())
+        groups = rest_groups(self.words)
+        self.symbol = np.where(np.arange(len(hot)) < n, np.arange(len(hot)), CLASSES * MEMBERS + groups).astype(np.int32)
+        self.log_c = np.array([math.log10(c + 1) for _, c in hot])
         self.log_z = np.log10(z)
-        within = [0.0 if i < n else self.log_c[i] - self.log_z[rest_group(w)] for i, (w, _) in enumerate(hot)]
-        self.within = np.array(within or [0.0])
+        self.within = np.where(np.arange(len(hot)) < n, 0.0, self.log_c - self.log_z[groups])
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Positions among the broadcast words (-1 for others) and symbols."""
-        at = np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
-        symbols = self.symbol[at]
-        other = np.flatnonzero(at < 0)
-        symbols[other] = [CLASSES * MEMBERS + rest_group(words[i]) for i in other.tolist()]
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        symbols, other = np.empty(len(at), np.int32), at < 0
+        symbols[~other] = self.symbol[at[~other]]
+        symbols[other] = CLASSES * MEMBERS + rest_groups(words.filter(pa.array(other)))
         return at, symbols
 
 
@@ -121,16 +133,16 @@ def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def _rest_sums(counts: DataFrame, known: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _rest_sums(counts: DataFrame, known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Per rest group: sum of c + 1 and sum of c over the words that are no symbol."""
-    shared = counts.sparkSession.sparkContext.broadcast(known)
+    shared = counts.sparkSession.sparkContext.broadcast(pa.array(known, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((2, MEMBERS))
         for batch in batches:
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                if w not in shared.value:
-                    out[:, rest_group(w)] += (c + 1, c)
+            rest = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=shared.value)))
+            groups, c = rest_groups(rest.column("word")), rest.column("c").to_numpy()
+            out += [np.bincount(groups, weights=x, minlength=MEMBERS) for x in (c + 1, c)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(MEMBERS)), pa.array(out[0]), pa.array(out[1])], names=["g", "more", "c"])
 
     sums = counts.mapInArrow(run, "g long, more double, c double").groupBy("g").agg(F.sum("more").alias("more"), F.sum("c").alias("c")).collect()
@@ -149,7 +161,8 @@ def train(docs: DataFrame, start: dict[str, np.ndarray], hot: list[tuple[bytes,
         first, words, sums = shared.value
         vocabulary, trainer = Vocabulary(words, sums), Trainer(first, rate)
         for k, batch in enumerate(row_batches(batches, 16 << 20)):
-            trainer.train([vocabulary.encode(tokens(t))[1] for t in texts(batch)], stride, k)
+            words, ends = tokens(batch.column("text"))
+            trainer.train(np.split(vocabulary.encode(words)[1], ends[:-1]), stride, k)
         if trainer.tokens:
             parts = np.array_split(flatten(trainer.net.p).astype(np.float64) * trainer.tokens, CHUNKS)
             pid = TaskContext.get().partitionId()
@@ -181,7 +194,7 @@ def score_documents(docs: DataFrame, fold: int = FOLD, held_out: int = HELD_OUT,
     counts, seen = scratch.write(count_tokens(training), n=F.sum("c"), v=F.count(F.lit(1)))
     n_train, distinct = seen["n"] or 0, seen["v"] or 0
     hot = _most_frequent(counts, hot_words)
-    z, rest = _rest_sums(counts, {w for w, _ in hot[: CLASSES * MEMBERS]})
+    z, rest = _rest_sums(counts, [w for w, _ in hot[: CLASSES * MEMBERS]])
     symbols = np.zeros((CLASSES + 1) * MEMBERS)
     top = [c for _, c in hot[: CLASSES * MEMBERS]]
     symbols[: len(top)] = top
@@ -192,24 +205,27 @@ def score_documents(docs: DataFrame, fold: int = FOLD, held_out: int = HELD_OUT,
     names = {"n_tokens": "long", "hot_known": "long", "hot_log": "double", "model": "double", "words": "array<binary>", "times": "array<int>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, words, sums = shared.value
-        net, vocabulary = Gru(values), Vocabulary(words, sums)
+        values, words, rest_sums = shared.value
+        net, vocabulary = Gru(values), Vocabulary(words, rest_sums)
         for batch in row_batches(batches, 16 << 20):
-            n, known, log_c, extra, others, times, symbols = [], [], [], [], [], [], []
-            for text in texts(batch):
-                w = tokens(text)
-                at, ids = vocabulary.encode(w)
-                inside = at[at >= 0]
-                missing = Counter([w[i] for i in np.flatnonzero(at < 0).tolist()])
-                n.append(len(w))
-                known.append(len(inside))
-                log_c.append(float(vocabulary.log_c[inside].sum()))
-                extra.append(float(vocabulary.within[inside].sum()) - sum(k * vocabulary.log_z[rest_group(x)] for x, k in missing.items()))
-                others.append(list(missing))
-                times.append(list(missing.values()))
-                symbols.append(ids)
-            model = net.score(symbols) / math.log(10) + np.array(extra)
-            cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(log_c, pa.float64()), pa.array(model, pa.float64()), pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+            w, ends = tokens(batch.column("text"))
+            at, ids = vocabulary.encode(w)
+            n = np.diff(ends, prepend=0)
+            doc = np.repeat(np.arange(len(n)), n)
+            known, out = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+
+            def sums(rows, weights=None):
+                return np.bincount(doc[rows], weights=weights, minlength=len(n))
+
+            extra = sums(known, vocabulary.within[at[known]]) - sums(out, vocabulary.log_z[ids[out] - CLASSES * MEMBERS])
+            missing = w.take(pa.array(out)).dictionary_encode()
+            distinct = max(len(missing.dictionary), 1)
+            pairs, times = np.unique(doc[out] * distinct + missing.indices.to_numpy(), return_counts=True)
+            starts = pa.array(np.searchsorted(pairs, np.arange(len(n) + 1) * distinct), pa.int32())
+            others = pa.ListArray.from_arrays(starts, missing.dictionary.take(pa.array(pairs % distinct)))
+            model = net.score(np.split(ids, ends[:-1])) / math.log(10) + extra
+            log_c = sums(known, vocabulary.log_c[at[known]])
+            cols = [pa.array(n, pa.int64()), pa.array(sums(known), pa.int64()), pa.array(log_c, pa.float64()), pa.array(model, pa.float64()), others, pa.ListArray.from_arrays(starts, pa.array(times, pa.int32()))]
             yield with_columns(batch, [row, "doc_id", "held_out"], **dict(zip(names, cols)))
 
     rows = docs.select(F.monotonically_increasing_id().alias(row), "doc_id", out_of_fold.alias("held_out"), "text")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pictorium.llm import calibration, gru, lm, quality, toxicity
@@ -296,3 +297,17 @@ def test_scores_equal_a_scalar_walk():
 
     docs = [rng.integers(0, 12, n) for n in (70, 1, 300, 12, 0)]
     assert np.allclose(gru.Gru(p).score(docs), [walk(d) for d in docs], atol=2e-3)
+
+
+def test_tokens_of_arrow_texts():
+    texts = ["", " ", None, "Aé  b\tC\x0b\x0cd\n", "ÀB a\u2028b \x1c\x85 x", "ß" * 3 + "\r\nQ", "same Same SAME"]
+    words, ends = lm.tokens(pa.array(["cut off", *texts], pa.string()).slice(1))
+    want = [(t or "").encode().lower().split() + [b""] for t in texts]
+    assert words.to_pylist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    form = lambda w: ((w[0] & 31) * 2 + (not w.isascii())) % lm.MEMBERS if w else 0
+    assert lm.rest_groups(words).tolist() == [form(w) for w in words.to_pylist()]
+    assert lm.rest_groups(words.slice(3, 4)).tolist() == [form(w) for w in words.to_pylist()[3:7]]
+    vocabulary = lm.Vocabulary([(b"same", 3), (b"", 2)], np.ones(lm.MEMBERS))
+    at, symbols = vocabulary.encode(words.slice(len(words) - 4))
+    assert at.tolist() == [0, 0, 0, 1] and symbols.tolist() == [0, 0, 0, 1]
+    assert lm.tokens(pa.array([], pa.string()))[1].tolist() == []
