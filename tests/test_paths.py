@@ -99,3 +99,24 @@ def test_components_after_changes_equal_a_rebuild(spark, seed, hot):
         want = labels_of(set(got), edges)
         assert got == want
     assert update_components(labels, frame(edges), frame(edges).limit(0), frame(edges).limit(0)).count() == len(got)
+
+
+def test_paths_do_not_move_edges(spark, monkeypatch):
+    """Many edges, few of them at a level: what is written and shuffled is levels, with the smallest parent of each node."""
+    from pictorium.plans import paths
+
+    written = []
+
+    class Watched(paths.Scratch):
+        def write(self, df, **metrics):
+            table, seen = super().write(df, **metrics)
+            written.append((df.columns, table.count(), df._jdf.queryExecution().executedPlan().toString()))
+            return table, seen
+
+    monkeypatch.setattr(paths, "Scratch", Watched)
+    pairs = [("s", f"m{i}") for i in (9, 3, 5)] + [(f"m{i}", "t") for i in (9, 5)] + [("m9", "m3"), ("m9", "t")] + [(f"x{i % 97}", f"y{i}") for i in range(3000)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    assert [r["node"] for r in shortest_path(edges, "s", "t").orderBy("step").collect()] == ["s", "m5", "t"]
+    assert [r["node"] for r in shortest_path(edges, "m3", "t").orderBy("step").collect()] == ["m3", "m9", "t"]
+    assert all(columns == ["node", "rank", "parent"] for columns, _, _ in written) and sum(n for _, n, _ in written) < 20
+    assert not any("SortAggregate" in plan or "SortMergeJoin" in plan for *_, plan in written)
