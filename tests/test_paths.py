@@ -120,3 +120,42 @@ def test_paths_do_not_move_edges(spark, monkeypatch):
     assert [r["node"] for r in shortest_path(edges, "m3", "t").orderBy("step").collect()] == ["m3", "m9", "t"]
     assert all(columns == ["node", "rank", "parent"] for columns, _, _ in written) and sum(n for _, n, _ in written) < 20
     assert not any("SortAggregate" in plan or "SortMergeJoin" in plan for *_, plan in written)
+
+
+def test_leaves_that_nobody_asks_for_are_not_moved(spark):
+    from pictorium.plans.components import _stars, _without_leaves, connected_components
+
+    rng = random.Random(8)
+    pairs = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)]
+    pairs += [(f"n{rng.randrange(60):02d}", f"x{i:04d}") for i in range(1500)]  # each has one edge
+    pairs += [("n01", "a0"), ("a0", "x0000"), ("n02", "y"), ("n03", "y"), ("n04", "z"), ("n04", "z"), ("m1", "m2")]  # a first name, links between asked nodes
+    nodes = sorted({n for p in pairs for n in p if n[0] == "n"}) + ["alone"]
+    frame = spark.createDataFrame(pairs, "src string, dst string").repartition(7)
+    start = frame.filter("src != dst").selectExpr("greatest(src, dst) AS u", "least(src, dst) AS v")
+    asked = spark.createDataFrame([(n,) for n in nodes], "node string")
+    assert _stars(start).distinct().count() > 1500 and _without_leaves(_stars(start, centres=True), asked).count() < 500
+    want = labels_of(nodes, pairs)
+    for others in (True, False):
+        assert {r["node"]: r["component"] for r in connected_components(frame, asked, others=others).collect()} == {n: want[n] for n in nodes}
+
+
+@pytest.mark.parametrize("share", [0.1, 0.9])
+def test_changes_move_few_edges(spark, share):
+    """Components that lose an edge hold few nodes or most: the labels are those of a rebuild."""
+    from pictorium.plans.components import _maybe_among, update_components
+
+    groups = [[f"g{g:02d}.{i}" for i in range(6)] for g in range(30)]
+    edges = {(a, b) for g in groups for a, b in zip(g, g[1:])}
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "src string, dst string")
+    gone = {(g[2], g[3]) for g in groups[: round(30 * share)]}
+    old = labels_of([n for g in groups for n in g], edges)
+    come = {("g00.1", "g29.1"), ("g05.4", "g07.5"), ("new", "g07.0"), ("p", "q"), ("new", "a")}
+    after = (edges - gone) | come
+    labels = spark.createDataFrame(sorted(old.items()), "node string, component string")
+    never = {(a, f"no{i:05d}") for i, (a, _) in enumerate(sorted(gone) * 300)}  # ends without a label
+    got = update_components(labels, frame(after), frame(come), frame(gone | never)).collect()
+    want = labels_of(old, after)
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+    rows = spark.createDataFrame([(f"no{i:05d}",) for i in range(3000)] + [(n,) for n in old], "node string")
+    kept = {r["node"] for r in _maybe_among(rows, ["node"], labels, len(old)).collect()}
+    assert set(old) <= kept and len(kept) < 600
