@@ -165,7 +165,7 @@ def mean_threshold_hash(spark, d):
 
 @check("c9_document_fingerprint", with_views("prints64", "SELECT id, lpad(lower(hex(u)), 16, '0') AS phash FROM prints64"))
 def document_fingerprint(spark, d):
-    return A.assets(spark, d, fingerprint=True).select("id", "phash")
+    return A.assets(spark, d, fingerprint=True, moved=False).select("id", "phash")
 
 
 @check("c10_hamming_hex", """
